@@ -9,7 +9,7 @@ from archspark.llm import langid, minhash, packing, quality
 from archspark.llm.common import cut, read
 
 #: Documents whose most likely language is less likely than this go, as do those without a letter.
-LANGUAGE_SCORE = 0.5
+LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bound_batches, read
 
 TREES = 24
 BITS = 64
@@ -138,6 +138,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, trees: int = TREES, miss: float = MISS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows; both sides have vec_id and embedding."""
+    bound_batches(rows.sparkSession)
     keep = lambda d: d.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(f"vec_id is not null and {usable('embedding')}")
     rows, queries = keep(rows), keep(queries)
     n, n_queries = rows.count(), queries.count()

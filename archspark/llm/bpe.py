@@ -37,7 +37,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, row_slices, utf8
+from .common import read, row_slices, texts_of, utf8
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES = 2 << 20
@@ -122,7 +122,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
     """(doc_id, n_tokens, ids) of docs (doc_id, text); ids are little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts_of(docs)
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
                 for size in sizes.tolist():
                     word, at = flat[at : at + size], at + size
                     if (found := known.get(word)) is None:
-                        found = known[word] = np.array(bpe.encode_ordinary(word.decode()), np.uint32).tobytes()
+                        found = known[word] = np.array(bpe._encode_single_piece(word), np.uint32).tobytes()
                     ids.append(found)
                 out.append(pack(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["bucket", "block", "words"])

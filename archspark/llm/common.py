@@ -7,9 +7,6 @@ a recomputed task and never a lost table.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -18,49 +15,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut, fresh_path, work_dir  # noqa: F401
+
 #: Rows of one task's numpy work are cut into slices of about this many text bytes.
 SLICE_BYTES = 2 << 20
 
-_own_dirs: dict[str, str] = {}
+#: Bytes of one Arrow batch between the JVM and a Python worker. Batches are held several times over
+#: (writer, reader, what is made of them), in every running task.
+BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="archspark-")
-        base = _own_dirs[app]
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder; removed when the driver ends."""
-    path = f"{work_dir(spark)}/archspark-{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def drop() -> None:
-        try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # the JVM may be gone already
-            pass
-
-    atexit.register(drop)
-    return path
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session are at most BATCH_BYTES; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = int(spark.conf.get(key, "67108864").rstrip("b"))
+    if have <= 0 or have > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df written to the shared folder and read back: lineage ends, the parts are computed once."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs, in the types that the operators' functions take."""
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def fold(doc_id: Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read, row_slices
+from .common import bound_batches, fold, read, row_slices, texts_of
 
 DIMS = 1 << 14
 SAMPLE_ROWS = 4000
@@ -159,6 +159,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Languages:
     """Learns from docs (doc_id, text, lang) outside the held-out fold."""
+    bound_batches(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     frequency = {r["feature"]: r["n"] for r in usable.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}  # DIMS rows at most
@@ -201,7 +202,7 @@ def identified(docs: DataFrame, model: Languages) -> DataFrame:
                 names, score = shared.value.predict(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0)[first:end], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return texts_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op10_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann_forest import cosines, unit, usable
-from .common import cut, mix, read
+from .common import bound_batches, cut, mix, read
 from .graph import components, spanning
 from .minhash import groups
 
@@ -183,6 +183,7 @@ def _linked(limit: float):
 
 def near_vectors(rows: DataFrame, limit: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of rows (vec_id, embedding, label)."""
+    bound_batches(rows.sparkSession)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     rows = rows.withColumn("__in", F.expr(f"coalesce(vec_id is not null and label is not null and {usable('embedding')}, false)"))
     used = rows.where("__in")

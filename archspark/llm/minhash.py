@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, read, row_slices, shingle_sets, utf8
+from .common import cut, mix, read, row_slices, shingle_sets, texts_of, utf8
 from .graph import components
 
 PERMUTATIONS = 80
@@ -200,7 +200,7 @@ def _pairs(everyone: bool, percent: int):
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of docs (doc_id, text): Jaccard similarity of at least percent / 100."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts_of(docs)
     facts = cut(texts.mapInArrow(_facts(width), FACTS), "facts")
     held = facts.where("digest is not null and doc_id is not null")
     classes = cut(held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")

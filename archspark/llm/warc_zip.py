@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, read
+from .common import bound_batches, cut, fresh_path, read
 
 ARCHIVE_BYTES = 48 << 20
 MEMBER_BYTES = 12 << 20
@@ -270,6 +270,7 @@ def read_records(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
 
 def with_revisits(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, refers_to): of equal payloads, that with the smallest page id is the one referred to."""
+    bound_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("__digest", F.unhex(F.sha1("payload")))
     first = rows.groupBy("__digest").agg(F.min("page_id").alias("__first"))

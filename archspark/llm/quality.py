@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read, row_slices, utf8, words
+from .common import fold, read, row_slices, texts_of, utf8, words
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -72,7 +72,9 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ascii_space = space * size
     # Starts of words: what follows a gap or begins a text.
     gap = _SPACE[raw]
-    starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]])) if len(raw) else np.zeros(0, np.int64)
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(~gap & (np.concatenate([[True], gap[:-1]]) | edge[:-1])) if len(raw) else np.zeros(0, np.int64)
     start_doc = np.searchsorted(offsets, starts, "right") - 1
     capital = np.bincount(start_doc, weights=_UPPER[raw[starts]], minlength=n) if len(starts) else np.zeros(n)
     lines, line_doc, line_first = words(raw, offsets, _LINE)
@@ -90,8 +92,8 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else h[:0]
     again = np.concatenate([[False], (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])]) if len(h) else np.zeros(0, bool)
     out[:, 11] = np.bincount(doc, weights=again, minlength=n) / some if len(h) else 0
-    ends = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) if len(raw) else starts
-    if len(starts) and len(starts) == len(ends):
+    ends = np.flatnonzero(~gap & (np.concatenate([gap[1:], [True]]) | edge[1:])) if len(raw) else starts
+    if len(starts):
         longest = np.zeros(n)
         np.maximum.at(longest, start_doc, ends - starts + 1)
         out[:, 3] = np.log1p(longest)
@@ -235,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     if n > rows:
         usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
     sample = usable.limit(rows + rows // 4)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts_of(docs)
     joined = texts.join(F.broadcast(sample), "doc_id").select("text", "y")
     table = joined.mapInArrow(_measured, "x array<double>, y int").limit(2 * rows).toArrow()
     y = table.column("y").to_numpy().astype(np.float64)
@@ -256,7 +258,7 @@ def scored(docs: DataFrame, gam: Gam) -> DataFrame:
                 score = shared.value.score(measures(raw[own[0] : own[-1]], own - own[0]))
                 yield pa.RecordBatch.from_arrays([b.column(0)[first:end], pa.array(score)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return texts_of(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def op7_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,17 +10,18 @@ values: a pair at 0.8 shares no band with probability (1 - 0.8^5)^32, about 3 in
    full set, its bands and its signature's low bytes.
 2. Documents with equal sets are one class (a minimum by digest, aggregated before the
    shuffle), so that copies, however many, make no pairs.
-3. Classes are dealt to buckets by band. Buckets with at least two classes stay; their
-   classes' full sets are computed from the texts, once.
-4. Rounds: candidate pairs are confirmed on full sets, and connected components made
-   of the confirmed ones. Round ``star`` pairs each bucket's smallest member with the
-   others: members + 1 pairs and not all. Buckets inside one component are done. In
-   what is left, ``nearest`` pairs each member with its best partner of another component by
-   estimate, and ``rest`` takes every pair of different components whose estimate is not
-   below the threshold by over five standard deviations. A bucket is never cut; large
-   ones are compared block against block, in as many tasks as there are block pairs.
-
-Only links inside a component go unconfirmed, which can't change components.
+3. Classes are dealt to buckets by band. In a bucket with two classes at least, estimates from
+   the signatures join what may be similar (not below the threshold by over five standard
+   deviations); a forest of these joins leaves the task, never all pairs. Their
+   components are the groups in which alone links can be.
+4. The full sets of classes in such groups are computed from the texts, once. Pairs of each
+   group's smallest member with the others are confirmed on them; most groups are one
+   component then. In the others, components are compared with each other on full sets,
+   until they are joined or every pair between them is refuted; again a forest leaves the task.
+
+Large buckets and groups are compared block against block, in as many tasks as there are
+pairs of blocks. No bucket, group or candidate list is capped. Links inside a component go
+unconfirmed, which can't change components.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are
 kept; texts shorter than a shingle have one shingle; null ids have no class of their
@@ -31,7 +32,7 @@ an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,41 +164,99 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs(everyone: bool, percent: int):
-    """Pairs of members of different components, block i against block j of a bucket."""
+def spread(side: np.ndarray, label: np.ndarray, similar: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join rows as all similar pairs would; fewer than there are rows.
+
+    side: 0 and 1 if only rows of different sides are to be compared, else all 0.
+    label: rows with one label count as joined. similar(x, others): which others are similar to
+    row x. What is joined already is not compared again: a tight group of n takes about
+    n comparisons, and only what stays apart is compared pair by pair.
+    """
+    both = bool(side.any())
+    order = np.argsort(label, kind="stable")
+    edges = np.flatnonzero(np.diff(label[order])) + 1
+    runs = np.split(order, edges)
+    of = np.empty(len(label), np.int64)
+    for k, run in enumerate(runs):
+        of[run] = k
+    fresh = np.ones(len(label), bool)
+    links: list[tuple[int, int]] = []
+    for run in runs:
+        if not fresh[run[0]]:
+            continue
+        fresh[run] = False
+        queue = run.tolist()
+        while queue and fresh.any():
+            x = queue.pop()
+            others = np.flatnonzero(fresh & (side != side[x]) if both else fresh)
+            if not len(others):
+                continue
+            for y in others[similar(x, others)]:
+                if fresh[y]:
+                    links.append((x, int(y)))
+                    fresh[runs[of[y]]] = False
+                    queue += runs[of[y]].tolist()
+    return links
+
+
+def _estimated(low: np.ndarray, size: np.ndarray, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which rows' estimates do not fall below the threshold by over five standard deviations."""
     share = percent / 100
     least = share - 5 * (share * (1 - share) / (2 * PERMUTATIONS)) ** 0.5
 
+    def similar(x: int, others: np.ndarray) -> np.ndarray:
+        same = (low[others] == low[x]).mean(axis=1)
+        estimate = (same - 1 / 256) / (1 - 1 / 256)  # low bytes also agree by chance
+        return (estimate >= least) & (100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x]))
+
+    return similar
+
+
+def _alike(percent: int, exact: bool):
+    """A forest of the similar pairs of block i and block j of a group: by estimate, or confirmed on full sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, 3):
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            block, rep, comp = (t.column(c).to_numpy() for c in ("block", "rep", "component"))
+            rep, block = t.column("rep").to_numpy(), t.column("block").to_numpy()
             low = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("low").combine_chunks()])
-            size = t.column("n_shingles").to_numpy().astype(np.float64)
-            a, z = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            u, v = [], []
-            for p in a:
-                other = z[(comp[z] != comp[p]) & (np.minimum(size[z], size[p]) >= share * np.maximum(size[z], size[p]) - 1e-9)]
-                if i == j and everyone:
-                    other = other[other > p]
-                if not len(other):
-                    continue
-                same = (low[other] == low[p]).mean(axis=1)
-                estimate = (same - 1 / 256) / (1 - 1 / 256)  # low bytes also agree by chance
-                if everyone:
-                    other = other[estimate >= least]
-                elif estimate.max() >= least:
-                    other = other[[estimate.argmax()]]
-                else:
-                    continue
-                u += [min(rep[p], rep[q]) for q in other]
-                v += [max(rep[p], rep[q]) for q in other]
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            estimated = similar = _estimated(low, t.column("n_shingles").to_numpy(), percent)
+            if exact:
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles").combine_chunks()]
+
+                def similar(x: int, others: np.ndarray, sets=sets, estimated=estimated) -> np.ndarray:
+                    keep = estimated(x, others)
+                    some = np.flatnonzero(keep)
+                    if len(some):
+                        own, sizes = sets[x], np.array([len(sets[o]) for o in others[some]])
+                        flat = np.concatenate([sets[o] for o in others[some]])
+                        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                        shared = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                        keep[some] = 100 * shared >= percent * (len(own) + sizes - shared)
+                    return keep
+
+            label = t.column("component").to_numpy() if exact else np.arange(t.num_rows)
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            links = spread((block == j).astype(np.int8) if i != j else np.zeros(len(rep), np.int8), label, similar)
+            if links:
+                u, v = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(rep[u]), pa.array(rep[v])], names=["u", "v"])
 
     return run
 
 
+def block_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with columns i, j and block: each group (key, with m rows) as pairs of blocks of about BLOCK rows."""
+    cut_up = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    each = cut_up.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return each.select(key, "i", "j", *[c for c in cut_up.columns if c not in (key, "m", "blocks")])
+
+
+def _forest(rows: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
+    spread_out = rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    return cut(spread_out.mapInArrow(_alike(percent, exact), "u long, v long"), "forest")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of docs (doc_id, text): Jaccard similarity of at least percent / 100."""
     texts = texts_of(docs)
@@ -205,29 +264,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     held = facts.where("digest is not null and doc_id is not null")
     classes = cut(held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    many = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).where("leader <> last")
-    members = cut(banded.join(many.select("key", "leader", "m"), "key"), "members")
-    wanted = members.select("rep").distinct()
-    sets = cut(texts.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
+    many = banded.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).where("first <> last")
+    members = block_pairs(banded.join(many.select("key", "m"), "key"), "key")
     lows = classes.select("rep", "n_shingles", "low")
-    links = confirmed(members.where("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")), sets, percent)
-    comp = cut(components(links), "components")
-    for everyone in (False, True):
-        labelled = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_ = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1 and c0 is not null")
-        # A bucket of two was judged by its star.
-        rest = cut(labelled.where("m > 2").join(open_.select("key"), "key"), "open")
-        if rest.isEmpty():
-            break
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
-        dealt = dealt.join(lows, "rep").select("key", "i", "j", "block", "rep", "component", "n_shingles", "low")
-        sorted_ = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = sorted_.mapInArrow(_pairs(everyone, percent), "u long, v long").distinct()
-        links = links.unionByName(confirmed(pairs, sets, percent))
-        comp = cut(components(links), "components")
-    known = facts.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    # Classes that estimates join: nothing else can be a link.
+    near = cut(components(_forest(members.join(lows, "rep").select("key", "i", "j", "block", "rep", "n_shingles", "low"), "key", percent, False)).select(F.col("id").alias("rep"), F.col("component").alias("near")), "near")
+    wanted = texts.join(near, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
+    sets = cut(wanted.mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
+    links = confirmed(near.where("near <> rep").select(F.col("near").alias("u"), F.col("rep").alias("v")), sets, percent)
+    comp = cut(components(links).withColumnRenamed("id", "rep"), "components")
+    labelled = near.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart = labelled.groupBy("near").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1 and m > 2").select("near", "m")
+    rest = block_pairs(labelled.join(apart, "near"), "near").join(lows, "rep").join(sets, "rep")
+    links = links.unionByName(_forest(rest.select("near", "i", "j", "block", "rep", "component", "n_shingles", "low", "shingles"), "near", percent, True))
+    comp = cut(components(links).withColumnRenamed("id", "rep"), "components")
+    known = facts.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left").join(comp, "rep", "left")
     out = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

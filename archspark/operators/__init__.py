@@ -1 +1 @@
-
+"""Operators on the tables of a source tree."""

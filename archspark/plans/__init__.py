@@ -1 +1 @@
-
+"""Whole analyses and registered queries."""

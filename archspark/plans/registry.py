@@ -1,5 +1,526 @@
-"""Queries over the tables and the SQL that gives the same rows."""
+"""Queries over the star-schema and document tables that run this package's operators.
+
+The tables hold no source trees, so each query first states how rows stand for files,
+components or edges, and then applies the operator as it is. ``ORACLES`` has SQL that
+gives the same rows. Lists and maps leave as text, so that rows compare as values.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import components as C
+from ..operators import docs, metrics, multirepo, relationships, symbols, views
+from ..sources import configs
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
 FLAGSHIP = "component_metrics"
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _joined(c: str | Column) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+def _map_text(c: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
+# --- documents as files: the source is the component, the language is the language ------
+
+_DOC_FILES = "select 'all' as repo, source || '/' || lpad(cast(doc_id as varchar), 9, '0') as path, source as owner, lang as language, cast(length(text) - length(replace(text, chr(10), '')) + 1 as bigint) as lines, cast(strlen(text) as bigint) as size_bytes, source as src from documents"
+
+
+def _doc_files(spark: SparkSession, sf_dir: str, repo: Column | None = None) -> DataFrame:
+    d = _read(spark, sf_dir, "documents")
+    text = F.col("text")
+    return d.select(
+        (repo if repo is not None else F.lit("all")).alias("repo"), F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.col("source").alias("owner"), F.col("lang").alias("language"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"), F.octet_length(text).cast("long").alias("size_bytes"), F.lit(0).cast("long").alias("n_symbols"),
+    )
+
+
+@query(f"""
+with f as ({_DOC_FILES}), l as (select owner, language, sum(lines) as lines, min(path) as first from f group by owner, language)
+, m as (select owner, string_agg(language || '=' || cast(lines as varchar), ',' order by language) as languages, arg_min(language, row(-lines, first)) as main_language from l group by owner)
+select f.owner, count(*) as files, cast(sum(lines) as bigint) as lines, cast(sum(size_bytes) as bigint) as size_bytes, m.languages, m.main_language
+from f join m on m.owner = f.owner group by f.owner, m.languages, m.main_language
+""")
+def component_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, lines, bytes and languages of each component, with the language that has most lines."""
+    found = metrics.component_metrics(_doc_files(spark, sf_dir))
+    return found.select("owner", "files", "lines", "size_bytes", _map_text("languages").alias("languages"), "main_language")
+
+
+_STATS = """
+  select src as repo, count(*) as total_files, cast(sum(lines) as bigint) as total_lines, cast(sum(size_bytes) as bigint) as total_size_bytes from f group by src
+"""
+
+
+@query(f"with f as ({_DOC_FILES}) {_STATS}")
+def repository_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums for each repository (here: source)."""
+    files = _doc_files(spark, sf_dir, F.col("source"))
+    comps = files.select("repo", F.col("owner").alias("path")).distinct()
+    edges = comps.limit(0)
+    return metrics.repository_stats(files, comps, edges).select("repo", "total_files", "total_lines", "total_size_bytes")
+
+
+@query(f"""
+with f as ({_DOC_FILES}), s as ({_STATS}), l as (select language, sum(lines) as n from f group by language)
+select cast(sum(total_files) as bigint) as total_files, cast(sum(total_lines) as bigint) as total_lines, cast(sum(total_size_bytes) as bigint) as total_size_bytes,
+  cast(2 * count(*) as bigint) as total_components, cast(3 as bigint) as total_relationships, (select string_agg(language || '=' || cast(n as varchar), ',' order by language) from l) as languages
+from s
+""")
+def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stats of all repositories as one, with three edges between them."""
+    files = _doc_files(spark, sf_dir, F.col("source"))
+    comps = files.select("repo", F.col("owner").alias("path")).distinct()
+    merged = metrics.merged_stats(metrics.repository_stats(files, comps, comps.limit(0)), 3)
+    return merged.select("total_files", "total_lines", "total_size_bytes", "total_components", "total_relationships", _map_text("languages").alias("languages"))
+
+
+@query(f"with f as ({_DOC_FILES}) select src as repo, language, cast(sum(lines) as bigint) as lines from f group by src, language")
+def language_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _doc_files(spark, sf_dir, F.col("source"))
+    comps = files.select("repo", F.col("owner").alias("path")).distinct()
+    return metrics.language_breakdown(metrics.repository_stats(files, comps, comps.limit(0)))
+
+
+@query("""
+select doc_id, length(case when length(text) > 8000 then substr(text, 1, 8000) || chr(10) || chr(10) || '... (truncated)' else text end) as n,
+  md5(case when length(text) > 8000 then substr(text, 1, 8000) || chr(10) || chr(10) || '... (truncated)' else text end) as digest from documents
+""")
+def shortened_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut at the limit for exports."""
+    short = docs.shortened(F.col("text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.length(short).cast("long").alias("n"), F.md5(short.cast("binary")).alias("digest"))
+
+
+@query("""
+select conv_id, turn, role || ' ' || cast(turn as varchar) as heading, array_to_string(list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1, 3), ' ') as body
+from conversations where not contains(text, chr(10) || chr(10)) and text not like '%#%'
+""")
+def headed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading and first lines of turns written as Markdown notes."""
+    rows = _read(spark, sf_dir, "conversations").where("not contains(text, '\n\n') and text not like '%#%'")
+    said = docs.summary(F.concat(F.lit("# "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.col("text")))
+    return rows.select("conv_id", "turn", said.alias("s")).select("conv_id", "turn", F.col("s.heading").alias("heading"), F.col("s.text").alias("body"))
+
+
+# --- pages as entries of a tree -------------------------------------------------------------
+
+_PAGE_PATH = "regexp_replace(regexp_replace(url, '^[^:]*://', ''), '[?#].*$', '')"
+_PAGE_NAMES = f"select page_id, path, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as dir, regexp_extract(path, '[^/]*$') as name, html from (select page_id, html, regexp_replace({_PAGE_PATH}, '/$', '/index') || case when page_id % 3 = 0 then '.html' when page_id % 3 = 1 then '.ts' else '.png' end as path from pages)"
+
+
+def _page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "pages")
+    bare = F.regexp_replace(F.regexp_replace("url", "^[^:]*://", ""), "[?#].*$", "")
+    kind = F.when(F.col("page_id") % 3 == 0, ".html").when(F.col("page_id") % 3 == 1, ".ts").otherwise(".png")
+    rows = p.select("page_id", F.concat(F.regexp_replace(bare, "/$", "/index"), kind).alias("path"), "html")
+    return rows.select(
+        F.lit("all").alias("repo"), "page_id", "path", T.dirname(F.col("path")).alias("dir"), T.basename(F.col("path")).alias("name"), F.lit(False).alias("is_dir"), F.octet_length("html").cast("long").alias("size"), F.col("html").alias("content")
+    )
+
+
+def _none(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "repo string, path string")
+
+
+@query(f"""
+select path, dir, case when name like '%.html' then 'html' else 'typescript' end as language, cast(length(html) - length(replace(html, chr(10), '')) + 1 as bigint) as lines, cast(strlen(html) as bigint) as size_bytes
+from ({_PAGE_NAMES}) where page_id % 3 <> 2 and strlen(html) between 1 and 4000
+""")
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by extension and size."""
+    found = C.source_files(_page_entries(spark, sf_dir), _none(spark), 4000)
+    return found.select("path", "dir", "language", "lines", "size_bytes")
+
+
+_PAGE_COMPS = f"select '' as path union all select dir from ({_PAGE_NAMES}) where name like '%.html' or name like '%.ts' group by dir having count(*) >= 2 and dir <> '' and length(dir) - length(replace(dir, '/', '')) <= 4"
+
+
+def _page_comps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    entries = _page_entries(spark, sf_dir)
+    dense = entries.where(T.language(F.col("name")).isNotNull() & (F.col("dir") != "")).groupBy("repo", F.col("dir").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/"), F.lit("")))
+    comps = dense.where((F.col("n") >= 2) & (depth <= 4)).select("repo", "path")
+    return entries, comps.unionByName(spark.sql("select 'all' as repo, '' as path"))
+
+
+@query(f"""
+with c as ({_PAGE_COMPS}), a as (select x.path, max(length(c.path)) as n from ({_PAGE_NAMES}) x join c on c.path = '' or starts_with(x.path, c.path || '/') group by x.path)
+select path, substr(path, 1, n) as owner from a
+""")
+def file_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest component above each file."""
+    entries, comps = _page_comps(spark, sf_dir)
+    return C.owners(entries.select("repo", "path").distinct(), comps).select("path", "owner")
+
+
+@query(f"""
+with c as ({_PAGE_COMPS})
+select x.path, case when x.path = '' then 'root' else lower(replace(x.path, ' ', '-')) end as id, case when x.path <> '' then substr(x.path, 1, max(length(c.path))) end as parent_path
+from c x left join c on x.path <> '' and (c.path = '' or starts_with(x.path, c.path || '/')) group by x.path
+""")
+def component_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of components and the nearest component above each."""
+    _, comps = _page_comps(spark, sf_dir)
+    return C.parents(comps).select("path", T.component_id(F.col("path")).alias("id"), "parent_path")
+
+
+@query(f"""
+with n as ({_PAGE_NAMES}), d as (select dir, list(name order by name) as names, count(*) as n from n group by dir)
+select case when dir = '' then '.' else dir end as dir, n, array_to_string(list_transform(names, lambda x: case when dir = '' then x else dir || '/' || x end), ',') as paths from d
+""")
+def files_by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.by_directory(_page_entries(spark, sf_dir)).select("dir", "n", _joined("paths").alias("paths"))
+
+
+@query("""
+select page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, 'href="(/[^"]*)"', 1), lambda x: regexp_extract(x, '[^/]*$')))), ',') as names from pages
+""")
+def link_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct last parts of the links of a page, as imports are extracted."""
+    found = F.transform(T.find_all(F.col("html"), 'href="(/[^"]*)"'), T.basename)
+    return _read(spark, sf_dir, "pages").select("page_id", _joined(F.array_sort(F.array_distinct(found))).alias("names"))
+
+
+# --- rows written as source text ------------------------------------------------------------------
+
+
+@query("""
+with c as (select o_orderkey, 'server.listen(' || cast(o_orderkey as varchar) || ')' || chr(10) || 'API_PORT = ' || cast(o_custkey * 7 as varchar) as t from orders)
+select o_orderkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(t, 'listen\\((\\d{4,5})', 1), regexp_extract_all(t, '_PORT = (\\d{4,5})', 1)), lambda x: cast(x as int)), lambda p: p between 1024 and 65535))), ',') as ports from c
+""")
+def listening_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("server.listen("), F.col("o_orderkey").cast("string"), F.lit(")\nAPI_PORT = "), (F.col("o_custkey") * 7).cast("string"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", _joined(T.ports(text)).alias("ports"))
+
+
+@query("""
+select p_partkey, array_to_string(list_sort(list_distinct(list_value('V' || cast(p_size as varchar), 'P_' || cast(p_partkey % 100 as varchar), 'HOME'))), ',') as env_vars from part
+""")
+def env_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('os.environ["V'), F.col("p_size").cast("string"), F.lit('"] + os.getenv("HOME")\nprocess.env.P_'), (F.col("p_partkey") % 100).cast("string"), F.lit(" env::var(\"HOME\")"))
+    return _read(spark, sf_dir, "part").select("p_partkey", _joined(T.env_vars(text)).alias("env_vars"))
+
+
+@query("""
+select c_custkey, case c_custkey % 3 when 0 then array_to_string(list_sort(list_distinct(list_value('os', lower(c_mktsegment)))), ',')
+  when 1 then array_to_string(list_sort(list_distinct(list_value('@s/' || lower(c_mktsegment), './x', 'fs'))), ',') else array_to_string(list_sort(list_distinct(list_value('fmt', 'c' || cast(c_nationkey as varchar)))), ',') end as imports from customer
+""")
+def imported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of Python, TypeScript and Go text."""
+    k, seg = F.col("c_custkey") % 3, F.lower("c_mktsegment")
+    lang = F.when(k == 0, "python").when(k == 1, "typescript").otherwise("go")
+    python = F.concat(F.lit("import os.path\nfrom "), seg, F.lit(".sub import y\n"))
+    script = F.concat(F.lit("import { a } from '@s/"), seg, F.lit("/deep'\nimport './x'\nconst f = require('fs/promises')\n"))
+    go = F.concat(F.lit('import (\n"fmt"\n"a.b/x/c'), F.col("c_nationkey").cast("string"), F.lit('"\n)\n'))
+    text = F.when(k == 0, python).when(k == 1, script).otherwise(go)
+    return _read(spark, sf_dir, "customer").select("c_custkey", _joined(T.imports(lang, text)).alias("imports"))
+
+
+@query("""
+select n_nationkey, 'GET /' || lower(n_name) || ',POST /' || cast(n_regionkey as varchar) || ',ROUTE /all' as endpoints, 'Flask' as framework from nation
+""")
+def routes_and_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("from flask import Flask\n@app.get('/"), F.lower("n_name"), F.lit("')\n@app.post('/"), F.col("n_regionkey").cast("string"), F.lit("')\n@app.route('/all')\n"))
+    shown = F.array_join(F.transform(T.endpoints(F.lit("python"), text), lambda e: F.concat_ws(" ", e["method"], e["path"])), ",")
+    return _read(spark, sf_dir, "nation").select("n_nationkey", shown.alias("endpoints"), T.framework(F.lit("python"), text).alias("framework"))
+
+
+@query("""
+select event_id, event_type as name, case when event_id % 2 = 0 then 'd' || cast(user_id % 5 as varchar) || ',z' else 'z' end as dependencies, event_id % 7 <> 0 as ok from events
+""")
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """package.json texts, some of them broken."""
+    e = _read(spark, sf_dir, "events")
+    deps = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"d'), (F.col("user_id") % 5).cast("string"), F.lit('": "1"'))).otherwise("")
+    whole = F.concat(F.lit('{"name": "'), F.col("event_type"), F.lit('", "dependencies": {'), deps, F.lit('}, "devDependencies": {"z": "*"}}'))
+    good = F.col("event_id") % 7 != 0
+    p = configs.package_json(whole)
+    broken = configs.package_json(F.when(good, whole).otherwise(F.concat(F.lit("{"), whole)))
+    return e.select("event_id", p["name"].alias("name"), _joined(p["dependencies"]).alias("dependencies"), broken["ok"].alias("ok"))
+
+
+# --- nations as components, customers as files ------------------------------------------------------
+
+_COMPS = "select r_name || '/' || n_name as path, lower(replace(r_name || '/' || n_name, ' ', '-')) as id, n_name as name, case when n_nationkey % 9 = 8 then 'content' when n_nationkey % 9 = 0 then 'api-server' when n_nationkey % 9 = 1 then 'web-client' else 'module' end as type, cast(case when n_nationkey % 2 = 0 then 8000 + n_nationkey % 20 end as bigint) as port, n_nationkey as k from nation join region on n_regionkey = r_regionkey"
+
+
+def _nation_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    path = F.regexp_replace(F.concat_ws("/", "r_name", "n_name"), "^$", "")
+    kind = F.when(k % 9 == 8, "content").when(k % 9 == 0, "api-server").when(k % 9 == 1, "web-client").otherwise("module")
+    out = rows.select(F.lit("all").alias("repo"), path.alias("path"), F.col("n_name").alias("name"), kind.alias("type"), F.when(k % 2 == 0, 8000 + k % 20).cast("long").alias("port"), "n_nationkey")
+    return out.withColumn("id", T.component_id(F.col("path"))).withColumn("ord", F.struct(F.lit(1).alias("kind"), "path"))
+
+
+def _customer_files(spark: SparkSession, sf_dir: str, lang: str, content: Column) -> DataFrame:
+    comps = _nation_comps(spark, sf_dir).select("n_nationkey", F.col("path").alias("owner"))
+    rows = _read(spark, sf_dir, "customer").join(comps, F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    return rows.select(F.lit("all").alias("repo"), F.concat_ws("/", "owner", name).alias("path"), name.alias("name"), "owner", F.lit(lang).alias("language"), content.alias("content"), "c_custkey", "c_nationkey")
+
+
+_FILES = f"select c.path || '/c' || lpad(cast(c_custkey as varchar), 9, '0') as file, c.path as owner, c.id as source, c.type as source_type, c_custkey from customer join ({_COMPS}) c on c.k = c_nationkey"
+
+
+@query(f"""
+with c as ({_COMPS}), f as (select * from ({_FILES}) where source_type <> 'content'),
+n as (select k, replace(replace(lower(name), '-', ''), '_', '') as key, path, id, type from c),
+m as (select f.file, f.source, x.imp, x.place, (select arg_min(n.id, n.path) from n where n.key = replace(replace(lower(x.imp), '-', ''), '_', '') or lower(regexp_extract(n.path, '[^/]*$')) = lower(x.imp)) as target
+  from f, lateral (select (select name from c where k = f.c_custkey % 25) as imp, 0 as place union all select (select name from c where k = f.c_custkey % 7) as imp, 1 as place) x)
+select source, target, arg_min(imp, row(file, place)) as label from m join c on c.id = m.target where c.type <> 'content' and source <> target group by source, target
+""")
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers import two nations by name; the first import is an edge's label."""
+    comps = _nation_comps(spark, sf_dir)
+    names = comps.select("n_nationkey", "name")
+    files = _customer_files(spark, sf_dir, "python", F.lit(""))
+    a, b = names.toDF("ka", "a"), names.toDF("kb", "b")
+    files = files.withColumn("ka", (F.col("c_custkey") % 25).cast("int")).withColumn("kb", (F.col("c_custkey") % 7).cast("int")).join(a, "ka").join(b, "kb").withColumn("imports", F.array("a", "b"))
+    return relationships.first_of_each(relationships.import_edges(files, comps)).select("source", "target", "label")
+
+
+@query(f"""
+with c as ({_COMPS}), f as ({_FILES}), p as (select port, arg_max(id, path) as target from c where port is not null and type <> 'content' group by port)
+select distinct f.source, p.target, cast(p.port as bigint) as port, 'port ' || cast(p.port as varchar) as label from f join p on p.port = 8000 + f.c_custkey % 40 where f.source_type <> 'content' and f.source <> p.target
+""")
+def port_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that name another nation's port."""
+    text = F.concat(F.lit('connect("http://localhost:'), (8000 + F.col("c_custkey") % 40).cast("string"), F.lit('/x")'))
+    files = _customer_files(spark, sf_dir, "python", text)
+    return relationships.first_of_each(relationships.port_edges(files, _nation_comps(spark, sf_dir))).select("source", "target", "port", "label")
+
+
+@query(f"""
+with c as ({_COMPS}), f as ({_FILES}), n as (select distinct lower(name) as service, id from c where type <> 'content' and length(name) > 3)
+select distinct f.source, n.id as target, 'calls ' || n.service as label from f join c w on w.k = f.c_custkey % 25 join n on n.service = lower(w.name) where f.source_type <> 'content' and f.source <> n.id
+""")
+def service_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that call a nation by its name in an address."""
+    names = _nation_comps(spark, sf_dir).select(F.col("n_nationkey").alias("k"), F.lower("name").alias("word"))
+    files = _customer_files(spark, sf_dir, "python", F.lit(None).cast("string")).withColumn("k", (F.col("c_custkey") % 25).cast("int")).join(names, "k")
+    files = files.withColumn("content", F.concat(F.lit("get('http://"), F.col("word"), F.lit(":80/x')")))
+    comps = _nation_comps(spark, sf_dir)
+    return relationships.first_of_each(relationships.service_edges(files, comps)).select("source", "target", "label")
+
+
+@query(f"with c as ({_COMPS}) select a.id as source, b.id as target, 'API (inferred)' as label from c a join c b on a.type = 'web-client' and b.type = 'api-server'")
+def inferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every client with every server where no client has an edge yet."""
+    comps = _nation_comps(spark, sf_dir)
+    none = relationships.import_edges(_customer_files(spark, sf_dir, "go", F.lit("")).withColumn("imports", F.array().cast("array<string>")), comps)
+    return relationships.fallback_edges(none, comps).select("source", "target", "label")
+
+
+@query(f"""
+with f as (select * from ({_FILES}) where source_type <> 'content'), d(i, name, category) as (values (0, 'Stripe', 'payments'), (1, 'GitHub', 'devtools'), (2, 'Slack', 'communications')),
+s as (select distinct source, name, category from f join d on d.i = f.c_custkey % 4)
+select source, string_agg(name || ':' || category, ',' order by name) as services from s group by source
+""")
+def external_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cloud services whose addresses a nation's customers hold."""
+    k = F.col("c_custkey") % 4
+    text = F.when(k == 0, "'https://api.stripe.com/v1'").when(k == 1, "wss://api.github.com").when(k == 2, 'host: "api.slack.com"').otherwise("api.twilio.com")
+    found = relationships.external_services(_customer_files(spark, sf_dir, "ruby", text), _nation_comps(spark, sf_dir))
+    return found.select("source", F.array_join(F.transform("external_services", lambda s: F.concat_ws(":", s["name"], s["category"])), ",").alias("services"))
+
+
+# --- the tree region > nation > customer, and edges from parts to suppliers -----------------------------
+
+_TREE = """
+  select 'all' as id, null as parent_id, 'all' as name, 'project' as type, 0 as n_files
+  union all select 'r' || r_regionkey, 'all', r_name, 'package', 0 from region
+  union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name, case when n_nationkey % 5 = 0 then 'package' when n_nationkey % 5 = 1 then 'web-client' when n_nationkey % 5 = 2 then 'api-server' when n_nationkey % 5 = 3 then 'content' else 'library' end, 2 from nation
+  union all select 'c' || c_custkey, 'n' || c_nationkey, c_name, case when c_custkey % 11 = 0 then 'service' else 'module' end, cast(c_custkey % 20 as int) from customer
+"""
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation, customer = (_read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    k = F.col("n_nationkey") % 5
+    rows = [
+        spark.sql("select 'all' as id, cast(null as string) as parent_id, 'all' as name, 'project' as type, 0 as n_files"),
+        region.select(key("r", "r_regionkey").alias("id"), F.lit("all").alias("parent_id"), F.col("r_name").alias("name"), F.lit("package").alias("type"), F.lit(0).alias("n_files")),
+        nation.select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent_id"), F.col("n_name").alias("name"), F.when(k == 0, "package").when(k == 1, "web-client").when(k == 2, "api-server").when(k == 3, "content").otherwise("library").alias("type"), F.lit(2).alias("n_files")),
+        customer.select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 11 == 0, "service").otherwise("module").alias("type"), (F.col("c_custkey") % 20).cast("int").alias("n_files")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.withColumn("files", F.when(F.col("n_files") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n_files", F.lit(1))), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>"))).drop("n_files")
+
+
+_TREE_EDGES = "select 'n' || (l_partkey % 25) as source, 'n' || (l_suppkey % 25) as target, 'http' as type, count(*) as n from lineitem group by 1, 2"
+
+
+def _tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = lambda c: F.concat(F.lit("n"), (F.col(c) % 25).cast("string"))
+    return _read(spark, sf_dir, "lineitem").groupBy(node("l_partkey").alias("source"), node("l_suppkey").alias("target")).agg(F.count(F.lit(1)).alias("n")).withColumn("type", F.lit("http"))
+
+
+@query(f"""
+with recursive t as ({_TREE}), l as (select id, id as trail from t where parent_id is null union all select t.id, l.trail || '>' || t.id from t join l on t.parent_id = l.id) select id, trail from l
+""")
+def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way from the root to each component."""
+    return views.lineage(_tree(spark, sf_dir)).select("id", F.array_join("trail", ">").alias("trail"))
+
+
+@query(f"""
+with t as ({_TREE}), e as ({_TREE_EDGES}), client as (select id from t where type = 'web-client'), ends as (select source as a, target as b from e union all select target, source from e),
+facing as (select distinct b as id from ends where a in (select id from client) and b not in (select id from client)),
+cand as (
+  select n.id, n.type from t r join t n on n.parent_id = r.id where r.type = 'package' and r.parent_id = 'all' and n.type in ('web-client', 'api-server')
+  union all select c.id, c.type from t r join t n on n.parent_id = r.id join t c on c.parent_id = n.id where r.parent_id = 'all' and n.type not in ('web-client', 'api-server') and c.type = 'service')
+select id, type from cand where type = 'web-client' or id in (select id from facing)
+""")
+def top_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients and the servers that they reach, as first shown."""
+    tree = _tree(spark, sf_dir)
+    return views.visible(tree, _tree_edges(spark, sf_dir)).select("id", "type")
+
+
+@query(f"""
+with t as ({_TREE}), k as (select * from t where parent_id = 'r1'), heroes as (select c.id, c.parent_id from k join t c on c.parent_id = k.id where k.type not in ('web-client', 'api-server') and c.type = 'service'),
+opened as (select distinct parent_id as id from heroes),
+shown as (
+  select id from k where id not in (select id from opened) union select id from heroes union select c.id from t c join opened o on c.parent_id = o.id where c.type not in ('service', 'content'))
+select t.id, t.type from t where t.id in (select id from shown) and t.type <> 'content'
+  and (t.type in ('service', 'web-client', 'api-server', 'library') or t.n_files >= 10 or t.id in (select parent_id from t where parent_id is not null))
+""")
+def drilled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown inside one region."""
+    return views.visible(_tree(spark, sf_dir), _tree_edges(spark, sf_dir), "r1").select("id", "type")
+
+
+@query(f"with t as ({_TREE}), e as ({_TREE_EDGES}), s as (select id from t where parent_id = 'r1' or parent_id = 'r2') select source, target, n from e where source in (select id from s) and target in (select id from s)")
+def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between the nations of two regions."""
+    shown = _tree(spark, sf_dir).where("parent_id in ('r1', 'r2')")
+    return views.induced(_tree_edges(spark, sf_dir), shown).select("source", "target", "n")
+
+
+@query(f"with e as ({_TREE_EDGES}) select id, count(*) as connections from (select source as id from e union all select target from e where source <> target) group by id")
+def connection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.connection_counts(_tree_edges(spark, sf_dir))
+
+
+@query(f"with e as ({_TREE_EDGES}) select source, target, case when source = 'n3' then 'outgoing' else 'incoming' end as direction, case when source = 'n3' then target else source end as other from e where source = 'n3' or target = 'n3'")
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.neighbours(_tree_edges(spark, sf_dir), "n3").select("source", "target", "direction", "other")
+
+
+@query("""
+select l_orderkey, l_linenumber, case when l_linestatus = 'O' then 'communication' else 'structural' end as category,
+  case when l_linestatus = 'O' then (case when l_suppkey % 3 = 0 and l_partkey <> 0 then 'HTTP :' || cast(l_partkey as varchar) when l_suppkey % 3 <= 1 then 'HTTP' else l_returnflag end) else l_returnflag end as text, cast(case when l_linestatus = 'O' then 2.0 else 1.2 end as double) as width from lineitem
+""")
+def edge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category, text and line width of edges."""
+    k = F.col("l_suppkey") % 3
+    rows = _read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "O", "http").otherwise("import").alias("type"), F.when(k < 2, "HTTP").alias("protocol"), F.when(k == 0, F.col("l_partkey")).alias("port"), F.col("l_returnflag").alias("label")
+    )
+    return views.edge_labels(rows).select("l_orderkey", "l_linenumber", "category", "text", views.edge_style(F.col("type"))["width"].alias("width"))
+
+
+# --- symbols, search, annotations, formats ----------------------------------------------------------------
+
+
+@query("""
+select cast(o_orderkey as varchar) as id, kind from (
+  select *, row_number() over (order by case kind when 'class' then 0 when 'type' then 1 when 'impl' then 2 when 'function' then 3 else 5 end, case when o_orderstatus = 'F' then 0 else 1 end, lpad(cast(o_custkey as varchar), 9, '0'), o_orderkey) as k
+  from (select *, case left(o_orderpriority, 1) when '1' then 'class' when '2' then 'type' when '3' then 'impl' when '4' then 'function' else 'other' end as kind from orders)) where k <= 500
+""")
+def top_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 symbols: types first, public ones first, then by file."""
+    p = F.substring("o_orderpriority", 1, 1)
+    kind = F.when(p == "1", "class").when(p == "2", "type").when(p == "3", "impl").when(p == "4", "function").otherwise("other")
+    rows = _read(spark, sf_dir, "orders").select(F.lit("all").alias("repo"), F.col("o_orderkey").cast("string").alias("id"), kind.alias("kind"), F.when(F.col("o_orderstatus") == "F", "public").otherwise("private").alias("visibility"), F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("file"), F.col("o_orderkey").alias("ordinal"))
+    return symbols.top_symbols(rows, 500).select("id", "kind")
+
+
+_SEARCHED = "select 'component' as type, 's' || s_suppkey as id, s_name as name, 'supplier/' || s_suppkey as path, 'module' as kind from supplier union all select 'symbol', 'p' || p_partkey, p_name, p_brand, p_type from part"
+
+
+def _distance_sql(c: str, words: str) -> str:
+    n = len(words)
+    return f"case when lower({c}) = '{words}' then 0.0 when strpos(lower({c}), '{words}') > 0 then cast(0.1 as double) * (strpos(lower({c}), '{words}') - 1) / greatest(length({c}), 1) + cast(0.1 as double) * (1 - cast({n} as double) / greatest(length({c}), 1)) else cast(levenshtein(lower({c}), '{words}') as double) / greatest(length({c}), {n}) end"
+
+
+_WORDS = "widget"
+
+
+@query(f"""
+with x as ({_SEARCHED}), d as (select *, {_distance_sql("name", _WORDS)} as a, {_distance_sql("path", _WORDS)} as b, {_distance_sql("kind", _WORDS)} as c from x),
+s as (select type, id, round(least(case when a <= 0.4 then a end, case when b <= 0.4 then b * 1.1 + 0.1 end, case when c <= 0.4 then c * 1.2 + 0.2 end), 6) as score from d)
+select type, id, score from s where score is not null order by score, type, id limit 50
+""")
+def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best hits of a word in suppliers and parts."""
+    s, p = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "part")
+    key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    a = s.select(key("s", "s_suppkey").alias("id"), F.col("s_name").alias("name"), key("supplier/", "s_suppkey").alias("path"), F.lit("module").alias("type"), F.lit(None).cast("string").alias("language"))
+    b = p.select(key("p", "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("kind"))
+    none = a.select("path", "language").limit(0)
+    return views.search(views.search_index(a, none, b), _WORDS).select("type", "id", "score")
+
+
+@query("""
+with e as (select *, case when event_type in ('click', 'view') then 'component' else 'file' end as t, cast(user_id as varchar) as c, cast(user_id % 50 as varchar) as g from events),
+k as (select *, row_number() over (partition by t, case when t = 'component' then c else g end order by event_id desc) as r from e)
+select t as "targetType", count(*) as annotations, count(distinct c) as components from k where r = 1 group by t
+""")
+def annotation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations that hold after a log of them, by what they are about."""
+    e = _read(spark, sf_dir, "events")
+    log = e.select(
+        F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("componentId"), F.when(F.col("event_type").isin("click", "view"), "component").otherwise("file").alias("targetType"), (F.col("user_id") % 50).cast("string").alias("targetId"),
+        F.lit("").alias("targetName"), F.col("event_type").alias("text"), F.col("ts").alias("createdAt"), F.col("event_id").alias("seq"),
+    )
+    return views.annotation_counts(views.current_annotations(log))
+
+
+@query("""
+select c_custkey, case when v < 1024 then cast(v as varchar) || ' B' when v < 1048576 then regexp_replace(printf('%.1f', round(v / 1024.0, 1)), '\\.0$', '') || ' KB' else regexp_replace(printf('%.1f', round(v / 1048576.0, 1)), '\\.0$', '') || ' MB' end as size,
+  case when c_mktsegment = 'MACHINERY' then 0 when c_mktsegment = 'BUILDING' then 10 else 20 end as place from (select c_custkey, c_mktsegment, c_custkey * c_custkey as v from customer)
+""")
+def shown_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes as they are shown, and the places of types in a layout."""
+    kind = F.when(F.col("c_mktsegment") == "MACHINERY", "ios-client").when(F.col("c_mktsegment") == "BUILDING", "api-server").otherwise("module")
+    return _read(spark, sf_dir, "customer").select("c_custkey", views.format_bytes(F.col("c_custkey") * F.col("c_custkey")).alias("size"), views.type_order(kind).alias("place"))
+
+
+@query("""
+select 'g' || s_nationkey || '/' || s_name as id, 'g' || s_nationkey || '/a/' || s_suppkey as path, 'repo:g' || s_nationkey as parent_id from supplier
+""")
+def prefixed_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of several repositories made distinct by their names."""
+    s = _read(spark, sf_dir, "supplier")
+    repo = F.concat(F.lit("g"), F.col("s_nationkey").cast("string"))
+    none = F.lit(None).cast("string")
+    comps = s.select(repo.alias("repo"), F.col("s_name").alias("id"), F.concat(F.lit("a/"), F.col("s_suppkey").cast("string")).alias("path"), none.alias("parent_id"), F.array("s_name").alias("files"))
+    empty = comps.select("repo", none.alias("source"), none.alias("target"), none.alias("id"), none.alias("file"), none.alias("path"), F.array().cast("array<string>").alias("symbols")).limit(0)
+    found = multirepo.with_prefixes({"components": comps, "relationships": empty, "symbols": empty, "files": empty})
+    return found["components"].select("id", "path", "parent_id")

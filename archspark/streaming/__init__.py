@@ -1 +1 @@
-
+"""Streams: annotations as they come in."""

@@ -82,52 +82,57 @@ class Forest:
         self.order = np.argsort(codes, axis=1, kind="stable")
         self.sorted = np.take_along_axis(codes, self.order, axis=1)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, miss: float = MISS) -> Iterator[tuple[int, np.ndarray]]:
-        """(query's row, positions of its nearest rows, best first)."""
+    def ranges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, end), each depth x query x tree: the rows that share so many leading bits, in each sorted array."""
+        trees, queries = codes.shape
+        first, end = (np.empty((BITS + 1, queries, trees), np.int32) for _ in range(2))
+        for depth in range(BITS + 1):
+            span = np.uint64((1 << (BITS - depth)) - 1)
+            for t in range(trees):
+                first[depth, :, t] = np.searchsorted(self.sorted[t], codes[t] & ~span, "left")
+                end[depth, :, t] = np.searchsorted(self.sorted[t], codes[t] | span, "right")
+        return first, end
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, miss: float = MISS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's row, positions of its nearest rows, their cosines), best first."""
         n, trees = len(self.ids), len(self.planes)
         u = unit(queries)
-        codes = strings(u, self.planes)
-        # The two sorted neighbours of a string have the longest common prefixes with it.
-        spot = np.stack([np.searchsorted(self.sorted[t], codes[t]) for t in range(trees)])
-        around = [np.take_along_axis(self.sorted, np.clip(spot + d, 0, n - 1), axis=1) ^ codes for d in (-1, 0)]
-        deepest = BITS - np.frexp(np.minimum(*around).astype(np.float64))[1].clip(0, BITS)
+        first, end = self.ranges(strings(u, self.planes))
+        # The longest prefix that any row of any tree shares with the query: there the ascent starts.
+        deepest = ((end > first).any(axis=2)).sum(axis=0) - 1
         for q in range(len(queries)):
-            seen = np.zeros(n, bool)
-            seen[self.ids == query_ids[q]] = True
-            score = np.full(n, -np.inf)
-            low = spot[:, q].copy()
-            high = spot[:, q].copy()
-            for depth in range(int(deepest[:, q].max()), -1, -1):
-                new = []
-                span = (1 << (BITS - depth)) - 1
-                for t in np.flatnonzero(deepest[:, q] >= depth) if depth else range(trees):
-                    first = int(codes[t, q]) & ~span & ((1 << 64) - 1)
-                    a = int(np.searchsorted(self.sorted[t], np.uint64(first), "left"))
-                    b = int(np.searchsorted(self.sorted[t], np.uint64(first | span), "right"))
-                    new += [self.order[t, a : low[t]], self.order[t, high[t] : b]]
-                    low[t], high[t] = min(a, low[t]), max(b, high[t])
+            seen = self.ids == query_ids[q]
+            places, scores, best = [], [], np.zeros(0)
+            low = high = None
+            for depth in range(int(deepest[q]), -1, -1):
+                a, b = first[depth, q], end[depth, q]
                 mark = np.zeros(n, bool)
-                for run in new:
-                    mark[run] = True
+                if low is None:
+                    for t in np.flatnonzero(b > a):
+                        mark[self.order[t, a[t] : b[t]]] = True
+                else:
+                    for t in np.flatnonzero(a < low):
+                        mark[self.order[t, a[t] : low[t]]] = True
+                    for t in np.flatnonzero(b > high):
+                        mark[self.order[t, high[t] : b[t]]] = True
+                low, high = a, b
                 found = np.flatnonzero(mark & ~seen)
                 if len(found):
                     seen[found] = True
-                    score[found] = self.u[found] @ u[q]
-                if depth and seen.sum() > k:
-                    kth = float(np.partition(score, n - k)[n - k])
-                    if np.isfinite(kth):
-                        p = 1 - np.arccos(np.clip(kth, -1, 1)) / np.pi
-                        if (1 - p**depth) ** trees <= miss:
-                            break
-            have = np.flatnonzero(np.isfinite(score))
-            if not len(have):
+                    places.append(found)
+                    scores.append(self.u[found] @ u[q])
+                    best = np.sort(np.concatenate([best, scores[-1]]))[-k:]
+                if depth and len(best) == k:
+                    p = 1 - np.arccos(np.clip(best[0], -1, 1)) / np.pi
+                    if (1 - p**depth) ** trees <= miss:
+                        break
+            if not places:
                 continue
             # Exact measure and ties: a margin around the k-th keeps equal scores together.
-            edge = np.sort(score[have])[-min(k, len(have))] - 1e-9
-            have = have[score[have] >= edge]
+            have = np.concatenate(places)[np.concatenate(scores) >= best[0] - 1e-9]
             exact = cosines(queries[q : q + 1], self.x[have])[0]
-            best = np.lexsort((self.ids[have], -exact))[:k]
-            yield q, have[best], exact[best]
+            order = np.lexsort((self.ids[have], -exact))[:k]
+            yield q, have[order], exact[order]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:

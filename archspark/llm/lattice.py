@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .ann_forest import cosines, unit, usable
 from .common import bound_batches, cut, mix, read
 from .graph import components, spanning
-from .minhash import groups
+from .minhash import chunks
 
 TABLES, PARTS, PROBES = 8, 3, 6
 #: Edge of the lattice in the unit vectors' space of 64 dimensions; others scale with the projections' length.
@@ -138,27 +138,41 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(limit: float):
-    """Links of block i with block j of a cell: counts for each class, and a forest."""
+    """Links of block i with block j of each cell: counts for each class, and a forest.
+
+    The runs of a batch are gone through one by one for their near pairs; what is known of
+    these pairs' vectors (all their cells) is computed once for the batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, 3):
-            cell, i, j = (t.column(c)[0].as_py() for c in ("cell", "i", "j"))
-            block, rep, home, size, label = (t.column(c).to_numpy() for c in ("block", "rep", "home", "size", "label"))
-            us, vs, links = [], [], np.zeros(t.num_rows, np.int64)
+        for t, edges in chunks(batches, 3):
+            cell, block_i, block_j, block, rep, home, size, label = (t.column(c).to_numpy() for c in ("cell", "i", "j", "block", "rep", "home", "size", "label"))
+            run_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            links, us, vs = np.zeros(t.num_rows, np.int64), [], []
             for own, x in _by_length(t, "embedding"):
-                a, z = np.flatnonzero(block[own] == i), np.flatnonzero(block[own] == j)
-                near = (cosines(x[a], x[z]) >= limit) & (home[own[a]][:, None] | home[own[z]][None, :]) & (rep[own[a]][:, None] != rep[own[z]][None, :])
-                if i == j:
-                    near &= a[:, None] < z[None, :]
-                p, q = np.nonzero(near)
+                ps, qs = [], []
+                bounds = np.searchsorted(run_of[own], np.arange(len(edges)))
+                for a0, z0 in zip(bounds[:-1], bounds[1:], strict=True):
+                    part = own[a0:z0]
+                    if len(part) < 2:
+                        continue
+                    i, j = block_i[part[0]], block_j[part[0]]
+                    a, z = np.flatnonzero(block[part] == i) + a0, np.flatnonzero(block[part] == j) + a0
+                    near = (cosines(x[a], x[z]) >= limit) & (home[own[a]][:, None] | home[own[z]][None, :]) & (rep[own[a]][:, None] != rep[own[z]][None, :])
+                    if i == j:
+                        near &= a[:, None] < z[None, :]
+                    p, q = np.nonzero(near)
+                    ps.append(a[p])
+                    qs.append(z[q])
+                p, q = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (ps, qs))
                 if not len(p):
                     continue
-                p, q = a[p], z[q]
                 met = np.unique(np.concatenate([p, q]))
                 keys = cells(unit(x[met]), _salt(label[own[met]]))
-                for s in range(0, len(p), 65_536):
-                    m, n = np.searchsorted(met, p[s : s + 65_536]), np.searchsorted(met, q[s : s + 65_536])
-                    smaller = rep[own[p[s : s + 65_536]]] < rep[own[q[s : s + 65_536]]]
+                for s in range(0, len(p), 32_768):
+                    m, n = np.searchsorted(met, p[s : s + 32_768]), np.searchsorted(met, q[s : s + 32_768])
+                    here = cell[own[met[m]]]
+                    smaller = rep[own[met[m]]] < rep[own[met[n]]]
                     m, n = np.where(smaller, m, n), np.where(smaller, n, m)
                     # In each table: the smaller's home if the other is there, else the other's home if the smaller probes it.
                     at_m = (keys[n] == keys[m][:, :, :1]).any(axis=2)
@@ -166,8 +180,8 @@ def _linked(limit: float):
                     first = (at_m | at_n).argmax(axis=1)
                     row = np.arange(len(m))
                     where = np.where(at_m[row, first], keys[m, first, 0], keys[n, first, 0])
-                    here = where.view(np.int64) == cell
-                    left, right = own[met[m[here]]], own[met[n[here]]]
+                    counts = where.view(np.int64) == here
+                    left, right = own[met[m[counts]]], own[met[n[counts]]]
                     np.add.at(links, left, size[right])
                     np.add.at(links, right, size[left])
                     us.append(rep[left])

@@ -145,8 +145,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(both.mapInArrow(_confirm(percent), "u long, v long"), "links")
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of rows that are equal in the first ``keys`` columns, of sorted batches; a run may cross batches."""
+def chunks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[int]]]:
+    """(rows, edges): runs of rows that are equal in the first ``keys`` columns, of sorted batches; run k is rows[edges[k] : edges[k + 1]]. A run may cross batches."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
@@ -157,11 +157,19 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
             column = table.column(k).to_numpy()
             marks |= column[1:] != column[:-1]
         edges = [0, *(np.flatnonzero(marks) + 1).tolist()]
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            yield table.slice(a, z - a)
+        if len(edges) > 1:
+            yield table.slice(0, edges[-1]), edges
         held = table.slice(edges[-1]).to_batches()
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, [0, table.num_rows]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of ``chunks`` one by one."""
+    for table, edges in chunks(batches, keys):
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            yield table.slice(a, z - a)
 
 
 def spread(side: np.ndarray, label: np.ndarray, similar: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:

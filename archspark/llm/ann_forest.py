@@ -20,8 +20,9 @@ Equal vectors, however many, are only rows of their blocks.
 
 Cases: vectors that are null, empty, zero, of another length than the first query
 block's, or hold null or non-finite components take no part; null ids neither. A query
-with fewer than k candidates gets all of them. Ties go to the smaller id. Repeated rows
-are rows like others: a candidate is left out only if its id is the query's own.
+with fewer than k candidates gets all of them. Ties go to the smaller id. A query id that
+repeats is asked once (of several vectors the least one); repeated candidates are rows like
+others. A candidate is left out only if its id is the query's own.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, trees: int = TREES, mis
     """(query_id, rank, vec_id, score): each query's k nearest rows; both sides have vec_id and embedding."""
     bound_batches(rows.sparkSession)
     keep = lambda d: d.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(f"vec_id is not null and {usable('embedding')}")
-    rows, queries = keep(rows), keep(queries)
+    rows, queries = keep(rows), keep(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n, n_queries = rows.count(), queries.count()
     blocks, query_blocks = -(-max(n, 1) // block_rows), -(-max(n_queries, 1) // query_rows)
     hashed = lambda m, seed: F.pmod(F.xxhash64("vec_id", "embedding", F.lit(seed)), F.lit(m)).cast("int")

@@ -11,7 +11,8 @@ Packages are closed at ``ARCHIVE_BYTES``; a larger corpus makes more of them. A
 that is run again writes packages under new names; only names that a finished task
 returned are in the manifest, so a lost executor leaves unlisted files at worst.
 
-Cases: null payloads are empty ones; null urls have no target header; null page ids
+Cases: null payloads are empty ones; null urls have no target header, line ends in urls are
+percent-encoded; null page ids
 take part, but never as the record that others refer to unless every id of their group
 is null. Rows that repeat the smallest page id of a group are responses, all of them.
 An empty table makes no package and no row.
@@ -59,7 +60,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     name = f"{_URN}{page_id}" if page_id is not None else f"{_OTHER}{uuid.uuid4()}"
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>", "WARC-Date: 2000-01-01T00:00:00Z"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_URN}{refers_to}>"]
     head += [f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -242,8 +243,7 @@ def parse(raw: bytes) -> tuple[int | None, str | None, bytes, int, str, str, int
     if kind == "response" and (len(payload) != length or base32_sha1(payload) != digest):
         raise ValueError(f"record {named['WARC-Record-ID']} does not have the payload that its header states")
     number = lambda name: int(x) if (x := named.get(name, "").strip("<>").removeprefix(_URN)).lstrip("-").isdigit() else None
-    url = named.get("WARC-Target-URI")
-    return number("WARC-Record-ID"), url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), payload, length, digest, kind, number("WARC-Refers-To")
+    return number("WARC-Record-ID"), named.get("WARC-Target-URI"), payload, length, digest, kind, number("WARC-Refers-To")
 
 
 def read_records(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:

@@ -54,7 +54,7 @@ def test_records_come_back(spark, archive_bytes, member_bytes):
         raw = (html or "").encode()
         refers = first.get(html or "") if first.get(html or "") != i else None
         digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
-        want.append((i, url, bytearray(raw) if refers is None else bytearray(), len(raw), digest, "response" if refers is None else "revisit", refers))
+        want.append((i, url and url.replace("\r\n", "%0D%0A"), bytearray(raw) if refers is None else bytearray(), len(raw), digest, "response" if refers is None else "revisit", refers))
     assert got == sorted(want, key=str)
     assert manifest.agg({"records": "sum"}).first()[0] == len(PAGES)
     kinds = warc_zip.members(manifest).select("member", "compressed").collect()

@@ -184,7 +184,7 @@ def test_forest_recall(spark):
 
 
 def test_forest_ties_and_few(spark):
-    rows = [(0, [1.0, 0.0]), (9, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (7, [1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (9, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (7, [1.0, 0.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = ann_forest.nearest(table, table.where("vec_id = 0"), 5).orderBy("rank").collect()
     assert [(r.vec_id, round(r.score, 9)) for r in got] == [(3, 1.0), (7, 1.0), (9, 1.0), (4, 0.0)]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import mix, rank_within, read
 
 SHARDS = 8
-#: Rows of a shard are ranked in so many buckets.
+#: Rows of a shard are ranked in so many buckets at least; in more where the session has more shuffle partitions.
 BUCKETS = 64
 
 
@@ -52,8 +52,9 @@ def shard_of(shards: int):
     return of
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, buckets: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, grown_shard) of every row of docs (doc_id, text)."""
+    buckets = buckets or max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     facts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),

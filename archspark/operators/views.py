@@ -1,7 +1,8 @@
 """Queries on an architecture: drill-down, visible parts, neighbours, search, annotations.
 
-Component tables are flat, keyed by ``id`` with ``parent_id``; ``order`` columns that a
-query needs are the paths'. Loops over the tree have as many turns as the tree has levels.
+Component tables are flat, keyed by ``id`` with ``parent_id``. Loops over the tree have
+as many turns as the tree has levels; each level is a table in the shared folder, so that a
+turn computes one level and not all above it again.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import text as T
+from ..sources.storage import cut
 
 
 # --- the tree -------------------------------------------------------------------------
@@ -25,7 +27,7 @@ def lineage(comps: DataFrame, levels: int = 64) -> DataFrame:
     known = comps.where("parent_id is null").select("id", F.array("id").alias("trail"))
     out, rest = known, comps.where("parent_id is not null").select("id", "parent_id")
     for _ in range(levels):
-        known = rest.join(known.withColumnRenamed("id", "parent_id"), "parent_id").select("id", F.concat("trail", F.array("id")).alias("trail"))
+        known = cut(rest.join(known.withColumnRenamed("id", "parent_id"), "parent_id").select("id", F.concat("trail", F.array("id")).alias("trail")), "level")
         if known.isEmpty():
             break
         out = out.unionByName(known)
@@ -76,7 +78,7 @@ def top_candidates(comps: DataFrame, unwrap: int = 2, levels: int = 64) -> DataF
         found = hit if found is None else found.unionByName(hit)
         free = F.col("type").isin("project", "repository")
         inner = wave.where(~ends & (free | (F.col("budget") > 0))).select(F.col("id").alias("parent_id"), F.when(free, F.col("budget")).otherwise(F.col("budget") - 1).alias("budget"))
-        wave = rows.where("parent_id is not null").join(inner, "parent_id").select("id", "type", "budget")
+        wave = cut(rows.where("parent_id is not null").join(inner, "parent_id").select("id", "type", "budget"), "level")
         if wave.isEmpty():
             break
     return found
@@ -116,7 +118,7 @@ def drilled(comps: DataFrame, id_: str, levels: int = 64) -> DataFrame:
     tops = rows.where(~is_hero(F.col("type"))).select(F.col("id").alias("top"), "id")
     wave, heroes = tops, None
     for _ in range(levels):
-        below = comps.select("id", "parent_id", "type").join(wave.withColumnRenamed("id", "parent_id"), "parent_id").select("top", "id", "type")
+        below = cut(comps.select("id", "parent_id", "type").join(wave.withColumnRenamed("id", "parent_id"), "parent_id").select("top", "id", "type"), "level")
         hit = below.where(is_hero(F.col("type"))).select("top", "id")
         heroes = hit if heroes is None else heroes.unionByName(hit)
         wave = below.where(~is_hero(F.col("type"))).select("top", "id")
@@ -150,7 +152,7 @@ def other_components(comps: DataFrame, shown: DataFrame) -> DataFrame:
         hit = wave.where(~top & ~wrap & (F.col("type") != "content")).select(F.col("under").alias("parent_name"), "id")
         found = hit if found is None else found.unionByName(hit)
         inner = wave.where(top | wrap).select(F.col("id").alias("parent_id"), F.when(top, F.col("name")).otherwise(F.col("under")).alias("under"))
-        wave = rows.where("parent_id is not null").join(inner, "parent_id").select("id", "name", "type", "__top", "under")
+        wave = cut(rows.where("parent_id is not null").join(inner, "parent_id").select("id", "name", "type", "__top", "under"), "level")
         if wave.isEmpty():
             break
     return found

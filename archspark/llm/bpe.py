@@ -41,6 +41,8 @@ from .common import read, row_slices, texts_of, utf8
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES = 2 << 20
+#: Texts with more characters give their pre-tokens one by one and not as a list.
+LONG_TEXT = 4 << 20
 #: White space as the tokenizers' regular expressions have it; Python's \s also takes U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -73,7 +75,7 @@ def unpack(raw: bytes) -> tuple[np.ndarray, bytes]:
 
 def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, pattern: str) -> Iterator[tuple[bytes, list, np.ndarray, np.ndarray, list[list[bytes]]]]:
     """(digest, doc_ids, lengths, codes, words of each bucket) of each block of texts."""
-    find = pre_tokenizer(pattern).findall
+    found = pre_tokenizer(pattern)
     for b in batches:
         ids, texts = b.column(0), b.column(1)
         _, offsets = utf8(texts)
@@ -83,9 +85,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, pattern: str) -> It
             doc_ids = ids[first:end].to_pylist()
             digest.update(repr(doc_ids).encode())
             for text in texts[first:end].to_pylist():
-                pieces = find(text or "")
-                digest.update((text or "").encode())
-                parts.append(np.fromiter(map(code.__getitem__, pieces), np.uint32, len(pieces)))
+                text = text or ""
+                pieces = found.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in found.finditer(text))
+                digest.update(text.encode())
+                parts.append(np.fromiter(map(code.__getitem__, pieces), np.uint32))
             words = [w.encode() for w in code]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")

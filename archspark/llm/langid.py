@@ -59,7 +59,34 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (flat >> np.uint64(64 - 14)).astype(np.int64)
 
 
+def _counted_long(text: str) -> np.ndarray:
+    """The counts of one text, piece by piece; a piece begins with the last two characters of what was kept before."""
+    lowered, total, tail = text.lower() + "\0", np.zeros(DIMS, np.int64), ""
+    for at in range(0, len(lowered), SLICE):
+        c = np.frombuffer(lowered[at : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.where(_letters()[c], c, np.uint32(32))
+        before = np.uint32(ord(tail[-1])) if tail else np.uint32(0)
+        keep = (c != 32) | (np.concatenate([[before], c[:-1]]) != 32)
+        new = c[keep]
+        whole = np.concatenate([np.array([ord(x) for x in tail], np.uint32), new])
+        for k, features in enumerate(_ngrams(whole.astype(np.uint64)), 1):
+            total += np.bincount(features[max(0, len(tail) - k + 1) :] if k > 1 else _ngrams(new.astype(np.uint64))[0], minlength=DIMS)
+        tail = "".join(map(chr, whole[-2:]))
+    return total[None, :]
+
+
+def _ngrams(c: np.ndarray) -> list[np.ndarray]:
+    """Features of the 1-, 2- and 3-grams of one run of characters; single spaces have none."""
+    out, key = [c[c != 32] + np.uint64(1)], c + np.uint64(1)
+    for n in (2, 3):
+        key = key[:-1] * np.uint64(0x100000001B3) + c[n - 1 :] if len(key) > 1 else key[:0]
+        out.append(key + np.uint64(n << 60))
+    return [(x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 14)).astype(np.int64) for x in out]
+
+
 def counted(texts: list[str | None]) -> np.ndarray:
+    if len(texts) == 1 and len(texts[0] or "") > SLICE:
+        return _counted_long(texts[0])
     rows, features = grams(texts)
     return np.bincount(rows * DIMS + features, minlength=len(texts) * DIMS).reshape(len(texts), DIMS)
 

@@ -61,6 +61,8 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     size = np.diff(offsets).astype(np.float64)
 
     def share(table: np.ndarray) -> np.ndarray:
+        if n == 1:  # a long text has a slice of its own: no running sums over it
+            return np.array([np.count_nonzero(table[raw])]) / np.maximum(size, 1)
         total = np.concatenate([[0], np.cumsum(table[raw])])
         return (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(size, 1)
 
@@ -83,7 +85,8 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(raw):
         before[:-1] = _LINE[raw[1:]]
         before[np.maximum(offsets[1:] - 1, 0)[size > 0]] = True
-    closed = np.concatenate([[0], np.cumsum(before & _class(".!?\"'):")[raw])])
+    ends_line = before & _class(".!?\"'):")[raw]
+    closed = np.array([0, np.count_nonzero(ends_line)]) if n == 1 else np.concatenate([[0], np.cumsum(ends_line)])[offsets]
     out[:, 0], out[:, 1] = np.log1p(size), np.log1p(count)
     out[:, 2] = (size - ascii_space) / some
     for k, table in ((4, _UPPER), (5, _DIGIT), (6, _PUNCTUATION), (8, np.arange(256) > 127), (9, _CONTROL), (18, _BARS), (19, _BRACES), (20, _SLASHES)):
@@ -108,7 +111,7 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if d > c:
             out[i, 15] = len(np.unique(lines[c:d])) / (d - c)
     out[:, 14] = np.log1p(size / np.maximum(line_count, 1))
-    out[:, 16] = (closed[offsets[1:]] - closed[offsets[:-1]]) / np.maximum(line_count, 1)
+    out[:, 16] = np.diff(closed) / np.maximum(line_count, 1)
     out[:, 17] = share(_MARKS) * size / some
     out[:, 21] = capital / some
     return out

@@ -101,6 +101,16 @@ def test_grams():
     assert counts.sum(axis=1).tolist() == [plain_grams("ab ab"), plain_grams("ab")]
 
 
+@pytest.mark.parametrize("cut", [3, 7, 50])
+def test_long_texts_are_counted_in_pieces(cut, monkeypatch):
+    rng = random.Random(cut)
+    for text in ["ab 1 2  cd", "x" * 99, " 1 " * 40, "".join(rng.choice("aé 1.Σ") for _ in range(400))]:
+        whole = langid.counted([text, None])[:1]
+        monkeypatch.setattr(langid, "SLICE", cut)
+        assert (langid._counted_long(text) == whole).all()
+        monkeypatch.undo()
+
+
 def test_temperature_sharpens_and_flattens():
     rng = np.random.default_rng(1)
     true = rng.normal(size=(4000, 3)) * 2

@@ -126,6 +126,7 @@ def ranks():
 
 def test_encoding_is_tiktokens(spark, ranks, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(bpe, "LONG_TEXT", 2000)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, "same id", "x"), (None, "no id", "x")]
     out = bpe.decode(bpe.encode(spark.createDataFrame(rows, "doc_id long, text string, ids string"), ranks), ranks).collect()

@@ -524,3 +524,159 @@ def prefixed_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = comps.select("repo", none.alias("source"), none.alias("target"), none.alias("id"), none.alias("file"), none.alias("path"), F.array().cast("array<string>").alias("symbols")).limit(0)
     found = multirepo.with_prefixes({"components": comps, "relationships": empty, "symbols": empty, "files": empty})
     return found["components"].select("id", "path", "parent_id")
+
+
+# --- more of the operators on written text and on nations -----------------------------------------------
+
+
+@query("""
+select p_partkey, 'P' || p_partkey as name, 'class' as kind, cast(1 as bigint) as line, cast(4 as bigint) as end_line, 'public' as visibility, p_name as docstring from part
+union all select p_partkey, '_f' || p_size, 'function', 5, case when p_size % 2 = 0 then 6 else 8 end, 'private', null from part
+""")
+def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and functions of Python text, with where they end and what they say. A block that ends with the file has the fallback's end."""
+    head = F.concat(F.lit("class P"), F.col("p_partkey").cast("string"), F.lit(':\n    """'), F.col("p_name"), F.lit('"""\n\n\ndef _f'), F.col("p_size").cast("string"), F.lit("():\n    return 1\n"))
+    text = F.concat(head, F.when(F.col("p_size") % 2 == 0, "x = 1\n").otherwise("\n"))
+    files = _read(spark, sf_dir, "part").select(F.lit("all").alias("repo"), F.col("p_partkey").cast("string").alias("path"), F.lit("python").alias("language"), text.alias("content"))
+    rows = symbols.symbol_table(symbols.parsed(files))
+    return rows.select(F.col("file").cast("long").alias("p_partkey"), "name", "kind", "line", "end_line", "visibility", "docstring")
+
+
+@query("""
+select s_suppkey, 's' || s_suppkey || ',db' as services, 's' || s_suppkey || ':' || (9000 + s_nationkey) || ':80' || case when s_suppkey % 2 = 0 then ',db:5432:5432' else '' end as ports from supplier
+""")
+def compose_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services and ports of compose files."""
+    text = F.concat(
+        F.lit("version: '3'\nservices:\n  s"), F.col("s_suppkey").cast("string"), F.lit(":\n    ports:\n      - '"), (9000 + F.col("s_nationkey")).cast("string"), F.lit(":80'\n    image: x\n  db:\n"),
+        F.when(F.col("s_suppkey") % 2 == 0, "    ports:\n      - 5432:5432\n").otherwise("    image: y\n"), F.lit("volumes:\n  v:\n"),
+    )
+    c = configs.docker_compose(text)
+    ports = F.transform(c["ports"], lambda p: F.concat_ws(":", p["service"], p["host"].cast("string"), p["container"].cast("string")))
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(c["services"], ",").alias("services"), F.array_join(ports, ",").alias("ports"))
+
+
+def _typed(kind: Column) -> Column:
+    return F.when(kind == 0, "api-server").when(kind == 1, "web-client").when(kind == 2, "cli-tool").otherwise("module")
+
+
+_TYPED = "case {k} when 0 then 'api-server' when 1 then 'web-client' when 2 then 'cli-tool' else 'module' end"
+
+
+@query(f"""
+with n as (select n_nationkey as k, {_TYPED.format(k="n_nationkey % 4")} as type from nation),
+c as (select c_custkey, c_nationkey as k, {_TYPED.format(k="c_custkey % (2 + c_nationkey % 3)")} as type from customer)
+select 'n' || n.k as path, case when n.type <> 'module' and count(distinct case when c.type <> 'module' and c.type <> n.type then c.type end) >= 2 then 'package' else n.type end as type
+from n left join c on c.k = n.k group by n.k, n.type union all select 'n' || k || '/c' || c_custkey, type from c
+""")
+def demoted_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components that only wrap several kinds of others become packages."""
+    from ..operators.roles import demoted
+
+    n, c = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "customer")
+    top = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("path"), _typed(F.col("n_nationkey") % 4).alias("type"))
+    low = c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/c"), F.col("c_custkey").cast("string")).alias("path"), _typed(F.col("c_custkey") % (2 + F.col("c_nationkey") % 3)).alias("type"))
+    rows = top.unionByName(low).select(F.lit("all").alias("repo"), "path", "type", F.struct(F.lit(1).alias("kind"), "path").alias("ord"), F.lit(100).alias("n_files"))
+    return demoted(rows).select("path", "type")
+
+
+@query("""
+with f as (select source, case when doc_id % 20 < 2 + length(source) then 'md' else 'py' end as ext from documents), s as (select source, count(*) as n, sum(case when ext = 'md' then 1 else 0 end) as c from f group by source)
+select source as path, c / n > 0.8 as content_only from s
+""")
+def content_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of which over four fifths are content."""
+    from ..operators import roles
+
+    ext = F.when(F.col("doc_id") % 20 < 2 + F.length("source"), ".md").otherwise(".py")
+    files = _read(spark, sf_dir, "documents").select(F.lit("all").alias("repo"), F.col("source").alias("owner"), F.concat(F.lit("f"), ext).alias("name"))
+    return roles._shares(files).select("path", roles.is_content().alias("content_only"))
+
+
+@query(f"""
+with f as ({_FILES}) select owner, cast(arg_min(1000 + c_custkey % 3000, file) as bigint) as first_port from f where 1000 + c_custkey % 3000 >= 1024 group by owner
+""")
+def first_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The port of each component's first listening file."""
+    from ..operators.roles import first_ports as first
+
+    text = F.concat(F.lit("server.listen("), (1000 + F.col("c_custkey") % 3000).cast("string"), F.lit(")"))
+    files = _customer_files(spark, sf_dir, "go", text).withColumn("ports", T.ports(F.col("content")))
+    return first(files).select("owner", "first_port")
+
+
+@query(f"""
+with c as ({_COMPS}), f as (select * from ({_FILES}) where source_type = 'web-client'), s as (select id, port from c where type = 'api-server')
+select distinct f.source, s.id as target, 'API call' as label from f join s on contains('http://h:' || (8000 + f.c_custkey % 20) || '/x', ':' || s.port)
+""")
+def client_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients with HTTP calls and the servers whose ports their addresses have."""
+    text = F.concat(F.lit('fetch("http://h:'), (8000 + F.col("c_custkey") % 20).cast("string"), F.lit('/x")'))
+    files = _customer_files(spark, sf_dir, "typescript", text)
+    return relationships.first_of_each(relationships.client_edges(files, _nation_comps(spark, sf_dir))).select("source", "target", "label")
+
+
+@query(f"""
+with c as ({_COMPS}), f as (select * from ({_FILES}) where source_type = 'web-client'), s as (select id, name, port from c where type = 'api-server')
+select distinct f.source, s.id as target, 'env config' as label from f join c w on w.k = f.c_custkey % 25 join s on lower(s.name) = lower(w.name)
+  or contains('http://' || lower(w.name) || '/x', lower(replace(s.name, ' ', '-')))
+""")
+def config_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients whose configuration names a server."""
+    comps = _nation_comps(spark, sf_dir)
+    names = comps.select(F.col("n_nationkey").alias("k"), F.lower("name").alias("word"))
+    files = _customer_files(spark, sf_dir, "javascript", F.lit(None).cast("string")).withColumn("k", (F.col("c_custkey") % 25).cast("int")).join(names, "k")
+    files = files.withColumn("content", F.concat(F.lit("API_URL = 'http://"), F.col("word"), F.lit("/x'"))).withColumn("name", F.lit("next.config.js"))
+    return relationships.first_of_each(relationships.config_edges(files, comps)).select("source", "target", "label")
+
+
+@query("""
+with w as (select s_suppkey, s_nationkey from supplier where s_suppkey % 2 = 0), p as (select s_suppkey, s_nationkey from supplier where s_suppkey % 2 = 1)
+select 'w' || lpad(cast(w.s_suppkey as varchar), 6, '0') as source, coalesce(
+  (select min('p' || lpad(cast(p.s_suppkey as varchar), 6, '0')) from p where p.s_nationkey = w.s_nationkey), (select min('p' || lpad(cast(s_suppkey as varchar), 6, '0')) from (select arg_min(s_suppkey, 'g' || s_nationkey || '/p' || lpad(cast(s_suppkey as varchar), 6, '0')) as s_suppkey from p))) as target from w
+""")
+def companion_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each watch app with the phone app of its directory, else with the first."""
+    key = F.lpad(F.col("s_suppkey").cast("string"), 6, "0")
+    mark = F.when(F.col("s_suppkey") % 2 == 0, "w").otherwise("p")
+    id_ = F.concat(mark, key)
+    path = F.concat(F.lit("g"), F.col("s_nationkey").cast("string"), F.lit("/"), id_)
+    comps = _read(spark, sf_dir, "supplier").select(
+        F.lit("all").alias("repo"), id_.alias("id"), path.alias("path"), F.concat(F.lit("Zz "), id_).alias("name"), F.when(mark == "w", "watch-app").otherwise("ios-client").alias("type"), F.struct(F.lit(1).alias("kind"), path.alias("path")).alias("ord")
+    )
+    return relationships.companion_edges(comps).select("source", "target")
+
+
+@query("""
+with f as (select p_brand as owner, case p_partkey % 5 when 0 then 'user_view.py' when 1 then 'user_model.py' when 2 then 'view_model.py' when 3 then 'api_test.py' else 'x.py' end as name from part),
+g as (select owner, count(*) as n, bool_or(name like '%view%') as v, bool_or(name like '%model%') as m, bool_or(name = 'view_model.py') as vm, bool_or(name like 'api%') as a, sum(case when name like '%test%' then 1 else 0 end) as t from f group by owner)
+select owner, case when v and m and vm then 'MVVM,' else '' end || case when a then 'API Layer,' else '' end || case when t / n > 0.3 then 'Well-Tested,' else '' end || case when t > 0 then 'Tests (' || t || ' files)' else '' end as patterns from g
+""")
+def name_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Architectural patterns that file names tell."""
+    k = F.col("p_partkey") % 5
+    name = F.when(k == 0, "user_view.py").when(k == 1, "user_model.py").when(k == 2, "view_model.py").when(k == 3, "api_test.py").otherwise("x.py")
+    files = _read(spark, sf_dir, "part").select(F.lit("all").alias("repo"), F.col("p_brand").alias("owner"), name.alias("name"))
+    comps = files.select("repo", F.col("owner").alias("path")).distinct().withColumn("type", F.lit("module"))
+    found = docs.patterns(comps, files)
+    last = F.element_at("patterns", -1).startswith("Tests")
+    return found.select(F.col("path").alias("owner"), F.concat(F.array_join("patterns", ","), F.when(last | (F.size("patterns") == 0), "").otherwise(",")).alias("patterns"))
+
+
+@query("""
+with f as (select p_brand as owner, lpad(cast(p_partkey as varchar), 9, '0') as path, 'V' || (p_size % 30) as v, row_number() over (partition by p_brand order by p_partkey) as k from part),
+d as (select owner, v, min(k) as k from f where k <= 100 group by owner, v) select owner, string_agg(v, ',' order by k) as env_vars from d group by owner
+""")
+def component_env_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Environment variables of each component's first hundred files, in the order in which they come."""
+    text = F.concat(F.lit("process.env.V"), (F.col("p_size") % 30).cast("string"))
+    files = _read(spark, sf_dir, "part").select(F.lit("all").alias("repo"), F.col("p_brand").alias("owner"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("path"), F.lit("typescript").alias("language"), text.alias("content"))
+    files = files.withColumn("endpoints", T.endpoints(F.col("language"), F.col("content")))
+    return docs.found_in_files(files).select(F.col("path").alias("owner"), _joined("env_vars").alias("env_vars"))
+
+
+@query("select p_partkey as id, p_name as name from part where p_type = 'ECONOMY' and contains(lower(p_name), 'ring')")
+def symbol_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols by kind and part of the name."""
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
+    return views.matching_symbols(rows, "Ring", "ECONOMY").select("id", "name")

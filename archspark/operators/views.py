@@ -333,7 +333,7 @@ def annotation_counts(annotations: DataFrame) -> DataFrame:
 
 
 def format_bytes(n: Column) -> Column:
-    power = F.floor(F.log(1024.0, n)).cast("int")
+    power = F.least(F.floor(F.log(1024.0, n)).cast("int"), F.lit(3))
     value = F.round(n / F.pow(F.lit(1024.0), power), 1)
     shown = F.regexp_replace(F.format_string("%.1f", value), r"\.0$", "")
     return F.when(n == 0, "0 B").otherwise(F.concat(shown, F.lit(" "), F.element_at(F.array(*map(F.lit, ["B", "KB", "MB", "GB"])), power + 1)))

@@ -659,8 +659,8 @@ def name_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _read(spark, sf_dir, "part").select(F.lit("all").alias("repo"), F.col("p_brand").alias("owner"), name.alias("name"))
     comps = files.select("repo", F.col("owner").alias("path")).distinct().withColumn("type", F.lit("module"))
     found = docs.patterns(comps, files)
-    last = F.element_at("patterns", -1).startswith("Tests")
-    return found.select(F.col("path").alias("owner"), F.concat(F.array_join("patterns", ","), F.when(last | (F.size("patterns") == 0), "").otherwise(",")).alias("patterns"))
+    last = F.coalesce(F.try_element_at("patterns", F.lit(-1)).startswith("Tests"), F.lit(True))
+    return found.select(F.col("path").alias("owner"), F.concat(F.array_join("patterns", ","), F.when(last, "").otherwise(",")).alias("patterns"))
 
 
 @query("""

@@ -167,7 +167,3 @@ def resolve_imports(found: DataFrame, comps: DataFrame) -> DataFrame:
     first = hits.groupBy("repo", "import").agg(F.min_by("target", "ord").alias("target"))
     by_name = keys.where(~F.col("import").startswith(".")).join(first, ["repo", "import"]).select("repo", "file", "import", "target")
     return found.join(by_path.unionByName(by_name), ["repo", "file", "import"], "left")
-
-
-def content_flag(kind: Column) -> Column:
-    return kind == "content"

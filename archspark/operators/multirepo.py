@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 
-EDGE_RULE = "source_repo string, target_repo string, type string, label string, port long, bidirectional boolean"
-
 
 def _prefixed(c: str) -> Column:
     return F.concat(F.col("repo"), F.lit("/"), F.col(c))

@@ -162,6 +162,10 @@ def test_queries_on_an_analysis(merged):
     assert "mono/web" in {r["id"] for r in views.visible(c, e, "mono/root").collect()}
     others = {r["id"] for r in views.other_components(c, views.visible(c, e)).collect()}
     assert "mono/shared" not in top and "mono/root" in others
+    assert [r["name"] for r in views.symbols_in_file(arch.files, arch.symbols, "mono/web/src/App.tsx").collect()] == ["App"]
+    assert views.matching_files(arch.files, "BUTTON").count() == 1 and {r["kind"] for r in views.symbol_kinds(arch.symbols).collect()} >= {"class", "component", "struct"}
+    assert views.documented(arch.symbols, 2).count() == 2 and views.hit(c, arch.files, arch.symbols, "file", "mono/api/main.py").count() == 1
+    assert ("mono/web", "mono/api") in {(r["source"], r["target"]) for r in views.induced(e, views.visible(c, e)).collect()}
     json.dumps(made)
     assert "Components:" in export.summary(made)
 

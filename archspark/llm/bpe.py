@@ -27,6 +27,7 @@ import hashlib
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import read, row_slices, texts_of, utf8
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
 #: Texts with more characters give their pre-tokens one by one and not as a list.
 LONG_TEXT = 4 << 20
 #: White space as the tokenizers' regular expressions have it; Python's \s also takes U+001C to U+001F.
@@ -73,14 +74,27 @@ def unpack(raw: bytes) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(raw, np.uint32, n, 4).astype(np.int64), raw[4 + 4 * n :]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, pattern: str) -> Iterator[tuple[bytes, list, np.ndarray, np.ndarray, list[list[bytes]]]]:
-    """(digest, doc_ids, lengths, codes, words of each bucket) of each block of texts."""
+@dataclass
+class _Block:
+    digest: bytes
+    doc_ids: list
+    lengths: np.ndarray
+    codes: np.ndarray
+    lists: list[list[bytes]]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, pattern: str, lists: bool) -> Iterator[_Block]:
+    """Blocks of texts: with the words of each bucket (lists), or with the codes of all places.
+
+    A code is a word's place in the list of all words, by bucket and then as first seen; so
+    either half of a block fits the other.
+    """
     found = pre_tokenizer(pattern)
     for b in batches:
         ids, texts = b.column(0), b.column(1)
         _, offsets = utf8(texts)
         for first, end in row_slices(offsets, BLOCK_BYTES):
-            code: dict[str, int] = defaultdict(count().__next__)
+            code: dict[str, int] = {} if lists else defaultdict(count().__next__)
             digest, parts = hashlib.blake2b(digest_size=16), []
             doc_ids = ids[first:end].to_pylist()
             digest.update(repr(doc_ids).encode())
@@ -88,17 +102,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, pattern: str) -> It
                 text = text or ""
                 pieces = found.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in found.finditer(text))
                 digest.update(text.encode())
-                parts.append(np.fromiter(map(code.__getitem__, pieces), np.uint32))
+                if lists:
+                    code.update(dict.fromkeys(pieces, 0))
+                else:
+                    parts.append(np.fromiter(map(code.__getitem__, pieces), np.uint32))
             words = [w.encode() for w in code]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.uint32)
-            place[order] = np.arange(len(words), dtype=np.uint32)
-            sizes = np.bincount(bucket, minlength=buckets)
-            ends = np.cumsum(sizes)
-            lists = [[words[i] for i in order[e - s : e]] for s, e in zip(sizes, ends, strict=True)]
-            lengths = np.fromiter(map(len, parts), np.int32, len(parts))
-            yield digest.digest(), doc_ids, lengths, place[np.concatenate(parts)] if parts and len(words) else np.zeros(0, np.uint32), lists
+            out = _Block(digest.digest(), doc_ids, np.fromiter(map(len, parts), np.int32, len(parts)), np.zeros(0, np.uint32), [])
+            if lists:
+                ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+                out.lists = [[words[i] for i in order[a:z]] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+            elif words:
+                place = np.empty(len(words), np.uint32)
+                place[order] = np.arange(len(words), dtype=np.uint32)
+                out.codes = place[np.concatenate(parts)]
+            yield out
 
 
 def _wide(codes: np.ndarray) -> bytes:
@@ -129,13 +148,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, _, words in _blocks(batches, buckets, pattern):
-            kept = [(i, pack(x)) for i, x in enumerate(words) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([block] * len(kept), pa.binary()), pa.array([x for _, x in kept], pa.binary())], names=["bucket", "block", "words"])
+        for block in _blocks(batches, buckets, pattern, True):
+            kept = [(i, pack(x)) for i, x in enumerate(block.lists) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([block.digest] * len(kept), pa.binary()), pa.array([x for _, x in kept], pa.binary())], names=["bucket", "block", "words"])
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, doc_ids, lengths, codes, _ in _blocks(batches, buckets, pattern):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([_wide(codes)], pa.binary())], names=["block", "doc_ids", "lengths", "codes"])
+        for block in _blocks(batches, buckets, pattern, False):
+            yield pa.RecordBatch.from_arrays([pa.array([block.digest], pa.binary()), pa.array([block.doc_ids], pa.list_(pa.int64())), pa.array([block.lengths], pa.list_(pa.int32())), pa.array([_wide(block.codes)], pa.binary())], names=["block", "doc_ids", "lengths", "codes"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})

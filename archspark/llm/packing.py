@@ -3,15 +3,16 @@
 A plan needs only how many pieces there are of each length: at most ``capacity``
 numbers, whatever the corpus. Bin completion (after Korf, 2003) works on these counts:
 
-* Around the largest remaining length, undominated fillings of the rest are
-  enumerated, larger pieces first (a filling with one piece dominates those that have
-  several smaller ones in its place). The best-fit filling is the incumbent; a branch is
-  cut when the sums that its lengths can reach do not beat the incumbent's waste.
-* The filling found is used as often as the counts allow. When few pieces remain, the
-  search backtracks over their fillings and is cut by the waste bound: sequences used
-  plus the rest's tokens over the capacity, against the incumbent's sequences.
-* The best-fit decreasing plan of all counts is the incumbent of the whole: it stays
-  unless bin completion has fewer sequences.
+* Around the largest remaining length, the undominated fillings of the rest are
+  enumerated lazily (a filling is dominated if a remaining longer piece can take the
+  place of some of its pieces). None is dropped but by the waste bound.
+* A branch is (filling, times): how often the filling is used, most often first. A
+  branch is cut when sequences used plus the rest's tokens over the capacity reach the
+  incumbent's, or when the same counts were met with as few sequences.
+* Incumbents are best-fit decreasing, the fullest filling at every step, and plans that take
+  the longest pieces among fillings with at most a given waste (``WASTES``). The best of
+  these is the search's first descent too. A search ends at the lower bound (dual feasible
+  functions), when all is searched, or after ``SEARCH_STEPS`` steps, at every size of input.
 
 Pieces are ranked within their length (``rank_within``: no task holds a length) and the
 rank's place in the plan gives sequence and offset. Documents longer than the capacity
@@ -23,11 +24,12 @@ are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -45,8 +47,10 @@ from .common import cut, rank_within, read, texts_of
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Branches of the last backtracking search, and how many pieces it starts with at most.
-SEARCH_NODES, SEARCH_PIECES = 20_000, 40
+#: Steps of the search after the incumbents (branches, and places looked at to enumerate fillings).
+SEARCH_STEPS = 2_000_000
+#: Waste of one sequence that the incumbents' fillings may have, in tokens.
+WASTES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -132,48 +136,96 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # (((length, how many), ...), sequences)
 
 
-def _usable(counts: Counter, most: int) -> list[int]:
-    return sorted((x for x, n in counts.items() if n and x <= most), reverse=True)
-
-
-def best_filling(room: int, counts: Counter) -> tuple[int, ...]:
-    """Lengths from counts with the largest sum within room; among equal sums, larger pieces first."""
-    lengths = _usable(counts, room)
-    best: list[int] = []
-    left, rest = room, Counter()
-    for x in lengths:  # the incumbent: best fit, larger first
-        take = min(left // x, counts[x])
-        best += [x] * take
-        left -= x * take
-        rest[x] = take
-    best_sum = room - left
-    if best_sum == room or not lengths:
-        return tuple(best)
-    reach = [0] * (len(lengths) + 1)  # sums that lengths[i:] can make, as bits
-    reach[-1] = 1
+class Spent(Exception):
+    """The search has had its steps."""
+
+
+class Steps:
+    def __init__(self, most: int | None):
+        self.left = most
+
+    def take(self) -> None:
+        if self.left is not None:
+            self.left -= 1
+            if self.left < 0:
+                raise Spent
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that no plan can go below: the largest of bounds by dual feasible functions (Fekete and Schepers, 2001; Carlier, Clautiaux and Moukrim, 2007)."""
+    x, n = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+    best = -(-int((x * n).sum()) // capacity)
+    for k in range(1, capacity // 2 + 1):
+        whole = capacity // k
+        stepped = np.where(2 * x > capacity, 2 * (whole - (capacity - x) // k), np.where(2 * x == capacity, whole, 2 * (x // k)))
+        short = np.where(x > capacity - k, capacity, np.where(x < k, 0, x))
+        best = max(best, -(-int((stepped * n).sum()) // (2 * whole)), -(-int((short * n).sum()) // capacity))
+    return best
+
+
+def fillings(room: int, have: dict[int, int], waste: int, steps: Steps, allowed: Callable[[], int]) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Every undominated filling of room from the counts ``have``, as ((length, how many), ...).
+
+    Those that leave at most ``waste`` (or the least that can be left) come before the others; longer
+    pieces come first. Fillings that leave more than ``allowed()`` are no use and left out.
+    """
+    lengths = sorted((x for x, n in have.items() if n and x <= room), reverse=True)
+    if not lengths:
+        yield ()
+        return
+    if lengths[0] == room:  # one piece dominates all else
+        yield ((room, 1),)
+        return
+    most = [min(have[x], room // x) for x in lengths]
+    reach = [1] * (len(lengths) + 1)  # sums that lengths[i:] can make, as bits
     mask = (1 << (room + 1)) - 1
     for i in range(len(lengths) - 1, -1, -1):
-        bits, step, have = reach[i + 1], lengths[i], min(counts[lengths[i]], room // lengths[i])
-        take = 1
-        while have > 0:
-            k = min(take, have)
-            bits |= (bits << (step * k)) & mask
-            have, take = have - k, take * 2
+        bits, n, take = reach[i + 1], most[i], 1
+        while n > 0:
+            k = min(take, n)
+            bits |= (bits << (lengths[i] * k)) & mask
+            n, take = n - k, take * 2
         reach[i] = bits
-    top = reach[0].bit_length() - 1
-    if top == best_sum:
-        return tuple(best)
-    # A filling with the sum ``top`` exists; walk to it, larger pieces first.
-    out, i, need = [], 0, top
-    while need:
-        x = lengths[i]
-        for k in range(min(need // x, counts[x]), -1, -1):
-            if reach[i + 1] >> (need - k * x) & 1:
-                out += [x] * k
-                need -= k * x
+    least = room - (reach[0].bit_length() - 1)
+    every = sum(1 << x for x in lengths)
+    near = max(waste, least)
+    for low, high in ((0, near), (near + 1, room)):
+        # (lengths seen, room left, own, sums of own pieces, sums of two own pieces or more, lengths that remain)
+        todo = [(0, room, (), 1, 0, every)]
+        while todo:
+            steps.take()
+            i, need, own, sums, several, rest = todo.pop()
+            if i == len(lengths):
+                if need <= allowed() and not _dominated(need, own, several, rest):
+                    yield own
+                continue
+            if low > allowed():
                 break
-        i += 1
-    return tuple(out)
+            x = lengths[i]
+            for k in range(min(need // x, most[i]) + 1):
+                if k:
+                    several |= (several << x) | ((sums & ~1) << x)
+                    sums |= sums << x
+                left = need - k * x
+                from_, to = max(0, left - high), left - low
+                if several & rest:  # a longer piece does as well as some of these
+                    break
+                if to >= 0 and (reach[i + 1] >> from_) & ((1 << (to - from_ + 1)) - 1):
+                    todo.append((i + 1, left, (*own, (x, k)) if k else own, sums, several, rest & ~(1 << x) if k == have[x] else rest))
+
+
+def _dominated(left: int, own: tuple[tuple[int, int], ...], several: int, rest: int) -> bool:
+    """Whether one remaining length can take the place of some pieces (or none) of own, with ``left`` of room to spare."""
+    if several & rest or rest & ((1 << (left + 1)) - 2):
+        return True
+    spread, done = several, 0
+    for x, _ in own:
+        spread |= 1 << x
+    while done < left - 1:
+        k = min(done + 1, left - 1 - done)
+        spread |= spread << k
+        done += k
+    return left > 0 and bool((spread << 1) & rest)  # sums and 1 to ``left`` more
 
 
 def best_fit_decreasing(counts: Counter, capacity: int) -> list[list[int]]:
@@ -226,83 +278,107 @@ def best_fit_size(counts: Counter, capacity: int) -> int:
     return used
 
 
-def _fillings(room: int, counts: Counter, most: int) -> list[tuple[int, ...]]:
-    """Fillings to which no remaining length can be added, the fullest first; none that a single longer piece dominates."""
-    lengths, out, nodes = _usable(counts, room), [], 0
-
-    def walk(i: int, left: int, own: tuple[int, ...]) -> None:
-        nonlocal nodes
-        nodes += 1
-        if nodes > most:
-            return
-        if not any(x <= left and counts[x] > own.count(x) for x in lengths):
-            out.append(own)
-            return
-        for j in range(i, len(lengths)):
-            x = lengths[j]
-            if x <= left and counts[x] > own.count(x):
-                walk(j, left - x, (*own, x))
-
-    walk(0, room, ())
-    whole = set(lengths)
-    fit = [f for f in out if not any(a + b in whole and counts[a + b] > f.count(a + b) for k, a in enumerate(f) for b in f[k + 1 :])]
-    return sorted(fit, key=lambda f: (room - sum(f), len(f)))
-
-
-def complete(counts: Counter, capacity: int, nodes: int = SEARCH_NODES) -> list[list[int]]:
-    """Bin completion with backtracking over few pieces; at least as good as best-fit decreasing."""
-    best = best_fit_decreasing(counts, capacity)
-    total = sum(x * n for x, n in counts.items())
-    floor, tried = -(-total // capacity), 0
-
-    def search(left: Counter, tokens: int, done: list[list[int]]) -> None:
-        nonlocal best, tried
-        tried += 1
-        if not tokens:
-            if len(done) < len(best):
-                best = [*done]
-            return
-        if tried > nodes or len(best) == floor or len(done) + -(-tokens // capacity) >= len(best):
-            return
-        x = max(y for y, n in left.items() if n)
-        left[x] -= 1
-        for f in _fillings(capacity - x, left, 300):
-            for y in f:
-                left[y] -= 1
-            search(left, tokens - x - sum(f), [*done, [x, *f]])
-            for y in f:
-                left[y] += 1
-        left[x] += 1
-
-    search(Counter(counts), total, [])
-    return best
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """How often each filling is used, so that every piece has a place."""
-    left = Counter({x: n for x, n in counts.items() if n})
-    out: Plan = []
+def descent(counts: dict[int, int], capacity: int, waste: int) -> Plan:
+    """The first undominated filling of the largest length, as often as the counts allow, until all are placed."""
+    left, out, free = dict(counts), [], Steps(None)
     while left:
-        if sum(left.values()) <= SEARCH_PIECES:
-            for own in complete(left, capacity):
-                out.append((tuple(Counter(own).items()), 1))
-            break
         x = max(left)
-        left[x] -= 1
-        own = Counter([x, *best_filling(capacity - x, left)])
-        left[x] += 1
-        times = min(left[y] // k for y, k in own.items())
-        out.append((tuple(own.items()), times))
-        for y, k in own.items():
+        own = _with(x, next(fillings(capacity - x, left | {x: left[x] - 1}, waste, free, lambda: capacity)))
+        times = min(left[y] // k for y, k in own)
+        out.append((own, times))
+        for y, k in own:
             left[y] -= k * times
             if not left[y]:
                 del left[y]
-    if sum(n for _, n in out) > best_fit_size(Counter(counts), capacity):
-        merged: Counter = Counter(tuple(Counter(x).items()) for x in best_fit_decreasing(Counter(counts), capacity))
-        out = list(merged.items())
     return out
 
 
+def _with(x: int, filling: tuple[tuple[int, int], ...]) -> tuple[tuple[int, int], ...]:
+    """A filling and its largest piece."""
+    if filling and filling[0][0] == x:
+        return ((x, filling[0][1] + 1), *filling[1:])
+    return ((x, 1), *filling)
+
+
+def size(plan: Plan) -> int:
+    return sum(n for _, n in plan)
+
+
+def search(counts: dict[int, int], capacity: int, below: int, bound: int, waste: int, steps: Steps) -> Plan | None:
+    """A plan of fewer than ``below`` sequences, the best that the steps allow; None if there is none, or none was found."""
+    left = np.zeros(capacity + 1, np.int64)
+    for x, n in counts.items():
+        left[x] = n
+    tokens, used = sum(x * n for x, n in counts.items()), 0
+    done: Plan = []
+    best: Plan | None = None
+    seen: dict[bytes, int] = {}
+
+    def branches() -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
+        lengths = np.flatnonzero(left)
+        x = int(lengths[-1])
+        have = {int(y): int(left[y]) for y in lengths if y <= capacity - x}
+        if x in have:
+            have[x] -= 1
+        forced = have.get(capacity - x, 0) > 0 or not any(have.values())
+        for f in fillings(capacity - x, have, waste, steps, lambda: (below - 1 - used) * capacity - tokens):
+            own = _with(x, f)
+            most = min(int(left[y]) // k for y, k in own)
+            for times in (most,) if forced else range(most, 0, -1):
+                yield own, times
+
+    def turn(own: tuple[tuple[int, int], ...], times: int) -> None:
+        nonlocal tokens, used
+        for y, k in own:
+            left[y] -= k * times
+        tokens -= times * sum(y * k for y, k in own)
+        used += times
+
+    todo = [branches()]
+    try:
+        while todo and below > bound:
+            step = next(todo[-1], None)
+            if step is None:
+                todo.pop()
+                if done:
+                    turn(done[-1][0], -done.pop()[1])
+                continue
+            steps.take()
+            turn(*step)
+            if not tokens and used < below:
+                best, below = [*done, step], used
+            if tokens and used + -(-tokens // capacity) < below:
+                key = hashlib.blake2b(left.tobytes(), digest_size=16).digest()
+                if used < seen.get(key, below):
+                    seen[key] = used
+                    done.append(step)
+                    todo.append(branches())
+                    continue
+            turn(step[0], -step[1])
+    except Spent:
+        pass
+    return best
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> Plan:
+    """How often each filling is used, so that every piece has a place."""
+    counts = {x: n for x, n in counts.items() if n}
+    if not counts:
+        return []
+    bound = lower_bound(counts, capacity)
+    best, waste = None, 0
+    for w in WASTES:
+        own = descent(counts, capacity, w)
+        if best is None or size(own) < size(best):
+            best, waste = own, w
+        if size(best) == bound:
+            return best
+    if size(best) > best_fit_size(Counter(counts), capacity):
+        merged: Counter = Counter(tuple(Counter(x).items()) for x in best_fit_decreasing(Counter(counts), capacity))
+        best = list(merged.items())
+    return search(counts, capacity, size(best), bound, waste, Steps(steps)) or best
+
+
 def placed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """rows (doc_id, piece, length, ...) with sequence_id and offset; only counts of lengths come to the driver."""
     counts = {int(r["length"]): int(r["n"]) for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import itertools
 import json
 import random
 import zipfile
@@ -204,6 +205,32 @@ def test_few_pieces_are_packed_best():
         assert sum(t for _, t in packing.plan(Counter(lengths), 100)) == fewest(lengths, 100)
 
 
+def test_many_pieces_are_searched():
+    """Sequences cut in three, of 180 pieces: no greedy pass and no best fit finds them all."""
+    for seed in range(6):
+        rng, lengths = random.Random(seed), []
+        for _ in range(60):
+            a = rng.randint(26, 49)
+            b = rng.randint(max(25, 51 - a), min(49, 75 - a))
+            lengths += [a, b, 100 - a - b]
+        assert sum(t for _, t in packing.plan(Counter(lengths), 100)) == packing.lower_bound(Counter(lengths), 100) == 60
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 3), min_size=1, max_size=5), st.integers(1, 24), st.integers(0, 5))
+def test_undominated_fillings(have, room, waste):
+    lengths = sorted((x for x in have if x <= room), reverse=True)
+    want = set()
+    for ks in itertools.product(*(range(have[x] + 1) for x in lengths)):
+        own = [x for x, k in zip(lengths, ks, strict=True) for _ in range(k)]
+        spare = room - sum(own)
+        parts = [p for n in range(len(own) + 1) for p in itertools.combinations(own, n)]
+        if spare >= 0 and not any(have[c] > own.count(c) and sum(p) <= c <= sum(p) + spare and p != (c,) for c in lengths for p in parts):
+            want.add(tuple((x, k) for x, k in zip(lengths, ks, strict=True) if k))
+    got = list(packing.fillings(room, have, waste, packing.Steps(None), lambda: room))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_packed_documents(spark):
     rng = random.Random(5)
     texts = [None, "", "x", "<|endoftext|> y", *(" ".join(rng.choice(["alpha", "beta,", "Gamma", "12"]) for _ in range(rng.choice([3, 50, 300, 900, 3000]))) for _ in range(120))]

@@ -13,22 +13,30 @@ LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an identified language; the columns of docs. Rows that repeat an id with another text are judged together: one that is identified keeps them."""
-    judged = langid.identified(docs, langid.train(docs))
+    """Documents with an identified language; the columns of docs. Each row is judged by its own text, whatever its id."""
+    rows = _keyed(docs)
+    judged = langid.identified(_by_row(rows), langid.train(docs))
     rejected = (F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LANGUAGE_SCORE)
-    return _keep(docs, judged.groupBy("doc_id").agg(F.max(~rejected).alias("ok")))
+    return _keep(rows, judged.where(~rejected))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of at least the operator's threshold; the columns of docs."""
-    judged = quality.scored(docs, quality.train(docs, read(spark, sf_dir, "labels")))
-    return _keep(docs, judged.groupBy("doc_id").agg(F.max(F.col("score") >= quality.THRESHOLD).alias("ok")))
+    """Documents with a quality score of at least the operator's threshold; the columns of docs. Each row is judged by its own text, whatever its id."""
+    rows = _keyed(docs)
+    judged = quality.scored(_by_row(rows), quality.train(docs, read(spark, sf_dir, "labels")))
+    return _keep(rows, judged.where(F.col("score") >= quality.THRESHOLD))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 0.8), that with the smallest id; the columns of docs."""
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    return _keep(docs, found.groupBy("doc_id").agg(F.max("kept").alias("ok")))
+    """One row of each group of near-duplicates (five-word shingles, 0.8), that with the smallest id; the columns of docs.
+
+    Null ids come last, and of rows that repeat an id one stays. Rows without words are in no group and stay.
+    """
+    rows = _keyed(docs)
+    found = minhash.near_duplicates(_by_row(rows), width=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first"))
+    return _keep(rows, first.select(F.col("first.__row").alias("doc_id")))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +44,23 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-def _keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    ids = judged.where("ok").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_id"]), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row: ids may be null or repeated.
+
+    A row's key is its place in the scan, so docs must give its rows in the same partitions and order
+    whenever it is read, as a stored table does (stages get such); a copy would take its texts' size on disk.
+    """
+    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """Keyed rows as (doc_id, text) for an operator, with the key as the id."""
+    return rows.select(F.col("__row").alias("doc_id"), "text")
+
+
+def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Of keyed rows those whose key is a doc_id of kept, without the key."""
+    return rows.join(kept.select(F.col("doc_id").alias("__row")), "__row", "left_semi").drop("__row")
 
 
 STAGES = [("language ID", language_id), ("quality classifier", quality_filter), ("MinHash near-dedup", near_dedup), ("best-fit packing", best_fit)]

@@ -151,3 +151,20 @@ def test_stages_take_odd_tables(spark):
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
     assert packing.pieces(docs).count() >= len(rows) and minhash.near_duplicates(docs).count() == len(rows)
+
+
+def test_stages_judge_rows(spark):
+    """Null and repeated ids: one row of each group stays, and no row is judged by another's text."""
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice(["and", "the", "house", "river", "tree", "stone"]) for _ in range(60)) + "."
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(None, a, "null, unique"), (None, b, "null, copy"), (7, b, "7"), (8, c, "8"), (8, c, "8 again"), (9, d, "9"), (9, text(), "9, other"), (None, "12 34", "no letter"), (9, "56 78", "9, no letter")]
+    rows += [(20 + i, text(), "rest") for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", n) for i, t, n in rows], "doc_id long, text string, lang string, name string")
+    got = [r.name for r in p.near_dedup(spark, docs, "/root/testdata/sf0.001").collect()]
+    assert got.count("8") + got.count("8 again") == 1
+    assert {"null, unique", "7", "9", "9, other"}.issubset(got) and "null, copy" not in got
+    got = [r.name for r in p.language_id(spark, docs, "/root/testdata/sf0.001").collect()]
+    assert {"null, unique", "null, copy", "9"}.issubset(got) and not {"no letter", "9, no letter"} & set(got)

@@ -25,8 +25,8 @@ unconfirmed, which can't change components.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are
 kept; texts shorter than a shingle have one shingle; null ids have no class of their
-own: they get no component and are not kept; rows that repeat an id share its result;
-an empty table gives no rows; other columns are not read.
+own: they get no component and are not kept; rows that repeat an id share its component,
+each of their texts links with its own near-duplicates; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -117,7 +117,9 @@ def _sets(width: int):
             for first, end in row_slices(offsets):
                 own = offsets[first : end + 1]
                 sets = shingle_sets(raw[own[0] : own[-1]], own - own[0], width)
-                yield pa.RecordBatch.from_arrays([b.column(0)[first:end], pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
+                whole = [s.tobytes() for s in sets]
+                digest = [hashlib.blake2b(x, digest_size=16).digest() for x in whole]
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(whole, pa.binary())], names=["digest", "shingles"])
 
     return run
 
@@ -270,24 +272,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     texts = texts_of(docs)
     facts = cut(texts.mapInArrow(_facts(width), FACTS), "facts")
     held = facts.where("digest is not null and doc_id is not null")
-    classes = cut(held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
+    classes = held.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     many = banded.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).where("first <> last")
     members = block_pairs(banded.join(many.select("key", "m"), "key"), "key")
     lows = classes.select("rep", "n_shingles", "low")
     # Classes that estimates join: nothing else can be a link.
     near = cut(components(_forest(members.join(lows, "rep").select("key", "i", "j", "block", "rep", "n_shingles", "low"), "key", percent, False)).select(F.col("id").alias("rep"), F.col("component").alias("near")), "near")
-    wanted = texts.join(near, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(wanted.mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
+    named = near.join(classes.select("rep", "digest", "id"), "rep").select("rep", "digest", "id")
+    wanted = texts.join(named.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = wanted.mapInArrow(_sets(width), "digest binary, shingles binary").join(named.select("digest", "rep"), "digest")
+    sets = cut(sets.select("rep", "shingles").dropDuplicates(["rep"]), "sets")  # an id may have several texts of one class
     links = confirmed(near.where("near <> rep").select(F.col("near").alias("u"), F.col("rep").alias("v")), sets, percent)
     comp = cut(components(links).withColumnRenamed("id", "rep"), "components")
     labelled = near.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = labelled.groupBy("near").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1 and m > 2").select("near", "m")
     rest = block_pairs(labelled.join(apart, "near"), "near").join(lows, "rep").join(sets, "rep")
     links = links.unionByName(_forest(rest.select("near", "i", "j", "block", "rep", "component", "n_shingles", "low", "shingles"), "near", percent, True))
-    comp = cut(components(links).withColumnRenamed("id", "rep"), "components")
-    known = facts.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left").join(comp, "rep", "left")
-    out = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    # Classes of one id are one component, whatever their texts.
+    of = held.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).where("u <> last").select("doc_id", "u")
+    same_id = of.join(several, "doc_id").select("u", F.col("rep").alias("v")).where("u <> v").distinct()
+    comp = cut(components(links.unionByName(same_id)).withColumnRenamed("id", "rep"), "components").join(classes.select("rep", "id"), "rep")
+    least = comp.groupBy("component").agg(F.min("id").alias("least"))
+    known = classes.select("digest", "rep", "id").join(comp.join(least, "component").select("rep", "least"), "rep", "left").select("digest", F.coalesce("least", "id").alias("component"))
+    out = facts.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

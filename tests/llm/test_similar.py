@@ -104,6 +104,19 @@ def test_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(docs.limit(0), 2).count() == 0
 
 
+def test_each_text_of_a_repeated_id_links(spark):
+    """Ids 2, 4, ... have a far and a near text; near copies of both have ids of their own."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(0, 40, 4):
+        far, near = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+        rows += [(i + 1, " ".join(far)), (i + 1, " ".join(near)), (i + 2, " ".join([*far, "x"])), (i + 3, " ".join([*near, "y"]))]
+        want |= {i + 1: i + 1, i + 2: i + 1, i + 3: i + 1}
+    rng.shuffle(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(2000, 2050)] + [(7, 7)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where none is set (tests)."""
+    """The shared folder; a temporary one only where none is set on a local master (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="archspark-")
@@ -28,16 +31,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def drop() -> None:
-        try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # the JVM may be gone already
-            pass
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
-    atexit.register(drop)
+    at_exit(drop)
     return path
 
 
+def at_exit(what) -> None:
+    """Calls what when the driver ends; by then the JVM may be gone, which is no error."""
+
+    def safely() -> None:
+        with contextlib.suppress(Exception):
+            what()
+
+    atexit.register(safely)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df written to the shared folder and read back: lineage ends, the parts are computed once."""
     spark = df.sparkSession

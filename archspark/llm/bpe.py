@@ -1,20 +1,21 @@
 r"""Byte-level BPE by a global shuffle of distinct pre-tokens, and decoding.
 
-1. Each task cuts its texts into pre-tokens and gathers them into blocks of about
-   ``BLOCK_BYTES``. A block's distinct pre-tokens are dealt to hash buckets; the block
-   itself is the sequence of positions' codes, where a code is a pre-token's place in
-   the block's bucket-ordered list.
-2. The lists of distinct pre-tokens are shuffled by bucket. All copies of a pre-token
-   meet in one bucket, where it is encoded once. A frequent pre-token comes once from
-   each block and not once from each place, so that no bucket is hot.
-3. The ids go back to their blocks (a join on the block's digest) and each text's ids
-   are put together by position, by array look-ups.
+1. Each task cuts its texts into pre-tokens, once, and gathers them into blocks of about
+   ``BLOCK_BYTES``. A block has its distinct pre-tokens, dealt to hash buckets, and for every
+   position of its texts a code: the pre-token's rank by frequency in the block. Blocks are a
+   table in the shared folder, bucketed by block.
+2. The lists of distinct pre-tokens are exploded and shuffled by bucket. All copies of a
+   pre-token meet in one bucket, where it is encoded once. A frequent pre-token comes once from
+   each block and not once from each position, so that no bucket is hot.
+3. The ids are joined back to their blocks, whose bucketed table is not shuffled again, and
+   each text's ids are put together by position, by array look-ups.
 4. Decoding joins ids with the token-byte table by position in that table (it is
    dense and as large as the vocabulary) and concatenates the bytes.
 
-A block is named by a digest of what it holds, so that the two branches agree after a
-lost executor; the join fails loudly if they should not. Long texts are blocks of their
-own. Nothing but the vocabulary (fixed size) is broadcast.
+Positions and pre-tokens travel as arrays of a block, since a row for each (block, pre-token) would take
+more disk than the texts do. Blocks are named at random, written once and read from there by
+both branches; a block whose lists do not have the expected sizes raises an error. Nothing but the
+vocabulary (fixed size) is broadcast, and a task remembers at most ``KNOWN_WORDS`` encoded pre-tokens.
 
 Cases: a null text is empty and has no ids; null and repeated doc_ids are carried as they
 are; an empty table gives no rows; other columns are not read.
@@ -23,11 +24,10 @@ are; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import base64
-import hashlib
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -38,17 +38,19 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, row_slices, texts_of, utf8
+from .common import BATCH_BYTES, bucketed, read, texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Encoded pre-tokens that a task remembers; beyond that it begins anew.
+KNOWN_WORDS = 500_000
 #: Texts with more characters give their pre-tokens one by one and not as a list.
 LONG_TEXT = 4 << 20
 #: White space as the tokenizers' regular expressions have it; Python's \s also takes U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-LISTS = "bucket int, block binary, words binary"
-SEQUENCES = "block binary, doc_ids array<long>, lengths array<int>, codes binary"
+BLOCKS = "block string, doc_ids array<long>, lengths array<int>, codes binary, dealt binary, buckets array<int>, words array<binary>"
+LISTS = "block string, bucket int, words binary"
 
 
 def pre_tokenizer(pattern: str = public_tokenizers.PATTERN) -> regex.Pattern:
@@ -74,50 +76,50 @@ def unpack(raw: bytes) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(raw, np.uint32, n, 4).astype(np.int64), raw[4 + 4 * n :]
 
 
-@dataclass
 class _Block:
-    digest: bytes
-    doc_ids: list
-    lengths: np.ndarray
-    codes: np.ndarray
-    lists: list[list[bytes]]
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, pattern: str, lists: bool) -> Iterator[_Block]:
-    """Blocks of texts: with the words of each bucket (lists), or with the codes of all places.
+    """Texts of a task until they are enough for a block."""
+
+    def __init__(self):
+        self.code: dict[str, int] = defaultdict(count().__next__)
+        self.doc_ids, self.parts, self.size = [], [], 0
+
+    def add(self, doc_id: int | None, text: str, found: regex.Pattern) -> None:
+        pieces = found.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in found.finditer(text))
+        self.parts.append(np.fromiter(map(self.code.__getitem__, pieces), np.uint32))
+        self.doc_ids.append(doc_id)
+        self.size += len(text) + 1
+
+    def row(self, buckets: int) -> pa.RecordBatch:
+        """A BLOCKS row. Codes are ranks by frequency; ``dealt`` is the bucket of each rank."""
+        words = [w.encode() for w in self.code]
+        codes = np.concatenate(self.parts)
+        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        bucket = np.fromiter((zlib.crc32(words[i]) % buckets for i in order.tolist()), np.uint32, len(words))
+        by_bucket = np.argsort(bucket, kind="stable")
+        some, sizes = np.unique(bucket, return_counts=True)
+        ends = np.cumsum(sizes)
+        lists = [pack([words[i] for i in order[by_bucket[z - n : z]].tolist()]) for z, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        lengths = np.fromiter(map(len, self.parts), np.int32, len(self.parts))
+        columns = [[uuid.uuid4().hex], [self.doc_ids], [lengths], [_wide(rank[codes])], [_wide(bucket)], [some.astype(np.int32)], [lists]]
+        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "doc_ids", "lengths", "codes", "dealt", "buckets", "words"])
+
+
+def _blocks(buckets: int, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, block = pre_tokenizer(pattern), _Block()
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                block.add(doc_id, text.as_py() or "", found)
+                if block.size >= BLOCK_BYTES:
+                    yield block.row(buckets)
+                    block = _Block()
+        if block.doc_ids:
+            yield block.row(buckets)
 
-    A code is a word's place in the list of all words, by bucket and then as first seen; so
-    either half of a block fits the other.
-    """
-    found = pre_tokenizer(pattern)
-    for b in batches:
-        ids, texts = b.column(0), b.column(1)
-        _, offsets = utf8(texts)
-        for first, end in row_slices(offsets, BLOCK_BYTES):
-            code: dict[str, int] = {} if lists else defaultdict(count().__next__)
-            digest, parts = hashlib.blake2b(digest_size=16), []
-            doc_ids = ids[first:end].to_pylist()
-            digest.update(repr(doc_ids).encode())
-            for text in texts[first:end].to_pylist():
-                text = text or ""
-                pieces = found.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in found.finditer(text))
-                digest.update(text.encode())
-                if lists:
-                    code.update(dict.fromkeys(pieces, 0))
-                else:
-                    parts.append(np.fromiter(map(code.__getitem__, pieces), np.uint32))
-            words = [w.encode() for w in code]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(bucket, kind="stable")
-            out = _Block(digest.digest(), doc_ids, np.fromiter(map(len, parts), np.int32, len(parts)), np.zeros(0, np.uint32), [])
-            if lists:
-                ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-                out.lists = [[words[i] for i in order[a:z]] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-            elif words:
-                place = np.empty(len(words), np.uint32)
-                place[order] = np.arange(len(words), dtype=np.uint32)
-                out.codes = place[np.concatenate(parts)]
-            yield out
+    return run
 
 
 def _wide(codes: np.ndarray) -> bytes:
@@ -140,23 +142,10 @@ def gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarra
     return flat[shift + np.arange(total)]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(doc_id, n_tokens, ids) of docs (doc_id, text); ids are little-endian unsigned 32-bit integers."""
-    spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = texts_of(docs)
-    shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, buckets, pattern, True):
-            kept = [(i, pack(x)) for i, x in enumerate(block.lists) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([block.digest] * len(kept), pa.binary()), pa.array([x for _, x in kept], pa.binary())], names=["bucket", "block", "words"])
-
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, buckets, pattern, False):
-            yield pa.RecordBatch.from_arrays([pa.array([block.digest], pa.binary()), pa.array([block.doc_ids], pa.list_(pa.int64())), pa.array([block.lengths], pa.list_(pa.int32())), pa.array([_wide(block.codes)], pa.binary())], names=["block", "doc_ids", "lengths", "codes"])
+def _once(shared, pattern: str):
+    """Lists of pre-tokens as lists of their ids; a task encodes each pre-token once."""
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
         known: dict[bytes, bytes] = {}
         for b in batches:
@@ -167,36 +156,61 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
                 for size in sizes.tolist():
                     word, at = flat[at : at + size], at + size
                     if (found := known.get(word)) is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
                         found = known[word] = np.array(bpe._encode_single_piece(word), np.uint32).tobytes()
                     ids.append(found)
                 out.append(pack(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["bucket", "block", "words"])
-
-    def together(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {}
-        for i, raw in zip(right.column("bucket").to_pylist(), right.column("words").to_pylist(), strict=True):
-            found[i] = raw
-        parts = [unpack(found[i]) for i in sorted(found)]
-        sizes = np.concatenate([x[0] for x in parts]) // 4 if parts else np.zeros(0, np.int64)
-        flat = np.frombuffer(b"".join(x[1] for x in parts), "<u4")
-        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        doc_ids, counts, ids = [], [], []
-        for row in range(left.num_rows):
-            codes = _narrow(left.column("codes")[row].as_py())
-            if len(codes) and codes.max() >= len(sizes):
-                raise ValueError("a block's pre-tokens are missing: its texts changed while they were encoded")
-            ends = np.cumsum(left.column("lengths")[row].values.to_numpy().astype(np.int64))
-            first = 0
-            for doc_id, end in zip(left.column("doc_ids")[row].as_py(), ends.tolist(), strict=True):
-                own = gather(starts[codes[first:end]], sizes[codes[first:end]], flat)
-                doc_ids.append(doc_id)
-                counts.append(len(own))
-                ids.append(own.tobytes())
-                first = end
-        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-
-    encoded = texts.mapInArrow(lists, LISTS).repartition(buckets, "bucket").mapInArrow(once, LISTS)
-    return texts.mapInArrow(sequences, SEQUENCES).groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(together, "doc_id long, n_tokens long, ids binary")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "words"])
+
+    return run
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's ids, by looking up its block's codes."""
+    for b in batches:
+        for row in range(b.num_rows):
+            doc_ids, lengths, codes, dealt, lists = (b.column(k)[row].as_py() for k in range(1, 6))
+            codes, dealt = _narrow(codes), _narrow(dealt)
+            have = {x["bucket"]: unpack(x["words"]) for x in lists or []}
+            some, expected = np.unique(dealt, return_counts=True)
+            if sorted(have) != some.tolist() or [len(have[i][0]) for i in some.tolist()] != expected.tolist():
+                raise ValueError("a block's lists do not fit its codes")
+            by_bucket = np.argsort(dealt, kind="stable")
+            own = [have[i] for i in some.tolist()]
+            sizes = np.zeros(len(dealt), np.int64)
+            starts = sizes.copy()
+            sizes[by_bucket] = np.concatenate([x[0] for x in own]) // 4 if own else sizes
+            starts[by_bucket] = np.concatenate([[0], np.cumsum(sizes[by_bucket])])[:-1]
+            flat = np.frombuffer(b"".join(x[1] for x in own), "<u4")
+            first, done = 0, ([], [], [])
+            held = 0
+            for doc_id, n in zip(doc_ids, lengths, strict=True):
+                ids = gather(starts[codes[first : first + n]], sizes[codes[first : first + n]], flat)
+                for column, x in zip(done, (doc_id, len(ids), ids.tobytes()), strict=True):
+                    column.append(x)
+                first, held = first + n, held + 4 * len(ids)
+                if held >= BATCH_BYTES:
+                    yield _ids(done)
+                    done, held = ([], [], []), 0
+            yield _ids(done)
+
+
+def _ids(columns: tuple[list, list, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_tokens", "ids"])
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(doc_id, n_tokens, ids) of docs (doc_id, text); ids are little-endian unsigned 32-bit integers."""
+    spark = docs.sparkSession
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
+    blocks = bucketed(texts_of(docs).mapInArrow(_blocks(buckets, pattern), BLOCKS), "block", buckets)
+    lists = blocks.select("block", F.explode(F.arrays_zip("buckets", "words")).alias("e")).select("block", F.col("e.buckets").alias("bucket"), "e.words")
+    encoded = lists.repartition(buckets, "bucket").mapInArrow(_once(shared, pattern), LISTS)
+    back = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "words")).alias("ids"))  # a list for each bucket
+    joined = blocks.select("block", "doc_ids", "lengths", "codes", "dealt").join(back, "block", "left")
+    return joined.mapInArrow(_together, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut, fresh_path, work_dir  # noqa: F401
+from ..sources.storage import at_exit, cut, fresh_path, work_dir  # noqa: F401
 
 #: Rows of one task's numpy work are cut into slices of about this many text bytes.
 SLICE_BYTES = 2 << 20
@@ -25,6 +25,10 @@ SLICE_BYTES = 2 << 20
 BATCH_BYTES = 8 << 20
 
 
+#: A table of fewer bytes a core may be one file with one row group.
+SPREAD_BYTES = 4 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -37,10 +41,27 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df written to the shared folder by ``buckets`` hash buckets of key: joins by key need not shuffle it again."""
+    spark = df.sparkSession
+    path = fresh_path(spark, "bucketed")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    at_exit(lambda: spark.sql(f"drop table if exists {name}"))
+    return spark.table(name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it is so small (SPREAD_BYTES a core) that its files may give work to a few tasks only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of docs, in the types that the operators' functions take."""
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def fold(doc_id: Column) -> Column:

@@ -312,3 +312,23 @@ def test_manifest_lines_are_json():
     with pytest.raises(ValueError, match="payload"):
         warc_zip.parse(warc_zip._gzip(raw.replace(b"abc", b"abd")))
     assert json.loads(json.dumps({"page_id": None}))["page_id"] is None
+
+
+def test_blocks_with_equal_bytes_stay_apart(spark, ranks):
+    """Partitions with the same ids and the same bytes, cut elsewhere into texts, don't mix."""
+    rows = [(1, "hello wor"), (2, "ld zebra"), (1, "hello world z"), (2, "ebra"), (None, "hello wor"), (None, "ld zebra")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    out = bpe.decode(bpe.encode(docs, ranks), ranks).collect()
+    assert sorted((str(r.doc_id), bytes(r.decoded).decode()) for r in out) == sorted((str(i), t) for i, t in rows)
+
+
+def test_a_forgetful_task_encodes_the_same(spark, ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
+    docs = spark.createDataFrame([(i, "one two three four five six " * 3) for i in range(4)], "doc_id long, text string")
+    assert len({bytes(r.ids) for r in bpe.encode(docs, ranks).collect()}) == 1
+
+
+def test_texts_are_cut_into_pre_tokens_once(spark, ranks):
+    """The blocks' table is read by both branches, and its big side is not shuffled."""
+    plan = bpe.encode(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), ranks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and "Bucketed: true" in plan

@@ -89,6 +89,25 @@ def rank_within(df: DataFrame, groups: list[str], order: list[str], out: str, bu
     return joined.withColumn(out, (F.col("__base") + F.col("__r") - 1).cast("long")).select(*df.columns, out)
 
 
+#: A key is hot if it has more than one row in so many; there can be no more hot keys than that.
+HOT = 1000
+
+
+def salted(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, deal: str) -> DataFrame:
+    """rows joined with table by key, where one key may have most rows.
+
+    table has each key once, with ``size``, how many of about ``total`` rows have it. Rows of hot keys
+    (at most HOT, so the list is broadcast) are dealt to all partitions by a hash of ``deal``; only
+    the hot keys' rows of table are repeated for that.
+    """
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col(size) * HOT > total
+    hot = table.where(is_hot).select(key, F.lit(salts).alias("__salts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(deal), F.col("__salts")), F.lit(0)).cast("int"))
+    copies = table.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.drop("__salts").join(copies, [key, "__salt"]).drop("__salt")
+
+
 # --- Arrow batches as numpy -------------------------------------------------------
 
 
@@ -120,7 +139,6 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
 # --- words and shingles -----------------------------------------------------------
 
 _ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -134,52 +152,97 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each byte: is it a separator, and its random value (A-Z have those of a-z)."""
+def _separators() -> np.ndarray:
+    """For each byte: does it end a word?"""
     sep = np.zeros(256, bool)
     sep[[0x20, *range(0x09, 0x0E)]] = True
-    value = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_ODD)) | np.uint64(1)
-    value[65:91] = value[97:123]
-    return sep, value
+    return sep
+
+
+@cache
+def _digits() -> np.ndarray:
+    """For each byte its digit, from 1 on; A-Z have those of a-z."""
+    digit = np.arange(1, 257, dtype=np.uint64)
+    digit[65:91] = digit[97:123]
+    return digit
+
 
+#: Words are numbers to this base modulo this prime: of two different words of n bytes or less, at most n bases of all give both one value.
+_PRIME = (1 << 61) - 1
+_BASE = 0x9E3779B97F4A7C15 % _PRIME
 
-_powers_cache: list[tuple[np.ndarray, np.ndarray]] = []
 
+def _times(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """a * b modulo the prime 2^61 - 1, of values below it."""
+    b = np.asarray(b, np.uint64)
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle, last = a1 * b0 + a0 * b1, a0 * b0
+    return _reduced(((a1 * b1) << np.uint64(3)) + (middle >> np.uint64(29)) + ((middle & np.uint64((1 << 29) - 1)) << half) + (last >> np.uint64(61)) + (last & np.uint64(_PRIME)))
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(_PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(_PRIME), x - np.uint64(_PRIME), x)
+
+
+_powers_cache: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low 31 bits, other bits, inverse) of the base's powers below n."""
     if not _powers_cache or len(_powers_cache[0][0]) < n:
-        base, inverse = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
-        up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-        up[0] = down[0] = 1
-        _powers_cache[:] = [(np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))]
+
+        def raised(base: int) -> np.ndarray:
+            out = np.ones(1, np.uint64)
+            while len(out) < n:
+                out = np.concatenate([out, _times(out, pow(base, len(out), _PRIME))])
+            return out[:n]
+
+        up = raised(_BASE)
+        _powers_cache[:] = [((up & np.uint64((1 << 31) - 1)).astype(np.uint32), (up >> np.uint64(31)).astype(np.uint32), raised(pow(_BASE, -1, _PRIME)))]
     return _powers_cache[0]
 
 
+def _values(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words raw[start : end] as numbers; raw has 2^22 bytes at most, so that sums of products stay below 2^61."""
+    low, high, inverse = _powers(len(raw) + 1)
+    digit, sums = _digits()[raw], []
+    for power in (low, high):
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(digit * power[: len(raw)], out=total[1:])
+        sums.append(total[ends] - total[starts])
+    return _times(_reduced(_times(_reduced(sums[1]), 1 << 31) + _reduced(sums[0])), inverse[starts])
+
+
 def _hash_run(raw: np.ndarray, doc_start: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of each word of raw. doc_start: bool for each byte that begins a document."""
-    _, value = _tables()
-    gap = sep[raw]
-    word = ~gap
-    before = np.ones(len(raw), bool)
-    before[1:] = gap[:-1]
-    before |= doc_start
-    starts = np.flatnonzero(word & before)
-    after = np.ones(len(raw), bool)
-    after[:-1] = before[1:] | gap[1:]
-    ends = np.flatnonzero(word & after) + 1
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(value[raw] * up[: len(raw)], out=total[1:])
-    hashes = (total[ends] - total[starts]) * down[starts]
-    return starts, mix(hashes ^ ((ends - starts).astype(np.uint64) * np.uint64(_ODD)))
+    word = ~sep[raw]
+    edge = word.copy()
+    edge[1:] &= doc_start[1:] | ~word[:-1]
+    starts = np.flatnonzero(edge)
+    last = word.copy()
+    last[:-1] &= doc_start[1:] | ~word[1:]
+    ends = np.flatnonzero(last) + 1
+    if len(raw) <= 2 * SLICE_BYTES:
+        value = _values(raw, starts, ends)
+    else:  # a word that is longer than a slice, in pieces
+        value = np.zeros(len(starts), np.uint64)
+        for k, (start, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            total = 0
+            for a in range(start, end, SLICE_BYTES):
+                piece = raw[a : min(a + SLICE_BYTES, end)]
+                own = int(_values(piece, np.zeros(1, np.int64), np.array([len(piece)]))[0])
+                total = (total + own * pow(_BASE, a - start, _PRIME)) % _PRIME
+            value[k] = total
+    return starts, mix(value ^ ((ends - starts).astype(np.uint64) * np.uint64(_ODD)))
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, their documents, words before each document) of texts in bytes.
 
     A word is a longest run of bytes other than 0x20 and 0x09-0x0D, or those that the bool
-    table sep marks; A-Z count as a-z.
-    Long runs of bytes are hashed in pieces that end between words.
+    table sep marks; A-Z count as a-z. Runs of bytes are hashed that end between words.
     """
     n = len(offsets) - 1
     if not len(raw):
@@ -187,7 +250,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray | None = None) -
     begins = np.zeros(len(raw) + 1, bool)
     begins[offsets[:-1]] = True
     begins = begins[:-1]
-    sep = _tables()[0] if sep is None else sep
+    sep = _separators() if sep is None else sep
     starts, hashes, at = [], [], 0
     while at < len(raw):
         end = min(len(raw), at + SLICE_BYTES)

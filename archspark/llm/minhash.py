@@ -15,13 +15,17 @@ values: a pair at 0.8 shares no band with probability (1 - 0.8^5)^32, about 3 in
    deviations); a forest of these joins leaves the task, never all pairs. Their
    components are the groups in which alone links can be.
 4. The full sets of classes in such groups are computed from the texts, once. Pairs of each
-   group's smallest member with the others are confirmed on them; most groups are one
-   component then. In the others, components are compared with each other on full sets,
-   until they are joined or every pair between them is refuted; again a forest leaves the task.
+   group's smallest member with the others are confirmed on them, block by block of the group;
+   most groups are one component then. In the others, components are compared with each other on full
+   sets, until they are joined or every pair between them is refuted; again a forest leaves the task.
 
 Large buckets and groups are compared block against block, in as many tasks as there are
-pairs of blocks. No bucket, group or candidate list is capped. Links inside a component go
-unconfirmed, which can't change components.
+pairs of blocks; a block has at most about ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles. Rows of hot
+buckets and groups are dealt to all partitions where they meet their group's facts (``salted``). No bucket, group
+or candidate list is capped. Links inside a component go unconfirmed, which can't change components.
+
+A shingle is a 64-bit hash of its words' hashes, and those are values of polynomials modulo the
+prime 2^61 - 1: two different words of n bytes are taken for one with a chance of about n / 2^61.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are
 kept; texts shorter than a shingle have one shingle; null ids have no class of their
@@ -36,10 +40,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, read, row_slices, shingle_sets, texts_of, utf8
+from .common import cut, mix, read, row_slices, salted, shingle_sets, texts_of, utf8
 from .graph import components
 
 PERMUTATIONS = 80
@@ -47,6 +51,8 @@ ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
+#: Shingles of full sets in a block: 16 MB.
+BLOCK_SHINGLES = 2 << 20
 
 FACTS = "doc_id long, n_shingles long, digest binary, bands array<long>, low binary"
 
@@ -124,27 +130,31 @@ def _sets(width: int):
     return run
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            x, y = b.column(2), b.column(3)
-            for i in range(b.num_rows):
-                s, t = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                both = np.concatenate([s, t])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * shared >= percent * (len(both) - shared)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep))
+def _similar_enough(own: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets (sorted, distinct) are as similar to own as they should be."""
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    shared = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return 100 * shared >= percent * (len(own) + sizes - shared)
 
-    return run
 
+def _sets_of(t: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles").combine_chunks()]
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v) those whose full sets (rep, shingles) are similar enough."""
-    left = pairs.select("u", "v").distinct().join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("x")), "u")
-    both = left.join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
-    return cut(both.mapInArrow(_confirm(percent), "u long, v long"), "links")
+
+def _to_first(percent: int):
+    """Links of a group's first member with those of a block that are similar to it, on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 2):
+            rep, near, sets = t.column("rep").to_numpy(), t.column("near")[0].as_py(), _sets_of(t)
+            others = np.flatnonzero(rep != near)
+            if len(others):
+                fits = others[_similar_enough(sets[int(np.flatnonzero(rep == near)[0])], [sets[o] for o in others], percent)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fits), near)), pa.array(rep[fits])], names=["u", "v"])
+
+    return run
 
 
 def chunks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[int]]]:
@@ -231,17 +241,13 @@ def _alike(percent: int, exact: bool):
             low = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("low").combine_chunks()])
             estimated = similar = _estimated(low, t.column("n_shingles").to_numpy(), percent)
             if exact:
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles").combine_chunks()]
+                sets = _sets_of(t)
 
                 def similar(x: int, others: np.ndarray, sets=sets, estimated=estimated) -> np.ndarray:
                     keep = estimated(x, others)
                     some = np.flatnonzero(keep)
                     if len(some):
-                        own, sizes = sets[x], np.array([len(sets[o]) for o in others[some]])
-                        flat = np.concatenate([sets[o] for o in others[some]])
-                        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-                        shared = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                        keep[some] = 100 * shared >= percent * (len(own) + sizes - shared)
+                        keep[some] = _similar_enough(sets[x], [sets[o] for o in others[some]], percent)
                     return keep
 
             label = t.column("component").to_numpy() if exact else np.arange(t.num_rows)
@@ -254,17 +260,26 @@ def _alike(percent: int, exact: bool):
     return run
 
 
+def parts(members: Column, shingles: Column | int = 0) -> Column:
+    """How many blocks a group is cut into."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
 def block_pairs(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with columns i, j and block: each group (key, with m rows) as pairs of blocks of about BLOCK rows."""
-    cut_up = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    each = cut_up.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Rows with columns i, j and block: each group (key, cut into ``parts`` blocks) as pairs of blocks."""
+    cut_up = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    each = cut_up.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     each = each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return each.select(key, "i", "j", *[c for c in cut_up.columns if c not in (key, "m", "blocks")])
+    return each.select(key, "i", "j", *[c for c in cut_up.columns if c not in (key, "parts")])
+
+
+def _by_run(rows: DataFrame, *keys: str) -> DataFrame:
+    """Runs of keys in as many partitions as the session has: their work is not told by their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
 
 
 def _forest(rows: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
-    spread_out = rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
-    return cut(spread_out.mapInArrow(_alike(percent, exact), "u long, v long"), "forest")
+    return cut(_by_run(rows, key, "i", "j").mapInArrow(_alike(percent, exact), "u long, v long"), "forest")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -274,21 +289,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     held = facts.where("digest is not null and doc_id is not null")
     classes = held.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    n = classes.count()
     banded = classes.select("rep", F.explode("bands").alias("key"))
     many = banded.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).where("first <> last")
-    members = block_pairs(banded.join(many.select("key", "m"), "key"), "key")
+    members = block_pairs(salted(banded, many.select("key", "m", parts(F.col("m")).alias("parts")), "key", "m", BANDS * n, "rep").drop("m"), "key")
     lows = classes.select("rep", "n_shingles", "low")
     # Classes that estimates join: nothing else can be a link.
     near = cut(components(_forest(members.join(lows, "rep").select("key", "i", "j", "block", "rep", "n_shingles", "low"), "key", percent, False)).select(F.col("id").alias("rep"), F.col("component").alias("near")), "near")
-    named = near.join(classes.select("rep", "digest", "id"), "rep").select("rep", "digest", "id")
+    named = near.join(classes.select("rep", "digest", "id", "n_shingles"), "rep")
+    sizes = named.groupBy("near").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("w")).select("near", "m", parts(F.col("m"), F.col("w")).alias("parts"))
+    named = cut(salted(named, sizes, "near", "m", n, "rep").drop("m"), "named")
     wanted = texts.join(named.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = wanted.mapInArrow(_sets(width), "digest binary, shingles binary").join(named.select("digest", "rep"), "digest")
     sets = cut(sets.select("rep", "shingles").dropDuplicates(["rep"]), "sets")  # an id may have several texts of one class
-    links = confirmed(near.where("near <> rep").select(F.col("near").alias("u"), F.col("rep").alias("v")), sets, percent)
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    own = F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    to_first = named.select("near", "rep", F.explode(F.when(F.col("rep") == F.col("near"), every).otherwise(own)).alias("block")).join(sets, "rep")
+    links = cut(_by_run(to_first.select("near", "block", "rep", "shingles"), "near", "block").mapInArrow(_to_first(percent), "u long, v long"), "links")
     comp = cut(components(links).withColumnRenamed("id", "rep"), "components")
-    labelled = near.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = named.select("rep", "near", "parts").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = labelled.groupBy("near").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1 and m > 2").select("near", "m")
-    rest = block_pairs(labelled.join(apart, "near"), "near").join(lows, "rep").join(sets, "rep")
+    rest = block_pairs(salted(labelled, apart, "near", "m", n, "rep").drop("m"), "near").join(lows, "rep").join(sets, "rep")
     links = links.unionByName(_forest(rest.select("near", "i", "j", "block", "rep", "component", "n_shingles", "low", "shingles"), "near", percent, True))
     # Classes of one id are one component, whatever their texts.
     of = held.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")

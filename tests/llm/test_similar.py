@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from archspark.llm import ann_forest, common, graph, lattice, minhash
 
@@ -48,6 +49,45 @@ def test_shingle_sets(k, run, monkeypatch):
     assert len(set(known.values())) == len(known)
 
 
+def hashes_of(texts):
+    raw = [t.encode() for t in texts]
+    return common.words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))[0].tolist()
+
+
+def test_words_that_collide_modulo_powers_of_two():
+    """Thue-Morse words: any polynomial modulo 2^64 with an odd base takes these for one."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert len({*hashes_of([a, b])}) == 2 and hashes_of([a.upper()]) == hashes_of([a])
+
+
+def test_long_words_are_hashed_in_pieces(monkeypatch):
+    word = "".join(chr(97 + i * i % 23) for i in range(5000))
+    whole = hashes_of(["x " + word + " y " + word])
+    monkeypatch.setattr(common, "SLICE_BYTES", 64)
+    assert hashes_of(["x " + word + " y " + word]) == whole and whole[1] == whole[3] != whole[0]
+    assert [int(x) for x in common._times(np.array([common._PRIME - 1, 0, 5], np.uint64), common._PRIME - 2)] == [(common._PRIME - 1) * (common._PRIME - 2) % common._PRIME, 0, 5 * (common._PRIME - 2) % common._PRIME]
+
+
+def test_documents_of_unlike_words_are_not_linked(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, a.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 2).collect()} == {(1, 1, True), (2, 2, True)}
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_salted_join(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(90)], "k long, x long")
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1 or k > 50")
+    got = sorted(map(tuple, common.salted(rows, sizes, "k", "m", 90, "x").select("k", "x", "m").collect()))
+    assert got == sorted((k, i, 60 if k == 1 else 1) for i in range(90) for k in [1 if i % 3 else i] if k == 1 or k > 50)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
@@ -87,9 +127,13 @@ def plain_components(texts, k, percent=80):
     return sets, roots(range(len(sets)), links)
 
 
-@pytest.mark.parametrize("k, block", [(2, 512), (5, 512), (2, 16)])
-def test_near_duplicates(spark, monkeypatch, k, block):
+@pytest.mark.parametrize("k, block, few", [(2, 512, 0), (5, 512, 10**6), (2, 16, 10**6)])
+def test_near_duplicates(spark, monkeypatch, k, block, few):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(common, "HOT", 10 if few else 1000)
+    if block == 16:
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
     texts = corpus(k, 120)
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, rep string")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, k).collect()}
@@ -117,7 +161,9 @@ def test_each_text_of_a_repeated_id_links(spark):
     assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(2000, 2050)] + [(7, 7)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}

@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -228,54 +227,36 @@ def _dominated(left: int, own: tuple[tuple[int, int], ...], several: int, rest:
     return left > 0 and bool((spread << 1) & rest)  # sums and 1 to ``left`` more
 
 
-def best_fit_decreasing(counts: Counter, capacity: int) -> list[list[int]]:
-    """Each piece, longest first, into the fullest sequence that has room."""
-    by_room: dict[int, list[list[int]]] = {}
-    rooms: list[int] = []
-    out: list[list[int]] = []
-    for x in sorted(counts.elements(), reverse=True):
-        i = next((r for r in rooms if r >= x), None)
-        if i is None:
-            own, room = [x], capacity - x
-            out.append(own)
-        else:
-            own, room = by_room[i].pop(), i - x
-            own.append(x)
-            if not by_room[i]:
-                del by_room[i]
-                rooms.remove(i)
-        if room not in by_room:
-            by_room[room] = []
-            rooms.insert(bisect_right(rooms, room), room)
-        by_room[room].append(own)
-    return out
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
+    """Each piece, longest first, into the fullest sequence that has room; sequences that are filled alike are one entry with a count."""
+    open_: dict[int, Counter] = {}  # room -> fillings that leave it
 
+    def put(own: tuple[tuple[int, int], ...], x: int, k: int, times: int) -> None:
+        filled = (*own, (x, k)) if not own or own[-1][0] != x else (*own[:-1], (x, own[-1][1] + k))
+        open_.setdefault(capacity - sum(y * n for y, n in filled), Counter())[filled] += times
 
-def best_fit_size(counts: Counter, capacity: int) -> int:
-    """Sequences that best-fit decreasing takes, from counts alone."""
-    rooms: Counter = Counter()
-    used = 0
     for x in sorted(counts, reverse=True):
-        n = counts[x]
-        while n:
-            room = min((r for r in rooms if r >= x), default=None)
+        left = counts[x]
+        while left:
+            room = min((r for r in open_ if r >= x), default=None)
             if room is None:
                 k = capacity // x
-                whole, part = divmod(n, k)
-                used += whole + bool(part)
-                if whole:
-                    rooms[capacity - k * x] += whole
-                if part:
-                    rooms[capacity - part * x] += 1
-                n = 0
-            else:
-                k = min(n, rooms[room])
-                rooms[room] -= k
-                if not rooms[room]:
-                    del rooms[room]
-                rooms[room - x] += k
-                n -= k
-    return used
+                if left // k:
+                    put((), x, k, left // k)
+                if left % k:
+                    put((), x, left % k, 1)
+                break
+            # The fullest stays the fullest: it takes as many as have room before the next one gets any.
+            own, there = open_[room].popitem()
+            k = min(left, room // x)
+            times = min(there, left // k)
+            if there > times:
+                open_[room][own] = there - times
+            if not open_[room]:
+                del open_[room]
+            put(own, x, k, times)
+            left -= k * times
+    return [(own, times) for fillings_ in open_.values() for own, times in fillings_.items()]
 
 
 def descent(counts: dict[int, int], capacity: int, waste: int) -> Plan:
@@ -373,9 +354,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_S
             best, waste = own, w
         if size(best) == bound:
             return best
-    if size(best) > best_fit_size(Counter(counts), capacity):
-        merged: Counter = Counter(tuple(Counter(x).items()) for x in best_fit_decreasing(Counter(counts), capacity))
-        best = list(merged.items())
+    best = min(best, best_fit_decreasing(counts, capacity), key=size)
     return search(counts, capacity, size(best), bound, waste, Steps(steps)) or best
 
 

@@ -175,8 +175,46 @@ def test_plan_places_every_piece(lengths, capacity):
         for x, k in filling:
             used[x] += k * times
     assert used == Counter(lengths)
-    assert sum(t for _, t in plan) <= packing.best_fit_size(Counter(lengths), capacity)
-    assert packing.best_fit_size(Counter(lengths), capacity) == len(packing.best_fit_decreasing(Counter(lengths), capacity))
+    assert packing.size(plan) <= packing.size(packing.best_fit_decreasing(Counter(lengths), capacity))
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.integers(1, 40), max_size=80), st.sampled_from([40, 64, 100]))
+def test_best_fit_from_counts(lengths, capacity):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fits = [k for k, r in enumerate(rooms) if r >= x]
+        if fits:
+            rooms[min(fits, key=lambda k: rooms[k])] -= x
+        else:
+            rooms.append(capacity - x)
+    plan = packing.best_fit_decreasing(Counter(lengths), capacity)
+    placed = Counter()
+    for own, times in plan:
+        for x, k in own:
+            placed[x] += k * times
+    assert placed == Counter(lengths) and packing.size(plan) == len(rooms)
+    assert Counter(rooms) == sum((Counter({capacity - sum(x * k for x, k in own): times}) for own, times in plan), Counter())
+
+
+def test_plans_do_not_grow_with_the_corpus():
+    """A thousand million pieces: the plan is made of counts, and its fillings are no more than for few pieces."""
+    rng = random.Random(3)
+    counts = {x: rng.randrange(10**5, 10**7) for x in range(1, 400)}
+    assert sum(counts.values()) > 10**9
+    plan = packing.plan(counts, 1024, steps=1000)
+    used = Counter()
+    for own, times in plan:
+        for x, k in own:
+            used[x] += k * times
+    assert used == counts and len(plan) < 5000
+    assert packing.size(plan) <= packing.size(packing.best_fit_decreasing(counts, 1024)) and packing.size(plan) >= packing.lower_bound(counts, 1024)
+
+
+def test_plan_of_a_case_where_fullest_first_is_worse():
+    counts = {56: 100, 55: 20, 22: 50, 25: 50, 61: 1000, 15: 20, 30: 1000, 16: 100}
+    assert packing.size(packing.plan(counts, 100)) <= packing.size(packing.best_fit_decreasing(counts, 100))
+    assert packing.size(packing.plan(counts, 100)) == packing.lower_bound(counts, 100)
 
 
 def fewest(lengths: list[int], capacity: int) -> int:

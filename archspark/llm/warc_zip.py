@@ -34,11 +34,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, fresh_path, read
+from .common import bound_batches, cut, fresh_path, read, salted
 
 ARCHIVE_BYTES = 48 << 20
 MEMBER_BYTES = 12 << 20
 RANGE_BYTES = 4 << 20
+#: Bytes of records that a task reads back at most, on average.
+TASK_BYTES = 64 << 20
 INDEX = "indexes/index.jsonl"
 _URN = "urn:archspark:page:"
 _OTHER = "urn:archspark:record:"
@@ -249,7 +251,8 @@ def parse(raw: bytes) -> tuple[int | None, str | None, bytes, int, str, str, int
 def read_records(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
     """Every record of the packages (column archive), read by its byte range.
 
-    A revisit has no payload of its own; its length and digest are those in its headers.
+    A revisit has no payload of its own; its length and digest are those in its headers. Ranges are dealt to at
+    least one task for each TASK_BYTES, where archives state their bytes as a manifest does.
     """
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,16 +268,21 @@ def read_records(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     runs = ranges(archives, range_bytes)
-    return runs.repartition(F.col("archive"), F.col("start")).mapInArrow(fetch, RECORDS)
+    total = archives.agg(F.sum("bytes")).first()[0] or 0 if "bytes" in archives.columns else 0
+    tasks = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    return runs.repartition(tasks, "archive", "start").mapInArrow(fetch, RECORDS)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, refers_to): of equal payloads, that with the smallest page id is the one referred to."""
+    """(page_id, url, payload, refers_to): of equal payloads, that with the smallest page id is the one referred to.
+
+    Payloads are equal if their SHA-256 and lengths are. A payload that most pages have is no hot key (``salted``).
+    """
     bound_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("__digest", F.unhex(F.sha1("payload")))
-    first = rows.groupBy("__digest").agg(F.min("page_id").alias("__first"))
-    known = rows.join(first, "__digest")
+    rows = rows.withColumn("__same", F.concat(F.sha2("payload", 256), F.octet_length("payload").cast("string")))
+    first = rows.groupBy("__same").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    known = salted(rows.withColumn("__place", F.xxhash64("page_id", "url")), first, "__same", "__n", pages.count(), "__place")
     return known.select("page_id", "url", "payload", F.expr("case when __first is not null and not (page_id <=> __first) then __first end").alias("refers_to"))
 
 

@@ -227,7 +227,7 @@ def test_forest_recall(spark):
     x = clusters(4, 1500)
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(90_000 + 50 * i, v, 1) for i, (v, _) in enumerate(ODD)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    got = ann_forest.nearest(table, table.where("vec_id % 50 = 0"), 5, block_rows=900, query_rows=20).collect()
+    got = ann_forest.nearest(table, table.where("vec_id % 50 = 0"), 5, block_rows=900, query_bytes=20 * 64 * 8).collect()
     by = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         by.setdefault(r.query_id, []).append((-r.score, r.vec_id, r.rank))
@@ -242,6 +242,36 @@ def test_forest_recall(spark):
     assert {q: [i for _, i, _ in v] for q, v in by.items() if q >= 90_000} == {90_350: [90_400], 90_400: [90_350], 90_300: by[90_300] and [i for _, i, _ in by[90_300]]}
 
 
+def test_forest_recall_on_the_registered_query(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows])
+    got = {}
+    for r in ann_forest.op2_hash_prefix_forest(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {q: {i for _, i in brute_nearest(ids, x, q, x[ids.index(q)], 5)} for q in ids if q % 50 == 0}
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[q] & want[q]) for q in want) / (5 * len(want)) >= 0.9
+
+
+def test_cosines_of_huge_and_tiny_vectors():
+    x = np.array([[1e200, 1e200], [1e-200, 0.0], [3.0, 4.0]])
+    assert np.allclose(ann_forest.cosines(x, x), [[1, 2**-0.5, 7 / 50**0.5], [2**-0.5, 1, 0.6], [7 / 50**0.5, 0.6, 1]])
+
+
+def test_repeated_rows_are_dealt_to_blocks(spark):
+    table = spark.createDataFrame([(1, [1.0, 2.0])] * 3000 + [(2, [2.0, 1.0])], "vec_id long, embedding array<float>")
+    assert ann_forest.index(table, block_rows=500).selectExpr("max(octet_length(ids) / 8)").first()[0] < 700
+    got = ann_forest.nearest(table, table.where("vec_id = 2"), 5, block_rows=500).collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(i, 1) for i in range(1, 6)]
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, rng.standard_normal(3000).tolist()) for i in range(20)], "vec_id long, embedding array<double>")
+    assert ann_forest.nearest(table, table.where("vec_id = 3"), 4).count() == 4
+
+
 def test_forest_ties_and_few(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (9, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (7, [1.0, 0.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

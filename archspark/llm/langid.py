@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fold, read, row_slices, texts_of
+from .common import bound_batches, fold, read, row_slices, spread, texts_of
 
 DIMS = 1 << 14
 SAMPLE_ROWS = 4000
@@ -187,8 +187,8 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Languages:
     """Learns from docs (doc_id, text, lang) outside the held-out fold."""
     bound_batches(docs.sparkSession)
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    usable = spread(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language, of which the model has a column each
     frequency = {r["feature"]: r["n"] for r in usable.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}  # DIMS rows at most
     total = frequency.pop(-1, 0)
     counts = np.zeros(DIMS)
@@ -199,11 +199,9 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Languages:
         return Languages([], idf, np.zeros((DIMS, 0)), np.zeros(0))
     each = max(1, rows // len(names))
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    parts = [(F.col("lang") == k) & (chance < int((1 << 20) * min(1.0, each / n)) + 1) for k, n in sizes.items()]
-    condition = parts[0]
-    for part in parts[1:]:
-        condition = condition | part
-    sample = usable.where(condition).select("text", "lang").mapInArrow(_sparse, "lang string, features binary, counts binary").limit(2 * rows).toArrow()
+    most = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int((1 << 20) * min(1.0, each / n)) + 1)])
+    picked = usable.where(chance < F.element_at(most, F.col("lang"))).select("text", "lang").mapInArrow(_sparse, "lang string, features binary, counts binary")
+    sample = picked.orderBy(F.xxhash64("features", "counts"), "lang").limit(2 * rows).toArrow()  # bounds rows that repeat
     found = sorted(zip(sample.column("lang").to_pylist(), sample.column("features").to_pylist(), sample.column("counts").to_pylist(), strict=True))
     table, y = [], []
     for lang, a, c in found:

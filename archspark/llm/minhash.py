@@ -273,13 +273,13 @@ def block_pairs(rows: DataFrame, key: str) -> DataFrame:
     return each.select(key, "i", "j", *[c for c in cut_up.columns if c not in (key, "parts")])
 
 
-def _by_run(rows: DataFrame, *keys: str) -> DataFrame:
+def by_run(rows: DataFrame, *keys: str) -> DataFrame:
     """Runs of keys in as many partitions as the session has: their work is not told by their bytes."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
 
 
 def _forest(rows: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
-    return cut(_by_run(rows, key, "i", "j").mapInArrow(_alike(percent, exact), "u long, v long"), "forest")
+    return cut(by_run(rows, key, "i", "j").mapInArrow(_alike(percent, exact), "u long, v long"), "forest")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     own = F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     to_first = named.select("near", "rep", F.explode(F.when(F.col("rep") == F.col("near"), every).otherwise(own)).alias("block")).join(sets, "rep")
-    links = cut(_by_run(to_first.select("near", "block", "rep", "shingles"), "near", "block").mapInArrow(_to_first(percent), "u long, v long"), "links")
+    links = cut(by_run(to_first.select("near", "block", "rep", "shingles"), "near", "block").mapInArrow(_to_first(percent), "u long, v long"), "links")
     comp = cut(components(links).withColumnRenamed("id", "rep"), "components")
     labelled = named.select("rep", "near", "parts").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = labelled.groupBy("near").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1 and m > 2").select("near", "m")

@@ -239,10 +239,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     n = usable.count()
     if n > rows:
         usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    sample = usable.limit(rows + rows // 4)
+    sample = usable.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "y").limit(rows + rows // 4)  # bounds ids that repeat
     texts = texts_of(docs)
     joined = texts.join(F.broadcast(sample), "doc_id").select("text", "y")
-    table = joined.mapInArrow(_measured, "x array<double>, y int").limit(2 * rows).toArrow()
+    table = joined.mapInArrow(_measured, "x array<double>, y int").orderBy(F.xxhash64("x"), "y").limit(2 * rows).toArrow()  # bounds texts that repeat an id
     y = table.column("y").to_numpy().astype(np.float64)
     x = np.array(table.column("x").to_pylist(), np.float64).reshape(len(y), len(FEATURES))
     order = np.lexsort((y, *x.T))  # the same model whatever the order of arrival

@@ -208,6 +208,17 @@ def test_near_vectors_none(spark):
     assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in got) == [("4", 0, 4, True), ("None", 0, None, False)]
 
 
+@pytest.mark.parametrize("dim", [2, 8, 16, 64])
+def test_few_near_pairs_share_no_cell(dim):
+    rng = np.random.default_rng(dim)
+    a = ann_forest.unit(rng.standard_normal((4000, dim)))
+    d = rng.standard_normal(a.shape)
+    d = ann_forest.unit(d - (d * a).sum(axis=1)[:, None] * a)
+    here, there = (lattice.cells(x, np.zeros(len(a), np.uint64)) for x in (a, 0.98 * a + (1 - 0.98**2) ** 0.5 * d))
+    met = ((here == there[:, :, :1]).any(axis=2) | (there == here[:, :, :1]).any(axis=2)).any(axis=1)
+    assert (~met).sum() <= 3
+
+
 def test_lattice_points_are_nearest():
     x = np.random.default_rng(2).normal(0, 1.5, (200, 8))
     point = lattice.e8(x)

@@ -24,14 +24,17 @@ _TARGETS = pa.list_(pa.struct([("target", pa.string()), ("how", pa.string())]))
 
 
 def tabs_of(content: str) -> list[tuple[str, str]]:
-    """(label, view) of the first TabView's tabs, left to right."""
-    m = re.search(r"\bTabView\b", content)
-    parts = brace_body(content, m.start()).split(".tabItem") if m else []
+    """(label, view) of the first TabView's tabs, left to right: an item's view is the last one made since the item before, its label the first after it."""
+    start = re.search(r"\bTabView\b", content)
+    body = brace_body(content, start.start()) if start else ""
+    items = [m.span() for m in re.finditer(r"\.tabItem", body)]
+    made = [(m.start(), m[1]) for m in re.finditer(V.TAB_VIEW, body)]
     out = []
-    for i, (before, item) in enumerate(zip(parts, parts[1:], strict=False), 1):
-        label = re.search(V.TAB_LABEL, item, re.DOTALL)
-        if shown := re.findall(V.TAB_VIEW, before):
-            out.append((label[1] if label else f"Tab {i}", shown[-1]))
+    for k, (at, end) in enumerate(items):
+        since, until = items[k - 1][1] if k else 0, items[k + 1][0] if k + 1 < len(items) else len(body)
+        label = re.search(V.TAB_LABEL, body[end:until], re.DOTALL)
+        if own := [view for place, view in made if since <= place < at]:
+            out.append((label[1] if label else f"Tab {k + 1}", own[-1]))
     return out
 
 

@@ -7,6 +7,9 @@ turn computes one level and not all above it again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +25,19 @@ def component(comps: DataFrame, id_: str) -> DataFrame:
     return comps.where(F.col("id") == id_)
 
 
-def lineage(comps: DataFrame, levels: int = 64) -> DataFrame:
+def _levels(comps: DataFrame) -> Iterator[int]:
+    """0, 1, 2, ... for loops over the levels of a tree; more levels than components are a cycle."""
+    for level in count():
+        if level >= 64 and level > comps.count():
+            raise ValueError("the components' parents form a cycle")
+        yield level
+
+
+def lineage(comps: DataFrame) -> DataFrame:
     """(id, trail): ids from a root down to each component, itself last."""
     known = comps.where("parent_id is null").select("id", F.array("id").alias("trail"))
     out, rest = known, comps.where("parent_id is not null").select("id", "parent_id")
-    for _ in range(levels):
+    for _ in _levels(comps):
         known = cut(rest.join(known.withColumnRenamed("id", "parent_id"), "parent_id").select("id", F.concat("trail", F.array("id")).alias("trail")), "level")
         if known.isEmpty():
             break
@@ -67,12 +78,12 @@ def is_server(kind: Column) -> Column:
     return kind.isin(V.CALLED_TYPES)
 
 
-def top_candidates(comps: DataFrame, unwrap: int = 2, levels: int = 64) -> DataFrame:
+def top_candidates(comps: DataFrame, unwrap: int = 2) -> DataFrame:
     """Ids of the first clients and servers on each way down. Projects and repositories are passed freely, other wrappers ``unwrap`` times."""
     rows = comps.select("id", "parent_id", "type")
     wave = rows.where("parent_id is null").select("id", "type", F.lit(unwrap).alias("budget"))
     found = None
-    for _ in range(levels):
+    for _ in _levels(comps):
         ends = is_client(F.col("type")) | is_server(F.col("type"))
         hit = wave.where(ends).select("id")
         found = hit if found is None else found.unionByName(hit)
@@ -94,20 +105,20 @@ def client_facing(comps: DataFrame, edges: DataFrame) -> DataFrame:
 def top_level(comps: DataFrame, edges: DataFrame) -> DataFrame:
     """What is shown first: all clients and the servers that clients depend on; all servers where none is left, and without either the project's children."""
     ids = top_candidates(comps)
-    rows = comps.join(ids, "id", "left_semi")
+    rows = cut(comps.join(ids, "id", "left_semi").select(*comps.columns), "top")
     if rows.isEmpty():
         roots = comps.where("parent_id is null")
         full = comps.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
         opened = roots.where("type = 'project'").join(full, "id", "left_semi").select(F.col("id").alias("parent_id"))
         return roots.join(opened.withColumnRenamed("parent_id", "id"), "id", "left_anti").unionByName(comps.join(opened, "parent_id", "left_semi").select(*comps.columns))
     clients, servers = rows.where(is_client(F.col("type"))), rows.where(is_server(F.col("type")))
-    facing = servers.join(client_facing(comps, edges), "id", "left_semi").select(*comps.columns)
+    facing = cut(servers.join(client_facing(comps, edges), "id", "left_semi").select(*comps.columns), "facing")
     if facing.isEmpty() and not clients.isEmpty():
         facing = servers
     return clients.unionByName(facing)
 
 
-def drilled(comps: DataFrame, id_: str, levels: int = 64) -> DataFrame:
+def drilled(comps: DataFrame, id_: str) -> DataFrame:
     """What is shown inside a component: its children, and in place of wrappers the heroes in them.
 
     A wrapper's children that are neither heroes nor content stay beside the heroes that come out of it.
@@ -117,7 +128,7 @@ def drilled(comps: DataFrame, id_: str, levels: int = 64) -> DataFrame:
         return component(comps, id_)
     tops = rows.where(~is_hero(F.col("type"))).select(F.col("id").alias("top"), "id")
     wave, heroes = tops, None
-    for _ in range(levels):
+    for _ in _levels(comps):
         below = cut(comps.select("id", "parent_id", "type").join(wave.withColumnRenamed("id", "parent_id"), "parent_id").select("top", "id", "type"), "level")
         hit = below.where(is_hero(F.col("type"))).select("top", "id")
         heroes = hit if heroes is None else heroes.unionByName(hit)
@@ -137,7 +148,8 @@ def visible(comps: DataFrame, edges: DataFrame, id_: str | None = None) -> DataF
     rows = drilled(comps, id_)
     hero = is_hero(F.col("type"))
     full = comps.where("parent_id is not null").select(F.col("parent_id").alias("id"), F.lit(True).alias("__full")).distinct()
-    rows = rows.withColumn("__hero", F.max(hero).over(Window.partitionBy(F.lit(0)))).join(full, "id", "left")
+    some = rows.agg(F.max(hero).alias("__hero"))
+    rows = rows.join(F.broadcast(some)).join(full, "id", "left")  # one row
     small = F.col("__hero") & ~hero & ~F.col("type").isin("library", "infrastructure") & F.col("__full").isNull() & (F.size("files") < 10)
     return rows.where((F.col("type") != "content") & ~small).select(*comps.columns)
 
@@ -147,7 +159,7 @@ def other_components(comps: DataFrame, shown: DataFrame) -> DataFrame:
     rows = comps.select("id", "parent_id", "name", "type").join(shown.select("id", F.lit(True).alias("__top")).distinct(), "id", "left")
     wave = rows.where("parent_id is null").select("id", "name", "type", "__top", F.lit("Root").alias("under"))
     found = None
-    for _ in range(64):
+    for _ in _levels(comps):
         top, wrap = F.col("__top").isNotNull(), F.col("type").isin("project", "repository")
         hit = wave.where(~top & ~wrap & (F.col("type") != "content")).select(F.col("under").alias("parent_name"), "id")
         found = hit if found is None else found.unionByName(hit)

@@ -1,10 +1,11 @@
 """Source trees as a table: a Python data source that walks directories.
 
 Spark's own file source leaves out names that begin with ``_`` or ``.`` and empty
-files, which are part of a source tree. The driver lists only the top of each root;
-each directory there is a partition, walked and read in a task. Directories that are
+files, which are part of a source tree. The driver lists directories from the top until there are
+``parts`` of them (or none is left); each is a partition, walked and read in a task. Directories that are
 never looked at are pruned before the walk goes into them, and contents are read only
-for files whose language is known or whose name configures something.
+for files whose language is known or whose name configures something. What cannot be listed or read is
+an entry with an ``error``.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import values as V
 
-SCHEMA = "repo string, path string, dir string, name string, is_dir boolean, size long, content binary"
+SCHEMA = "repo string, path string, dir string, name string, is_dir boolean, size long, content binary, error string"
 
+#: Partitions of a repository that the driver's listing is to give.
+PARTS = 64
 _NAMED = {m for m, _, _ in V.MARKERS} | {n for _, names in V.DOC_FILES for n in names} | {"Rakefile", "config.ru"}
 _TEXTS = (".md", ".txt", ".rst")
 
@@ -41,67 +44,75 @@ def extension(name: str) -> str:
 
 
 class _Part(InputPartition):
-    def __init__(self, repo: str, root: str, top: str | None):
+    """A directory of a repository, alone or with all below it."""
+
+    def __init__(self, repo: str, root: str, rel: str, deep: bool):
         super().__init__(None)
-        self.repo, self.root, self.top = repo, root, top
+        self.repo, self.root, self.rel, self.deep = repo, root, rel, deep
+
+
+def _listed(root: str, rel: str) -> tuple[list[os.DirEntry], str | None]:
+    """(entries by name, error)."""
+    try:
+        with os.scandir(os.path.join(root, rel) if rel else root) as entries:
+            return sorted(entries, key=lambda e: e.name), None
+    except OSError as e:
+        return [], str(e)
+
+
+def _walked(rel: str, entries: list[os.DirEntry]) -> list[str]:
+    """Directories below rel that a walk goes into: none in a foreign project, no links."""
+    if rel and looks_vendored(entries):
+        return []
+    return [f"{rel}/{e.name}" if rel else e.name for e in entries if e.is_dir() and not skips_dir(e.name) and not e.is_symlink()]
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         names, roots = options["names"].split("\n"), options["roots"].split("\n")
         self.roots = list(zip(names, roots, strict=True))
-        self.max_size = int(options.get("maxfilesize", V.MAX_FILE_SIZE))
+        self.max_size, self.parts = int(options.get("maxfilesize", V.MAX_FILE_SIZE)), int(options.get("parts", PARTS))
 
     def partitions(self) -> list[InputPartition]:
-        parts: list[InputPartition] = []
-        for repo, root in self.roots:
-            parts.append(_Part(repo, root, None))
-            with os.scandir(root) as entries:
-                parts += [_Part(repo, root, e.name) for e in entries if e.is_dir(follow_symlinks=False) and not skips_dir(e.name)]
-        return parts
+        wave, done = [(repo, root, "") for repo, root in self.roots], []
+        while wave and len(wave) + len(done) < self.parts * len(self.roots):
+            done += [_Part(*at, False) for at in wave]
+            wave = [(repo, root, below) for repo, root, rel in wave for below in _walked(rel, _listed(root, rel)[0])]
+        return done + [_Part(*at, True) for at in wave]
 
     def _content(self, path: str, name: str, size: int) -> bytes | None:
         ext = extension(name)
         wanted = name in _NAMED or (ext in V.LANGUAGES and size <= self.max_size) or ext in _TEXTS
         if not wanted:
             return None
-        try:
-            with open(path, "rb") as f:
-                return f.read()
-        except OSError:
-            return None
+        with open(path, "rb") as f:
+            return f.read()
 
-    def _entries(self, part: _Part, rel: str, deep: bool) -> Iterator[tuple]:
-        try:
-            entries = sorted(os.scandir(os.path.join(part.root, rel) if rel else part.root), key=lambda e: e.name)
-        except OSError:
-            return
-        deep = deep and not (rel and looks_vendored(entries))
+    def _entries(self, part: _Part, rel: str) -> Iterator[tuple]:
+        entries, _ = _listed(part.root, rel)
         for e in entries:
             path = f"{rel}/{e.name}" if rel else e.name
             if e.is_dir():
-                if skips_dir(e.name):
-                    continue
-                yield part.repo, path, rel, e.name, True, None, None
-                if deep and not e.is_symlink():
-                    yield from self._entries(part, path, True)
-            else:
-                try:
-                    size = e.stat().st_size
-                except OSError:
-                    continue
-                yield part.repo, path, rel, e.name, False, size, self._content(e.path, e.name, size)
+                if not skips_dir(e.name):
+                    yield part.repo, path, rel, e.name, True, None, None, _listed(part.root, path)[1]
+                continue
+            size = content = error = None
+            try:
+                size = e.stat().st_size
+                content = self._content(e.path, e.name, size)
+            except OSError as x:
+                error = str(x)
+            yield part.repo, path, rel, e.name, False, size, content, error
+        for below in _walked(rel, entries) if part.deep else ():
+            yield from self._entries(part, below)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.top is None:
-            yield from self._entries(partition, "", False)
-            git = os.path.join(partition.root, ".git", "config")
-            if os.path.isfile(git):
-                with open(git, "rb") as f:
-                    raw = f.read()
-                yield partition.repo, ".git/config", ".git", "config", False, len(raw), raw
-        else:
-            yield from self._entries(partition, partition.top, True)
+        yield from self._entries(partition, partition.rel)
+        git = os.path.join(partition.root, ".git", "config")
+        if not partition.rel and os.path.isfile(git):
+            with open(git, "rb") as f:
+                raw = f.read()
+            yield partition.repo, ".git/config", ".git", "config", False, len(raw), raw, None
 
 
 class SourceTree(DataSource):

@@ -3,7 +3,7 @@
 Each producer returns edges with a ``stage`` and an ``at`` (where in its stage the edge
 was found); of edges with the same source, target and type the earliest stays. What the
 text of files can match is first extracted from it (ports, addresses, quoted names), so
-that joins run on short values and mostly on equality.
+that joins run on short values and on equality.
 """
 
 from __future__ import annotations
@@ -67,6 +67,17 @@ def port_edges(files: DataFrame, comps: DataFrame) -> DataFrame:
     return _edges(rows, 2, "http", F.concat(F.lit("port "), F.col("port").cast("string")), ["file", _order("first")], F.col("port"))
 
 
+def containing(texts: DataFrame, words: DataFrame, text: str, word: str, shortest: int = 3) -> DataFrame:
+    """texts (repo, ...) joined with the words (repo, ...) that they contain; words have ``shortest`` characters at least.
+
+    A contained word begins with one of the text's pieces of three characters (or with all of a shorter word), so the
+    join is by equality, and what it gives is compared.
+    """
+    pieces = F.flatten(F.transform(F.sequence(F.lit(min(shortest, 3)), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, n))))
+    keyed = texts.withColumn("__key", F.explode(F.array_distinct(pieces)))
+    return keyed.join(words.withColumn("__key", F.substring(word, 1, 3)), ["repo", "__key"]).where(F.col(text).contains(F.col(word))).drop("__key")
+
+
 def service_names(comps: DataFrame) -> DataFrame:
     """(repo, service, target, first): names by which a component may be called.
 
@@ -103,7 +114,7 @@ def service_edges(files: DataFrame, comps: DataFrame) -> DataFrame:
         .when(F.col("kind") == "host", like("host\\s*[=:]\\s*[\"'](?:[^\"']*\\.)?", None, "[\"']"))
         .otherwise(like("(?:API_|SERVER_|SERVICE_)", None))
     )
-    named = places.join(service_names(comps), "repo").where(F.lower("text").contains(F.col("service"))).where(rules)
+    named = containing(places.withColumn("low", F.lower("text")), service_names(comps), "low", "service").where(rules).drop("low")
     rows = found.join(named, ["repo", "kind", "text"]).select("repo", "file", "source", "target", "service", "first")
     return _edges(rows, 3, "http", F.concat(F.lit("calls "), F.col("service")), ["file", _order(F.col("first.ord")), F.col("first.place").cast("string")])
 
@@ -113,11 +124,13 @@ def client_edges(files: DataFrame, comps: DataFrame) -> DataFrame:
     asking = _sources(files.where(F.col("language").isin(list(V.HTTP_CLIENTS))), comps).where(F.col("source_type").isin(V.CALLING_TYPES) & T.http_client(F.col("language"), F.col("content")))
     asking = asking.select("repo", F.col("path").alias("file"), "source", T.urls(F.col("content")).alias("urls"))
     servers = _called(comps)
-    servers = servers.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("repo")))
+    only = servers.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("target", "target_ord")]).where("n = 1").drop("n")
     name, folder = F.lower("target_name"), F.when(F.col("target_path") != "", F.lower(T.basename(F.col("target_path"))))
     signs = F.array(F.replace(name, F.lit(" "), F.lit("-")), F.replace(name, F.lit(" "), F.lit("_")), folder, F.when(F.coalesce("target_port", F.lit(0)) != 0, F.concat(F.lit(":"), F.col("target_port").cast("string"))))
-    servers = servers.withColumn("signs", F.filter(signs, lambda s: s.isNotNull() & (F.length(s) > 2)))
-    rows = asking.join(servers, "repo").where((F.col("n") == 1) | F.exists("urls", lambda u: F.exists("signs", lambda s: u.contains(s))))
+    servers = servers.select("repo", "target", "target_ord", F.explode(F.array_distinct(signs)).alias("sign")).where("length(sign) > 2")
+    each = asking.select("repo", "file", "source", F.explode("urls").alias("url"))
+    named = containing(each.select("repo", "url").distinct(), servers, "url", "sign").select("repo", "url", "target", "target_ord").distinct()
+    rows = each.join(named, ["repo", "url"]).drop("url").distinct().unionByName(asking.drop("urls").join(only, "repo"))
     return _edges(rows, 4, "http", "API call", ["file", _order("target_ord")])
 
 
@@ -157,10 +170,12 @@ def config_edges(files: DataFrame, comps: DataFrame) -> DataFrame:
     own = _sources(files.where(named), comps).where(F.col("source_type").isin(V.CALLING_TYPES))
     found = F.concat(*[T.find_all(F.col("content"), p, 1, "i") for p in V.ENV_URLS])
     urls = own.select("repo", "source", F.col("path").alias("file"), F.posexplode(found).alias("place", "url")).where(~F.col("url").startswith("$"))
-    server = F.replace(F.lower("target_name"), F.lit(" "), F.lit("-"))
-    by_port = F.coalesce(F.col("target_port"), F.lit(0)) != 0
-    fits = (by_port & F.col("url").contains(F.concat(F.lit(":"), F.col("target_port").cast("string")))) | F.lower("url").contains(server)
-    return _edges(urls.join(_called(comps), "repo").where(F.coalesce(fits, F.lit(False))), 10, "http", "env config", ["file", _digits("place"), _order("target_ord")])
+    port = F.when(F.coalesce("target_port", F.lit(0)) != 0, F.concat(F.lit(":"), F.col("target_port").cast("string")))
+    signs = F.array_distinct(F.array(port, F.replace(F.lower("target_name"), F.lit(" "), F.lit("-"))))
+    servers = _called(comps).select("repo", "target", "target_ord", F.explode(signs).alias("sign")).where("sign <> ''")
+    places = urls.select("repo", "url").distinct().withColumn("low", F.lower("url"))
+    named = containing(places, servers, "low", "sign", 1).select("repo", "url", "target", "target_ord").distinct()
+    return _edges(urls.join(named, ["repo", "url"]), 10, "http", "env config", ["file", _digits("place"), _order("target_ord")])
 
 
 def external_services(files: DataFrame, comps: DataFrame) -> DataFrame:

@@ -113,12 +113,13 @@ def shortened_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select conv_id, turn, role || ' ' || cast(turn as varchar) as heading, array_to_string(list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1, 3), ' ') as body
-from conversations where not contains(text, chr(10) || chr(10)) and text not like '%#%'
+with l as (select *, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as ls from conversations),
+b as (select *, list_slice(ls, coalesce(list_position(list_transform(ls, lambda x: x <> ''), true), len(ls) + 1), len(ls)) as rest from l)
+select conv_id, turn, case when text is not null then role || ' ' || cast(turn as varchar) end as heading, array_to_string(list_slice(rest, 1, least(3, case when list_contains(rest, '') then list_position(rest, '') - 1 else len(rest) end)), ' ') as body from b
 """)
 def headed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading and first lines of turns written as Markdown notes."""
-    rows = _read(spark, sf_dir, "conversations").where("not contains(text, '\n\n') and text not like '%#%'")
+    rows = _read(spark, sf_dir, "conversations")
     said = docs.summary(F.concat(F.lit("# "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.col("text")))
     return rows.select("conv_id", "turn", said.alias("s")).select("conv_id", "turn", F.col("s.heading").alias("heading"), F.col("s.text").alias("body"))
 
@@ -145,11 +146,11 @@ def _none(spark: SparkSession) -> DataFrame:
 
 @query(f"""
 select path, dir, case when name like '%.html' then 'html' else 'typescript' end as language, cast(length(html) - length(replace(html, chr(10), '')) + 1 as bigint) as lines, cast(strlen(html) as bigint) as size_bytes
-from ({_PAGE_NAMES}) where page_id % 3 <> 2 and strlen(html) between 1 and 4000
+from ({_PAGE_NAMES}) where page_id % 3 <> 2 and strlen(html) between 1 and 500000
 """)
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by extension and size."""
-    found = C.source_files(_page_entries(spark, sf_dir), _none(spark), 4000)
+    found = C.source_files(_page_entries(spark, sf_dir), _none(spark))
     return found.select("path", "dir", "language", "lines", "size_bytes")
 
 
@@ -158,10 +159,7 @@ _PAGE_COMPS = f"select '' as path union all select dir from ({_PAGE_NAMES}) wher
 
 def _page_comps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     entries = _page_entries(spark, sf_dir)
-    dense = entries.where(T.language(F.col("name")).isNotNull() & (F.col("dir") != "")).groupBy("repo", F.col("dir").alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/"), F.lit("")))
-    comps = dense.where((F.col("n") >= 2) & (depth <= 4)).select("repo", "path")
-    return entries, comps.unionByName(spark.sql("select 'all' as repo, '' as path"))
+    return entries, C.components(entries.withColumn("content", F.col("content").cast("binary")), entries, _none(spark), {"all": "pages"}).select("repo", "path")
 
 
 @query(f"""
@@ -680,3 +678,7 @@ def symbol_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols by kind and part of the name."""
     rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
     return views.matching_symbols(rows, "Ring", "ECONOMY").select("id", "name")
+
+
+# Further queries register themselves.
+from . import language_queries, tree_queries  # noqa: E402, F401

@@ -681,4 +681,4 @@ def symbol_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Further queries register themselves.
-from . import language_queries, tree_queries  # noqa: E402, F401
+from . import disk_queries, language_queries, tree_queries, view_queries  # noqa: E402, F401

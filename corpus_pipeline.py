@@ -13,7 +13,12 @@ LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an identified language; the columns of docs. Each row is judged by its own text, whatever its id."""
+    """Documents with an identified language; the columns of docs.
+
+    Each row is judged by its own text, whatever its id: null and repeated ids are rows like others, repeated rows stay
+    all or none. Null and empty texts and texts without a letter go. A null lang is not learned from; with no lang at
+    all every document goes. An empty table gives no rows; further columns of any name are carried.
+    """
     rows = _keyed(docs)
     judged = langid.identified(_by_row(rows), langid.train(docs))
     rejected = (F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LANGUAGE_SCORE)
@@ -21,7 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of at least the operator's threshold; the columns of docs. Each row is judged by its own text, whatever its id."""
+    """Documents with a quality score of at least the operator's threshold; the columns of docs.
+
+    Each row is judged by its own text, whatever its id: null and repeated ids are rows like others, repeated rows stay
+    all or none. Null and empty texts have the score of a text whose measures are all 0; a score that ties the threshold
+    stays. Without labels every score is 0.5. An empty table gives no rows; further columns of any name are carried.
+    """
     rows = _keyed(docs)
     judged = quality.scored(_by_row(rows), quality.train(docs, read(spark, sf_dir, "labels")))
     return _keep(rows, judged.where(F.col("score") >= quality.THRESHOLD))
@@ -30,7 +40,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five-word shingles, 0.8), that with the smallest id; the columns of docs.
 
-    Null ids come last, and of rows that repeat an id one stays. Rows without words are in no group and stay.
+    Null ids come last; of rows with equal texts, repeated ids or null ids included, one stays, and of equal ids any one. Rows
+    without words (null and empty texts too) are in no group and stay. An empty table gives no rows; further columns of any
+    name are carried.
     """
     rows = _keyed(docs)
     found = minhash.near_duplicates(_by_row(rows), width=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id")
@@ -40,7 +52,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document and its place in a sequence of 1024 tokens."""
+    """Every piece of every document and its place in a sequence of 1024 tokens.
+
+    A null or empty text has the end id alone; null and repeated ids are documents like others, each packed. Pieces of one
+    length are told apart by id, piece and checksum, so that it does not matter which of equal rows is where. An empty
+    table gives no rows; other columns are not carried.
+    """
     return packing.pack(docs)
 
 

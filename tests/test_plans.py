@@ -34,3 +34,51 @@ def test_only_needed_columns_are_read(spark):
 def test_tree_queries_have_no_cross_join(spark):
     for name in ("top_level", "import_edges", "port_edges", "induced_edges"):
         assert "CartesianProduct" not in plan(registry.QUERIES[name](spark, SF))
+
+
+def test_names_in_addresses_are_joined_by_equality(spark):
+    from archspark.operators import relationships
+
+    texts = spark.createDataFrame([("r", "http://api-one:80"), ("r", "x")], "repo string, text string")
+    words = spark.createDataFrame([("r", "api-one"), ("r", ":80"), ("r", "x"), ("r", "api-two"), ("q", "x")], "repo string, word string")
+    found = relationships.containing(texts, words, "text", "word", 1)
+    assert sorted((r.text, r.word) for r in found.collect()) == [("http://api-one:80", ":80"), ("http://api-one:80", "api-one"), ("x", "x")]
+    shown = plan(relationships.containing(texts.hint("merge"), words, "text", "word"))
+    assert "NestedLoop" not in shown and "Cartesian" not in shown
+
+
+def test_visible_components_are_not_one_partition(spark):
+    from archspark.operators import views
+
+    comps = spark.createDataFrame([("a", None, "project", []), ("b", "a", "module", ["x"]), ("c", "a", "service", [])], "id string, parent_id string, type string, files array<string>")
+    edges = spark.createDataFrame([], "source string, target string")
+    shown = views.visible(comps, edges, "a")
+    assert "Window" not in plan(shown) and [r.id for r in shown.collect()] == ["c"]
+
+
+def test_trees_of_any_depth(spark):
+    from archspark.operators import views
+
+    n = 67
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(n)], "id string, parent_id string").coalesce(1)
+    assert views.lineage(chain).selectExpr("max(size(trail))").first()[0] == n
+
+
+def test_unreadable_entries_are_told(spark, tmp_path):
+    from archspark.sources import tree
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.py").write_text("x = 1")
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nowhere")
+    rows = {r.path: r.error for r in tree.read_tree(spark, {"t": str(tmp_path)}).collect()}
+    assert rows["a"] is None and rows["a/x.py"] is None and "nowhere" in rows["gone.py"] or "gone.py" in rows["gone.py"]
+
+
+def test_walks_are_split_below_the_top(tmp_path):
+    from archspark.sources import tree
+
+    for k in range(5):
+        (tmp_path / "src" / f"p{k}" / "q").mkdir(parents=True)
+    options = {"names": "t", "roots": str(tmp_path), "parts": "5"}
+    parts = tree._Reader(options).partitions()
+    assert sum(p.deep for p in parts) == 5 and sorted(p.rel for p in parts if not p.deep) == ["", "src"]

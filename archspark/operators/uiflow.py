@@ -1,22 +1,24 @@
 """Screens of SwiftUI apps: tabs, screens, and how one leads to another.
 
 An Arrow function takes the views out of files (bodies need balanced braces). The rest
-is joins by view name within an app, but for the walk from tabs to screens: its groups are
-the views of one app, and it runs per app.
+is joins by app and view; the walk from tabs to screens is one join a step.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import text as T
 from ..functions.blocks import brace_body
+from ..sources.storage import cut
 
 VIEWS = "repo string, path string, view string, place int, main boolean, tab_view boolean, tabs array<struct<label:string,view:string>>, targets array<struct<target:string,how:string>>"
 _TABS = pa.list_(pa.struct([("label", pa.string()), ("view", pa.string())]))
@@ -71,99 +73,113 @@ def views(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").endswith(".swift")).select("repo", "path", "content").mapInArrow(_views, VIEWS)
 
 
-def bare_name(view: str) -> str:
-    for s in V.NAME_SUFFIXES:
-        if view.endswith(s) and len(view) > len(s):
-            return view[: -len(s)]
-    return view
-
-
-def is_helper(view: str) -> bool:
-    return bare_name(view).endswith(V.HELPER_SUFFIXES) or any(x in view for x in V.HELPER_PARTS)
-
-
-def in_ui_dir(path: str) -> bool:
-    return any(p.lower() in V.UI_DIRS for p in path.split("/"))
-
-
-def human_name(view: str) -> str:
-    return re.sub(r"(?<=[a-z])(?=[A-Z])", " ", bare_name(view))
-
-
-def _shared(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a.split("/"), b.split("/"), strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def flow(app: str, rows: list[dict]) -> tuple[list[dict], list[dict]]:
-    """(nodes, edges) of one app. rows: its views, in the order of files and places; the last of equal names counts."""
-    known: dict[str, dict] = {}
-    for r in rows:
-        known[r["view"]] = {**known.get(r["view"], {}), **r}
-    entry = next((r for r in known.values() if r["main"] and r["tab_view"]), None) or next((r for r in known.values() if r["tab_view"]), None)
-    tabs = entry["tabs"] if entry else []
-    leads = {v: [t for t in r["targets"] if t["how"] != "embeds" or t["target"] in known] for v, r in known.items()}
-    wanted = {t["target"] for ts in leads.values() for t in ts if t["how"] != "embeds"}
-    roots = {t["view"] for t in tabs}
-    screens = {v: r["path"] for v, r in known.items() if v in roots or (not is_helper(v) and (v in wanted or (in_ui_dir(r["path"]) and v.endswith(V.SCREEN_SUFFIXES))))}
-    if not screens and not tabs:
-        return [], []
-    base = f"{app}/__ui__"
-    nodes: list[dict] = []
-    edges: list[dict] = []
-    node = lambda **x: nodes.append({"parent": None, "description": None, "framework": "SwiftUI", "language": "swift", **x})
-    if tabs:
-        node(id=f"{base}/tab-bar", name="Tab Bar", type="tab-container", path=entry["path"], parent=app, description=f"{len(tabs)} tabs")
-    ids: dict[str, str] = {}
-    for t in tabs:
-        ids[t["view"]] = own = f"{base}/tab-{t['label'].lower().replace(' ', '-')}"
-        said = f"Entry: {human_name(t['view'])}" if t["view"] in screens else None
-        node(id=own, name=t["label"], type="tab", path=screens.get(t["view"], ""), parent=f"{base}/tab-bar", description=said)
-        edges.append({"source": f"{base}/tab-bar", "target": own, "type": "tab", "label": t["label"]})
-    # Distances from every tab at once, by waves.
-    far: dict[str, tuple[int, int]] = {}
-    for order, t in enumerate(tabs):
-        wave, seen, hops = {t["view"]}, {t["view"]}, 0
-        while wave:
-            hops += 1
-            met = {x["target"] for v in wave for x in leads.get(v, ())}
-            for v in met:
-                far[v] = min(far.get(v, (hops, order)), (hops, order))
-            wave = {v for v in met if v in known} - seen
-            seen |= wave
-    folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else "."
-    for v, path in screens.items():
-        if v in ids:
-            continue
-        tab = tabs[far[v][1]]["view"] if v in far else None
-        if tab is None and tabs:
-            near = [(_shared(folder(known[t["view"]]["path"]), folder(path)), -k) for k, t in enumerate(tabs) if t["view"] in known]
-            best = max(near, default=(0, 0))
-            tab = tabs[-best[1]]["view"] if best[0] >= 2 else None
-        ids[v] = f"{base}/{v.lower()}"
-        node(id=ids[v], name=human_name(v), type="screen", path=path, parent=ids[tab] if tab else app)
-    for v, ts in leads.items():
-        for t in ts:
-            if t["how"] != "embeds" and v in ids and t["target"] in ids:
-                push = t["how"] == "push"
-                edges.append({"source": ids[v], "target": ids[t["target"]], "type": "navigation" if push else "modal", "label": None if push else t["how"]})
-    return nodes, edges
-
-
-_OUT = "repo string, app string, what string, place int, id string, name string, type string, path string, parent string, description string, source string, target string, label string"
-
-
-def _apps(key: tuple, table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: (r["path"], r["place"]))
-    nodes, edges = flow(key[1].as_py(), rows)
-    made = [{"what": "node", "place": k, **n} for k, n in enumerate(nodes)] + [{"what": "edge", "place": k, **e} for k, e in enumerate(edges)]
-    names = ["id", "name", "type", "path", "parent", "description", "source", "target", "label"]
-    columns = [pa.array([key[0].as_py()] * len(made), pa.string()), pa.array([key[1].as_py()] * len(made), pa.string()), pa.array([m["what"] for m in made], pa.string()), pa.array([m["place"] for m in made], pa.int32())]
-    return pa.table([*columns, *[pa.array([m.get(n) for m in made], pa.string()) for n in names]], names=["repo", "app", "what", "place", *names])
+APP = ["repo", "app"]
+
+
+def bare_name(view: Column) -> Column:
+    """The name without the first of the usual endings that is not all of it."""
+    return F.coalesce(*[F.when(view.endswith(s) & (F.length(view) > len(s)), F.substring(view, F.lit(1), F.length(view) - len(s))) for s in V.NAME_SUFFIXES], view)
+
+
+def ends_in(text: Column, endings: tuple[str, ...]) -> Column:
+    return reduce(or_, [text.endswith(s) for s in endings])
+
+
+def is_helper(view: Column) -> Column:
+    return ends_in(bare_name(view), V.HELPER_SUFFIXES) | T.any_of(view, V.HELPER_PARTS)
+
+
+def in_ui_dir(path: Column) -> Column:
+    return F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*map(F.lit, V.UI_DIRS)))
+
+
+def human_name(view: Column) -> Column:
+    return F.regexp_replace(bare_name(view), "(?<=[a-z])(?=[A-Z])", " ")
+
+
+def _folders(path: Column) -> Column:
+    return F.split(F.regexp_replace(path, "/?[^/]*$", ""), "/")
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """How many items two arrays have in common from their start."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same))
+
+
+def latest(found: DataFrame) -> DataFrame:
+    """A row for each view of an app: where it was met first, and all else as its last file has it."""
+    at = F.struct("path", "place")
+    last = F.max_by(F.struct("path", "main", "tab_view", "tabs", "targets"), at)
+    return found.groupBy(*APP, "view").agg(F.min(at).alias("first"), last.alias("r")).select(*APP, "view", "first", "r.*")
+
+
+def nearest_tabs(leads: DataFrame, roots: DataFrame) -> DataFrame:
+    """(repo, app, view, k): the tab from which a view takes the fewest steps, of several the first one.
+
+    roots: (repo, app, view, k). Each turn is one join with the views met by the turn before; views met already
+    are left out, so cycles end.
+    """
+    steps = leads.select(*APP, "view", "target").distinct()
+    wave = met = roots
+    while not wave.isEmpty():
+        following = steps.join(wave, [*APP, "view"]).groupBy(*APP, F.col("target").alias("view")).agg(F.min("k").alias("k"))
+        wave = cut(following.join(met, [*APP, "view"], "left_anti").select(*APP, "view", "k"), "wave")
+        met = met.unionByName(wave)
+    return met
+
+
+def flow(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(screens, edges) of apps. found: (repo, app) and the views of its files; of equal names the last counts.
+
+    The tabs are those of the first view that is the app's entry and holds a TabView, else of the first that holds one.
+    Screens are the tabs' views and those that are led to, or that stand in a folder of screens under a screen's name, but
+    no helpers. A screen belongs to the tab that is nearest, else to the one that shares most folders, two at least, else
+    to the app.
+    """
+    base = F.concat("app", F.lit("/__ui__"))
+    bar = F.concat(base, F.lit("/tab-bar"))
+    number = lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
+    known = cut(latest(found), "views")
+    entries = known.where("tab_view").groupBy(*APP).agg(F.min_by(F.struct("path", "tabs"), F.struct(~F.col("main"), F.col("first"))).alias("e")).select(*APP, "e.*").where("size(tabs) > 0")
+    slug = F.concat(base, F.lit("/tab-"), F.replace(F.lower("label"), F.lit(" "), F.lit("-")))
+    tabs = cut(entries.select(*APP, F.posexplode("tabs").alias("k", "t")).select(*APP, "k", "t.*").withColumn("id", slug), "tabs")
+    roots = tabs.groupBy(*APP, "view").agg(F.min("k").alias("k"), F.max_by("id", "k").alias("tab_id"))
+    each = known.select(*APP, "view", "first", F.posexplode("targets").alias("nth", "t")).select(*APP, "view", "first", "nth", "t.*")
+    made = known.select(*APP, F.col("view").alias("target"), F.lit(True).alias("made"))
+    leads = cut(each.join(made, [*APP, "target"], "left").where("how <> 'embeds' or made").drop("made"), "leads")
+    wanted = leads.where("how <> 'embeds'").select(*APP, F.col("target").alias("view"), F.lit(True).alias("wanted")).distinct()
+    view, path = F.col("view"), F.col("path")
+    listed = F.coalesce("wanted", in_ui_dir(path) & ends_in(view, V.SCREEN_SUFFIXES))
+    screens = known.join(wanted, [*APP, "view"], "left").where(~is_helper(view) & listed).select(*APP, "view", "path")
+    screens = screens.join(roots, [*APP, "view"], "left_anti").withColumn("id", F.concat(base, F.lit("/"), F.lower("view")))
+    screens = screens.join(nearest_tabs(leads, roots.drop("tab_id")), [*APP, "view"], "left")
+
+    placed = tabs.select(*APP, "k", "view").join(roots.drop("k"), [*APP, "view"]).join(known.select(*APP, "view", "path"), [*APP, "view"], "left")
+    placed = placed.groupBy(*APP).agg(F.collect_list(F.struct("k", "tab_id", _folders(path).alias("folders"))).alias("all"))  # the items of one TabView
+    near = F.transform(F.filter("all", lambda t: t["folders"].isNotNull()), lambda t: F.struct(_shared(t["folders"], _folders(path)).alias("n"), (-t["k"]).alias("k"), t["tab_id"].alias("id")))
+    best = F.array_max(near)
+    own = F.get(F.filter("all", lambda t: t["k"] == F.col("k")), F.lit(0))["tab_id"]
+    screens = screens.join(placed, APP, "left").withColumn("parent", F.coalesce(own, F.when(best["n"] >= 2, best["id"]), F.col("app"))).drop("all", "k")
+    screens = cut(screens, "screens")
+
+    column = lambda c, name: (F.lit(c) if c is None or isinstance(c, str) else c).cast("string").alias(name)
+    node = lambda rows, *values: rows.select(*APP, *[column(v, n) for v, n in zip(values, ["id", "name", "type", "path", "parent", "description"], strict=True)])
+    files = known.select(*APP, "view", "path")
+    nodes = node(entries, bar, "Tab Bar", "tab-container", path, F.col("app"), F.concat(F.size("tabs"), F.lit(" tabs")))
+    said = F.when(path.isNotNull(), F.concat(F.lit("Entry: "), human_name(view)))
+    nodes = nodes.unionByName(node(tabs.join(files, [*APP, "view"], "left"), F.col("id"), F.col("label"), "tab", F.coalesce("path", F.lit("")), bar, said))
+    nodes = nodes.unionByName(node(screens, F.col("id"), human_name(view), "screen", path, F.col("parent"), None))
+
+    at = lambda *keys: F.struct(*[k.alias(f"k{j}") for j, k in enumerate([F.col("app"), *keys])]).alias("at")
+    edge = lambda rows, place, *values: rows.select(*APP, place, *[column(v, n) for v, n in zip(values, ["source", "target", "type", "label"], strict=True)])
+    edges = edge(tabs, at(F.lit("0"), number("k"), F.lit("")), bar, F.col("id"), "tab", F.col("label"))
+    ids = screens.select(*APP, "view", "id").unionByName(roots.select(*APP, "view", F.col("tab_id").alias("id")))
+    led = leads.where("how <> 'embeds'").join(ids.withColumnRenamed("id", "source"), [*APP, "view"])
+    led = led.join(ids.select(*APP, F.col("view").alias("target"), F.col("id").alias("to")), [*APP, "target"])
+    push = F.col("how") == "push"
+    place = at(F.concat(F.lit("1"), F.col("first.path")), number("first.place"), number("nth"))
+    return nodes, edges.unionByName(edge(led, place, F.col("source"), F.col("to"), F.when(push, "navigation").otherwise("modal"), F.when(~push, F.col("how"))))
 
 
 def ui_flows(comps: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,8 +187,4 @@ def ui_flows(comps: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     apps = comps.where(F.col("type").isin(V.UI_TYPES) & F.col("framework").isin(V.UI_FRAMEWORKS)).select("repo", F.col("id").alias("app"), F.col("path").alias("app_path"))
     found = views(files).join(files.select("repo", "path", "owner"), ["repo", "path"])
     above = found.select("*", F.explode(F.concat(F.when(F.col("owner") == "", F.array(F.lit(""))).otherwise(F.filter(T.ancestors(F.col("owner")), lambda a: a != "")), F.when(F.col("owner") == "", F.array().cast("array<string>")).otherwise(F.array("owner")))).alias("app_path"))
-    inside = above.join(apps, ["repo", "app_path"]).select("repo", "app", "path", "view", "place", "main", "tab_view", "tabs", "targets")
-    made = inside.groupBy("repo", "app").applyInArrow(_apps, _OUT)
-    screens = made.where("what = 'node'").select("repo", "app", "place", "id", "name", "type", "path", "parent", "description")
-    edges = made.where("what = 'edge'").select("repo", "app", "place", "source", "target", "type", "label")
-    return screens, edges
+    return flow(above.join(apps, ["repo", "app_path"]).drop("app_path", "owner"))

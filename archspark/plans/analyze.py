@@ -68,8 +68,7 @@ def tables(spark: SparkSession, roots: dict[str, str], max_file_size: int = V.MA
     screens, ui_edges = uiflow.ui_flows(comps, files)
     edges = cut(relationships.relationships(files, comps).select(*relationships.EDGE), "edges")
     ui = ui_edges.select(
-        "repo", "source", "target", "type", "label", F.lit(None).cast("string").alias("protocol"), F.lit(None).cast("long").alias("port"), F.lit(False).alias("bidirectional"), F.lit(12).alias("stage"),
-        F.struct(F.col("app").alias("k0"), F.lpad(F.col("place").cast("string"), 10, "0").alias("k1"), F.lit("").alias("k2"), F.lit("").alias("k3")).alias("at"),
+        "repo", "source", "target", "type", "label", F.lit(None).cast("string").alias("protocol"), F.lit(None).cast("long").alias("port"), F.lit(False).alias("bidirectional"), F.lit(12).alias("stage"), "at",
     )
     edges = edges.unionByName(ui)
     measured = docs.with_docs(metrics.with_metrics(comps, files), files, texts)

@@ -245,27 +245,3 @@ def test_tabs_and_targets():
     assert uiflow.tabs_of(text) == [("Home", "HomeView"), ("Tab 2", "MoreView")]
     body = '{ NavigationLink { DetailView() } label: {} NavigationLink(destination: EditScreen(x)) .sheet(isPresented: $a) { InfoSheet() } .fullScreenCover(item: $b) { BigView() } RowView(1) }'
     assert uiflow.targets_of(body, "RowView")[:4] == [("DetailView", "push"), ("EditScreen", "push"), ("InfoSheet", "sheet"), ("BigView", "fullscreen")]
-
-
-def test_flow():
-    leads = lambda *t: [{"target": a, "how": b} for a, b in t]
-    row = lambda view, path, targets=(), **x: {"view": view, "path": path, "place": 0, "main": False, "tab_view": False, "tabs": [], "targets": leads(*targets), **x}
-    tabs = [{"label": "Home", "view": "HomeView"}, {"label": "My Stuff", "view": "StuffView"}]
-    rows = [
-        row("RootView", "App/App.swift", main=True, tab_view=True, tabs=tabs),
-        row("HomeView", "App/UI/Home/HomeView.swift", [("DetailView", "push"), ("StepView", "embeds")]),
-        row("StuffView", "App/UI/Stuff/StuffView.swift", [("DetailView", "push"), ("InfoView", "sheet")]),
-        row("DetailView", "App/UI/Home/DetailView.swift", [("HomeView", "push")]),
-        row("StepView", "App/UI/Home/StepView.swift", [("DeepScreen", "push")]),
-        row("DeepScreen", "App/x/DeepScreen.swift"), row("InfoView", "App/x/InfoView.swift"), row("LostView", "App/UI/Stuff/LostView.swift"), row("UserRowView", "App/UI/UserRowView.swift"), row("Other", "Other.swift"),
-    ]
-    nodes, edges = uiflow.flow("app", rows)
-    parent = {n["id"]: n["parent"] for n in nodes}
-    b = "app/__ui__"
-    assert parent == {
-        f"{b}/tab-bar": "app", f"{b}/tab-home": f"{b}/tab-bar", f"{b}/tab-my-stuff": f"{b}/tab-bar", f"{b}/detailview": f"{b}/tab-home", f"{b}/stepview": f"{b}/tab-home", f"{b}/deepscreen": f"{b}/tab-home",
-        f"{b}/infoview": f"{b}/tab-my-stuff", f"{b}/lostview": f"{b}/tab-my-stuff",
-    }
-    kinds = {(e["source"].removeprefix(b), e["target"].removeprefix(b), e["type"], e["label"]) for e in edges}
-    assert {("/tab-bar", "/tab-home", "tab", "Home"), ("/tab-home", "/detailview", "navigation", None), ("/tab-my-stuff", "/infoview", "modal", "sheet"), ("/detailview", "/tab-home", "navigation", None)} <= kinds and len(kinds) == 7
-    assert uiflow.flow("app", [row("Thing", "a.swift")]) == ([], [])

@@ -10,4 +10,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op1_warc_zip": warc_zip.ORACLE, "op5_min_max_hash": minhash.ORACLE, "op6_url_rules": urlfilter.ORACLE, "op8_e8_lattice": lattice.ORACLE}
+ORACLES = {"op1_warc_zip": warc_zip.ORACLE, "op3_jump_shards": sharding.ORACLE, "op5_min_max_hash": minhash.ORACLE, "op6_url_rules": urlfilter.ORACLE, "op8_e8_lattice": lattice.ORACLE}

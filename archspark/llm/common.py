@@ -72,15 +72,18 @@ def fold(doc_id: Column) -> Column:
 def rank_within(df: DataFrame, groups: list[str], order: list[str], out: str, buckets: int) -> DataFrame:
     """Adds ``out``: a gapless rank from 0 within ``groups``, where a group may hold most rows.
 
-    Rows of a group are dealt to ``buckets`` by a hash of ``order``. Counts of each
-    (group, bucket) give a bucket's first rank; a window ranks rows inside a bucket. No
-    task sees more than a bucket of a group. df is read twice; cut it first if it is dear.
+    Rows are ranked by a checksum of ``order`` (CRC-32 of its values as text, a colon between, nulls
+    left out) and then by ``order``, so that ranks do not depend on ``buckets``. Rows of a group are
+    dealt to buckets by ranges of the checksum. Counts of each (group, bucket) give a bucket's first
+    rank; a window ranks rows inside a bucket. No task sees more than a bucket of a group. df is read
+    twice; cut it first if it is dear.
     """
-    dealt = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    checksum = F.crc32(F.concat_ws(":", *[F.col(c).cast("string") for c in order]).cast("binary"))
+    dealt = df.withColumn("__h", checksum).withColumn("__b", F.floor(F.col("__h") * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
     counts = dealt.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__b").alias("__gb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy(*groups, "__b").orderBy(*order)
+    inside = Window.partitionBy(*groups, "__b").orderBy("__h", *order)
     ranked = dealt.withColumn("__r", F.row_number().over(inside))
     same = F.col("__b") == F.col("__gb")
     for i, g in enumerate(groups):

@@ -3,9 +3,9 @@
 A key and the number of shards decide a row's shard; there is no ring table. When one
 shard is added, rows move only into it, a fraction of one in n + 1 of all.
 
-``slot`` numbers the rows of a shard from 0 without gaps (order: id, then text checksum
-and size). A shard may be an eighth of the corpus, so ranks come from bucket counts
-and windows over buckets (``rank_within``); no task holds a shard.
+``slot`` numbers the rows of a shard from 0 without gaps (order: a checksum of id, text
+checksum and size, then these). A shard may be an eighth of the corpus, so ranks come from
+bucket counts and windows over buckets (``rank_within``); no task holds a shard.
 
 Cases: null texts have size 1 and the checksum of no bytes (0); a null id is hashed as
 0; rows with equal ids go to the same shard, equal texts only by chance; an empty table
@@ -69,3 +69,32 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7, under the law ``key``."""
     out = sharded(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+_CRC = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: cast('0x' || h as bigint)), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1]), cast(4294967295 as bigint)), 4294967295)"
+_WORD = "cast(18446744073709551616 as uhugeint)"
+
+#: The checksum byte by byte, the key's mixing and the jumps by their definitions, on integers of 128 bits.
+ORACLE = f"""
+with recursive t as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i)) as crc
+), d as (
+  select doc_id, cast(octet_length(encode(coalesce(text, ''))) + 1 as bigint) as size, {_CRC.format("coalesce(text, '')")} as text_crc32 from documents, t
+), k0 as (
+  select distinct doc_id, (cast(doc_id as uhugeint) + cast(11400714819323198485 as uhugeint)) % {_WORD} as x from d
+), k1 as (
+  select doc_id, (xor(x, x // 1073741824) * cast(13787848793156543929 as uhugeint)) % {_WORD} as x from k0
+), k2 as (
+  select doc_id, (xor(x, x // 134217728) * cast(10723151780598845931 as uhugeint)) % {_WORD} as x from k1
+), j(doc_id, n, x, b, j) as (
+  select doc_id, n, xor(x, x // 2147483648), cast(-1 as bigint), cast(0 as bigint) from k2, (values ({SHARDS}), ({SHARDS + 1})) as v(n)
+  union all
+  select doc_id, n, y, j, cast(floor((j + 1) * (cast(2147483648 as double) / cast(y // 8589934592 + 1 as double))) as bigint)
+  from (select *, (x * cast(2862933555777941757 as uhugeint) + 1) % {_WORD} as y from j where j < n)
+), s as (
+  select doc_id, cast(max(b) filter (n = {SHARDS}) as integer) as shard, cast(max(b) filter (n = {SHARDS + 1}) as integer) as grown_shard from j where j >= n group by doc_id
+), h as (
+  select d.*, s.shard, s.grown_shard, {_CRC.format("d.doc_id || ':' || d.text_crc32 || ':' || d.size")} as h from d join s on s.doc_id = d.doc_id, t
+)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by h, doc_id, text_crc32, size) - 1 as slot, grown_shard from h
+"""

@@ -115,6 +115,18 @@ def test_shards(spark):
     assert sharding.sharded(docs.limit(0)).count() == 0
 
 
+def test_slots_follow_the_checksum_with_any_buckets(spark):
+    rows = [(i % 900, f"text {i % 7}") for i in range(2000)] + [(None, None), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = defaultdict(list)
+    for r in sharding.sharded(docs, buckets=7).collect():
+        parts = [str(v) for v in (r.doc_id, r.text_crc32, r.size) if v is not None]
+        order[r.shard].append((r.slot, (zlib.crc32(":".join(parts).encode()), r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size)))
+    assert all([k for _, k in sorted(s)] == sorted(k for _, k in s) for s in order.values())
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.slot)
+    assert sorted(sharding.sharded(docs, buckets=1).collect(), key=key) == sorted(sharding.sharded(docs, buckets=500).collect(), key=key)
+
+
 # --- tokens -------------------------------------------------------------------------
 
 TEXTS = ["", None, "Hello  world\n\n it's 12345 ok\t \x1c\x1d x\x85y\xa0z", "naïve ÜBER 日本語 😀\u200d👩 \u2003end ", " " * 50, "a" * 3000 + " b", "<|endoftext|> x", "don't DON'T we'll\r\n\r\n  \r\n", "word " * 20_000]

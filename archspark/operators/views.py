@@ -312,11 +312,15 @@ def hit(comps: DataFrame, files: DataFrame, symbols: DataFrame, kind: str, id_:
 ANNOTATION = "id string, componentId string, targetType string, targetId string, targetName string, text string, createdAt timestamp"
 
 
+def target_key() -> Column:
+    """What an annotation is about: a component's own by component, others by target."""
+    return F.when(F.col("targetType") == "component", F.col("componentId")).otherwise(F.coalesce("targetId", "componentId"))
+
+
 def current_annotations(log: DataFrame) -> DataFrame:
     """What holds after a log of additions (ANNOTATION rows with ``seq``): one for each target, a component's own by component; blank texts are none."""
     rows = log.withColumn("text", T.stripped(F.col("text"))).where("text <> ''").withColumn("targetId", F.coalesce("targetId", "componentId"))
-    key = F.when(F.col("targetType") == "component", F.col("componentId")).otherwise(F.col("targetId"))
-    last = Window.partitionBy("targetType", key).orderBy(F.col("seq").desc())
+    last = Window.partitionBy("targetType", target_key()).orderBy(F.col("seq").desc())
     return rows.withColumn("__k", F.row_number().over(last)).where("__k = 1").drop("__k")
 
 

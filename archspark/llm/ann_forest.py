@@ -14,7 +14,7 @@ No bucket and no candidate list is capped.
 
 Rows are dealt to blocks of about ``block_rows`` at random. A block's forest (vectors, sorted arrays)
 is built once and is a row of the index, a table in the shared folder. Queries go to all tasks in
-groups of at most ``query_bytes``, one broadcast each; a task goes through its blocks, carries each
+groups of at most ``query_bytes``, one after the other, each a broadcast that ends with its group; a task goes through its blocks, carries each
 query's k nearest from block to block, which ends later ascents sooner, and returns these. The best k of
 all tasks are the answer. Each row is shuffled once, and so is a task's result for each query.
 Equal vectors, however many, are only rows of their blocks.
@@ -23,7 +23,8 @@ Cases: vectors that are null, empty, zero or hold null or non-finite components
 ids neither. Vectors of unequal length are no candidates of each other. A query
 with fewer than k candidates gets all of them. Ties go to the smaller id. A query id that
 repeats is asked once (of several vectors the least one); repeated candidates are rows like
-others. A candidate is left out only if its id is the query's own.
+others. A candidate is left out only if its id is the query's own. Scores are sums in the order of
+components, so that equal vectors tie. Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, read
+from .common import bound_batches, cut, fresh_path, read
 
 TREES = 24
 BITS = 64
@@ -62,11 +63,29 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of a with each of b, in double precision on the original vectors."""
+    """Cosine of each row of a with each of b, for the choice of pairs: the last bits depend on the rows beside."""
     a, b = (_tame(x.astype(np.float64)) for x in (a, b))
     return (a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :])
 
 
+#: Cosines of a matrix product are this near to those of ``pair_cosines``.
+MARGIN = 1e-9
+
+
+def pair_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of a with the row of b beside it, in double precision on the original vectors.
+
+    Products are added component after component: a pair has one score, whatever stands beside it and whichever is first.
+    """
+    a, b = (_tame(x.astype(np.float64)) for x in (a, b))
+    dot, aa, bb = (np.zeros(len(a)) for _ in range(3))
+    for x, y in zip(a.T, b.T, strict=True):
+        dot += x * y
+        aa += x * x
+        bb += y * y
+    return dot / (np.sqrt(aa) * np.sqrt(bb))
+
+
 def _tame(x: np.ndarray) -> np.ndarray:
     """Rows whose squares would overflow or vanish times a power of two, which changes no cosine; others as they are."""
     exponent = np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1]
@@ -157,8 +176,8 @@ class Forest:
             if not places:
                 continue
             # Exact measure and ties: a margin around the k-th keeps equal scores together.
-            have = np.concatenate(places)[np.concatenate(scores) >= best[0] - 1e-9]
-            exact = cosines(queries[q : q + 1], self.x[have])[0]
+            have = np.concatenate(places)[np.concatenate(scores) >= best[0] - MARGIN]
+            exact = pair_cosines(np.broadcast_to(queries[q], (len(have), queries.shape[1])), self.x[have])
             order = np.lexsort((self.ids[have], -exact))[:k]
             yield q, have[order], exact[order]
 
@@ -215,19 +234,30 @@ def _searched(shared, k: int, miss: float):
     return run
 
 
+def _groups(asked: DataFrame, query_bytes: int) -> Iterator[pa.Table]:
+    """The queries in groups of at most ``query_bytes``, or of one query; at least one group, which may be empty."""
+    own = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n))
+    weigh = asked.select("vec_id", (8 * F.size("embedding") + 8).alias("bytes"))
+    groups = max(1, -(-(weigh.agg(F.sum("bytes")).first()[0] or 0) // query_bytes))
+    while groups > 1 and not weigh.groupBy(own(groups).alias("g")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).where(f"bytes > {query_bytes} and n > 1").isEmpty():
+        groups *= 2
+    for g in range(groups):
+        yield asked.where(own(groups) == g).toArrow()
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, trees: int = TREES, miss: float = MISS, block_rows: int = BLOCK_ROWS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows; both sides have vec_id and embedding."""
     spark = rows.sparkSession
     bound_batches(spark)
     keep = lambda d: d.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(f"vec_id is not null and {usable('embedding')}")
     forests = index(keep(rows), trees, block_rows)
-    asked = keep(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    groups = max(1, -(-(asked.agg(F.sum(8 * F.size("embedding"))).first()[0] or 0) // query_bytes))
-    found = None
-    for g in range(groups):
-        part = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(groups)) == g).toArrow()  # query_bytes on average
-        one = forests.mapInArrow(_searched(spark.sparkContext.broadcast(list(_by_length(part))), k, miss), FOUND)
-        found = one if found is None else found.unionByName(one)
+    asked = cut(keep(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    found = fresh_path(spark, "found")
+    for part in _groups(asked, query_bytes):
+        shared = spark.sparkContext.broadcast(list(_by_length(part)))
+        forests.mapInArrow(_searched(shared, k, miss), FOUND).write.mode("append").parquet(found)
+        shared.destroy()  # what it was for is written
+    found = spark.read.schema(FOUND).parquet(found)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -230,6 +230,22 @@ def identified(docs: DataFrame, model: Languages) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def recognises(spark: SparkSession, model: Languages, least: float):
+    """A condition on texts: they have a letter, and their likeliest language has a score of at least ``least``."""
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(model)  # DIMS numbers a language
+
+    @F.arrow_udf("boolean")
+    def recognised(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, bool)]
+        for _, _, part in _slices(texts):
+            names, score = shared.value.predict(part)
+            out.append((np.array(names, object) != UNKNOWN) & (score >= least))
+        return pa.array(np.concatenate(out))
+
+    return recognised
+
+
 def op10_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = read(spark, sf_dir, "documents")

@@ -19,8 +19,8 @@ are missed at each of 2 to 256 dimensions).
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, rows with a
 null label or id: no links, their own component (null for a null id), kept if they have an
-id. Vectors of unequal length never link. Rows that repeat an id are vectors like others.
-An empty table gives no rows; other columns are not read.
+id. Vectors of unequal length never link. Rows that repeat an id are vectors like others, each
+with its own links, component and kept; classes are told apart by a stored key. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ann_forest import cosines, unit, usable
+from .ann_forest import MARGIN, cosines, pair_cosines, unit, usable
 from .common import bound_batches, cut, mix, read, salted
 from .graph import components, spanning
 from .minhash import by_run, chunks
@@ -159,10 +159,17 @@ def _linked(limit: float):
                         continue
                     i, j = block_i[part[0]], block_j[part[0]]
                     a, z = np.flatnonzero(block[part] == i) + a0, np.flatnonzero(block[part] == j) + a0
-                    near = (cosines(x[a], x[z]) >= limit) & (home[own[a]][:, None] | home[own[z]][None, :]) & (rep[own[a]][:, None] != rep[own[z]][None, :])
+                    cos = cosines(x[a], x[z])
+                    near = (cos >= limit - MARGIN) & (home[own[a]][:, None] | home[own[z]][None, :]) & (rep[own[a]][:, None] != rep[own[z]][None, :])
                     if i == j:
                         near &= a[:, None] < z[None, :]
                     p, q = np.nonzero(near)
+                    border = np.flatnonzero(cos[p, q] < limit + MARGIN)
+                    linked = np.ones(len(p), bool)
+                    for s in range(0, len(border), 8192):
+                        at = border[s : s + 8192]
+                        linked[at] = pair_cosines(x[a[p[at]]], x[z[q[at]]]) >= limit
+                    p, q = p[linked], q[linked]
                     ps.append(a[p])
                     qs.append(z[q])
                 p, q = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (ps, qs))
@@ -202,18 +209,22 @@ def near_vectors(rows: DataFrame, limit: float = 0.98) -> DataFrame:
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     rows = rows.withColumn("__in", F.expr(f"coalesce(vec_id is not null and label is not null and {usable('embedding')}, false)"))
     used = rows.where("__in")
-    classes = cut(used.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")).select("rep", "label", "embedding", "size"), "classes")
+    # A class has a key of its own, stored with it: an id may stand at several vectors.
+    classes = used.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("rep"), "id", "label", "embedding", "size"), "classes")
     narrow = cut(classes.select("rep", "label", "embedding").mapInArrow(_cells, "cell long, rep long, home boolean"), "cells")
-    shared = narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("home"), F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("home and r0 <> r1").select("cell", "m")
-    members = narrow.join(shared, "cell").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    shared = narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("home"), F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("home and r0 <> r1")
+    shared = shared.select("cell", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    members = salted(narrow, shared, "cell", "m", narrow.count(), "rep")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "home").join(classes, "rep")
+    dealt = dealt.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "home").join(classes.drop("id"), "rep")
     ordered = by_run(dealt.select("cell", "i", "j", "block", "rep", "home", "size", "label", "embedding"), "cell", "i", "j")
     found = cut(ordered.mapInArrow(_linked(limit), "rep long, links long, u long, v long"), "links")
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = components(found.where("u is not null").select("u", "v"))
-    known = classes.join(counts, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("label", "embedding", "size", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    comp = cut(components(found.where("u is not null").select("u", "v")).withColumnRenamed("id", "rep"), "components")
+    least = comp.join(classes.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("least"))
+    known = classes.join(counts, "rep", "left").join(comp.join(least, "component").select("rep", "least"), "rep", "left")
+    known = known.select("label", "embedding", "size", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     same = F.struct("label", "embedding").alias("same")
     linked = salted(used.select("vec_id", same), known.select(same, "size", "n_links", "component_id"), "same", "size", used.count(), "vec_id").select("vec_id", "n_links", "component_id")
     alone = rows.where("not __in").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read, row_slices, texts_of, utf8, words
+from .common import bound_batches, fold, read, row_slices, texts_of, utf8, words
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -264,6 +264,23 @@ def scored(docs: DataFrame, gam: Gam) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def reaches(spark: SparkSession, gam: Gam, least: float):
+    """A condition on texts: their score is at least ``least``."""
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(gam)  # some thousand numbers
+
+    @F.arrow_udf("boolean")
+    def reached(texts: pa.Array) -> pa.Array:
+        raw, offsets = utf8(texts)
+        out = [np.zeros(0, bool)]
+        for first, end in row_slices(offsets):
+            own = offsets[first : end + 1]
+            out.append(shared.value.score(measures(raw[own[0] : own[-1]], own - own[0])) >= least)
+        return pa.array(np.concatenate(out))
+
+    return reached
+
+
 def op7_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     docs = read(spark, sf_dir, "documents")

@@ -168,3 +168,29 @@ def test_stages_judge_rows(spark):
     assert {"null, unique", "7", "9", "9, other"}.issubset(got) and "null, copy" not in got
     got = [r.name for r in p.language_id(spark, docs, "/root/testdata/sf0.001").collect()]
     assert {"null, unique", "null, copy", "9"}.issubset(got) and not {"no letter", "9, no letter"} & set(got)
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Columns named like inner ones come through; keys of rows are stored, so their order of reading does not matter."""
+    import corpus_pipeline as p
+
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice(["and", "the", "house", "river", "tree", "stone"]) for _ in range(60)) + "."
+    rows = [(i, text(), "en", f"r{i}", i, i, "c", 0.1, "und") for i in range(40)]
+    rows += [(100 + i, rows[i][1], "en", f"s{i}", 0, 0, "c", 0.9, "x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `__row` string, `__ROW_` long, salt int, component_id string, score double, lang_pred string")
+    for _, stage in p.STAGES[:2]:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns and got.exceptAll(docs).isEmpty()
+        kept = [r.doc_id % 100 for r in got.collect()]
+        assert len(kept) > 60 and {kept.count(i) for i in kept} == {2}
+    got = p.near_dedup(spark, docs, "/root/testdata/sf0.001")
+    assert got.columns == docs.columns
+    want = sorted(tuple(r) for r in rows[:40])
+    assert sorted(tuple(r) for r in got.collect()) == want
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # other splits from here on
+    try:
+        assert sorted(tuple(r) for r in got.repartition(3).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -202,6 +202,29 @@ def test_near_vectors(spark, monkeypatch, block):
     assert got == {i: (counts[i], want[i], want[i] == i) for i in want}
 
 
+def test_vectors_of_a_repeated_id_stay_apart(spark):
+    """Rows that repeat an id are vectors like others, in one label and in two."""
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near_x, near_y = [1.0, 0.01, 0.0], [0.01, 1.0, 0.0]
+    schema = "vec_id long, embedding array<float>, label int, id long, rep long"
+    got = lattice.near_vectors(spark.createDataFrame([(1, x, 0, 5, 5), (1, y, 0, 5, 5), (2, near_x, 0, 5, 5), (3, near_y, 0, 5, 5)], schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    got = lattice.near_vectors(spark.createDataFrame([(1, x, 0, 5, 5), (1, y, 1, 5, 5), (2, near_x, 0, 5, 5), (3, near_y, 0, 5, 5)], schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    got = lattice.near_vectors(spark.createDataFrame([(1, x, 0, 5, 5)] * 3 + [(4, x, 0, 5, 5)], schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 3, 1)] * 3 + [(4, 3, 1)]
+
+
+def test_cells_are_joined_with_salt(spark, monkeypatch):
+    """A cell with most rows is dealt to all partitions where it meets its size; results stay."""
+    monkeypatch.setattr(lattice, "BLOCK", 16)
+    monkeypatch.setattr(common, "HOT", 4)
+    rng = np.random.default_rng(2)
+    x = np.array([1.0] * 8) + 0.01 * rng.standard_normal((150, 8))
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert {(r.n_links, r.component_id) for r in lattice.near_vectors(rows).collect()} == {(149, 0)}
+
+
 def test_near_vectors_none(spark):
     assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     got = lattice.near_vectors(spark.createDataFrame([(None, [1.0], 1), (4, [1.0], 1)], "vec_id long, embedding array<float>, label int")).collect()
@@ -289,3 +312,32 @@ def test_forest_ties_and_few(spark):
     got = ann_forest.nearest(table, table.where("vec_id = 0"), 5).orderBy("rank").collect()
     assert [(r.vec_id, round(r.score, 9)) for r in got] == [(3, 1.0), (7, 1.0), (9, 1.0), (4, 0.0)]
     assert ann_forest.nearest(table.limit(0), table, 5).count() == 0 and ann_forest.nearest(table, table.limit(0), 5).count() == 0
+
+
+def test_equal_vectors_tie_over_blocks(spark):
+    """Forty vectors, a hundred rows each, over many blocks and two groups of queries: nearest first, then by id."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((40, 24)).astype(np.float32)
+    order = rng.permutation(4000)
+    rows = [(int(i), x[k % 40].tolist(), 7, "q") for k, i in enumerate(order)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, query_id string")
+    got = ann_forest.nearest(table, table.where("vec_id % 100 = 0"), 5, block_rows=300, query_bytes=20 * 200).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by.setdefault(r.query_id, []).append(r)
+    equal = {}
+    for k, i in enumerate(order.tolist()):
+        equal.setdefault(k % 40, []).append(i)
+    of = {i: k for k, v in equal.items() for i in v}
+    assert set(by) == set(range(0, 4000, 100))
+    for q, found in by.items():
+        assert [r.vec_id for r in found] == [i for i in sorted(equal[of[q]]) if i != q][:5]
+        assert len({r.score for r in found}) == 1
+
+
+def test_a_score_does_not_depend_on_what_stands_beside():
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal((2, 500, 67))
+    whole = ann_forest.pair_cosines(a, b)
+    for k in range(0, 500, 7):
+        assert whole[k] == ann_forest.pair_cosines(a[k : k + 1], b[k : k + 1])[0] == ann_forest.pair_cosines(b[k - 1 : k + 2], a[k - 1 : k + 2])[min(k, 1) if k else 0] if k else True

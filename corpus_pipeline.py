@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archspark.llm import langid, minhash, packing, quality
-from archspark.llm.common import cut, read
+from archspark.llm.common import cut, read, spread
 
 #: Documents whose most likely language is less likely than this go, as do those without a letter.
 LANGUAGE_SCORE = 0.3
@@ -19,10 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     all or none. Null and empty texts and texts without a letter go. A null lang is not learned from; with no lang at
     all every document goes. An empty table gives no rows; further columns of any name are carried.
     """
-    rows = _keyed(docs)
-    judged = langid.identified(_by_row(rows), langid.train(docs))
-    rejected = (F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LANGUAGE_SCORE)
-    return _keep(rows, judged.where(~rejected))
+    known = langid.recognises(spark, langid.train(docs), LANGUAGE_SCORE)
+    return spread(docs).where(known(F.col("text").cast("string")))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +30,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     all or none. Null and empty texts have the score of a text whose measures are all 0; a score that ties the threshold
     stays. Without labels every score is 0.5. An empty table gives no rows; further columns of any name are carried.
     """
-    rows = _keyed(docs)
-    judged = quality.scored(_by_row(rows), quality.train(docs, read(spark, sf_dir, "labels")))
-    return _keep(rows, judged.where(F.col("score") >= quality.THRESHOLD))
+    good = quality.reaches(spark, quality.train(docs, read(spark, sf_dir, "labels")), quality.THRESHOLD)
+    return spread(docs).where(good(F.col("text").cast("string")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +39,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null ids come last; of rows with equal texts, repeated ids or null ids included, one stays, and of equal ids any one. Rows
     without words (null and empty texts too) are in no group and stay. An empty table gives no rows; further columns of any
-    name are carried.
+    name are carried. Ids may be null or repeated, so rows get a key, which is stored with them: one made again could be
+    another after an executor is lost.
     """
-    rows = _keyed(docs)
-    found = minhash.near_duplicates(_by_row(rows), width=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id")
-    ids = found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row")
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first"))
-    return _keep(rows, first.select(F.col("first.__row").alias("doc_id")))
+    key = _free_name(docs)
+    rows = cut(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias(key), "component_id")
+    ids = found.join(rows.select(key, F.col("doc_id").alias("id")), key)
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", key)).alias("first"))
+    return rows.join(first.select(F.col("first")[key].alias(key)), key, "left_semi").drop(key)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,23 +60,12 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row: ids may be null or repeated.
-
-    A row's key is its place in the scan, so docs must give its rows in the same partitions and order
-    whenever it is read, as a stored table does (stages get such); a copy would take its texts' size on disk.
-    """
-    return docs.withColumn("__row", F.monotonically_increasing_id())
-
-
-def _by_row(rows: DataFrame) -> DataFrame:
-    """Keyed rows as (doc_id, text) for an operator, with the key as the id."""
-    return rows.select(F.col("__row").alias("doc_id"), "text")
-
-
-def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Of keyed rows those whose key is a doc_id of kept, without the key."""
-    return rows.join(kept.select(F.col("doc_id").alias("__row")), "__row", "left_semi").drop("__row")
+def _free_name(docs: DataFrame) -> str:
+    """A column name that docs does not have."""
+    name, have = "__row", {c.lower() for c in docs.columns}
+    while name in have:
+        name += "_"
+    return name
 
 
 STAGES = [("language ID", language_id), ("quality classifier", quality_filter), ("MinHash near-dedup", near_dedup), ("best-fit packing", best_fit)]

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, fresh_path, read
+from .common import bound_batches, cut, fresh_path, query_groups, read
 
 TREES = 24
 BITS = 64
@@ -234,17 +234,6 @@ def _searched(shared, k: int, miss: float):
     return run
 
 
-def _groups(asked: DataFrame, query_bytes: int) -> Iterator[pa.Table]:
-    """The queries in groups of at most ``query_bytes``, or of one query; at least one group, which may be empty."""
-    own = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n))
-    weigh = asked.select("vec_id", (8 * F.size("embedding") + 8).alias("bytes"))
-    groups = max(1, -(-(weigh.agg(F.sum("bytes")).first()[0] or 0) // query_bytes))
-    while groups > 1 and not weigh.groupBy(own(groups).alias("g")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).where(f"bytes > {query_bytes} and n > 1").isEmpty():
-        groups *= 2
-    for g in range(groups):
-        yield asked.where(own(groups) == g).toArrow()
-
-
 def nearest(rows: DataFrame, queries: DataFrame, k: int, trees: int = TREES, miss: float = MISS, block_rows: int = BLOCK_ROWS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows; both sides have vec_id and embedding."""
     spark = rows.sparkSession
@@ -253,7 +242,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, trees: int = TREES, mis
     forests = index(keep(rows), trees, block_rows)
     asked = cut(keep(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     found = fresh_path(spark, "found")
-    for part in _groups(asked, query_bytes):
+    for part in query_groups(asked, "embedding", query_bytes):
         shared = spark.sparkContext.broadcast(list(_by_length(part)))
         forests.mapInArrow(_searched(shared, k, miss), FOUND).write.mode("append").parquet(found)
         shared.destroy()  # what it was for is written

@@ -111,6 +111,17 @@ def salted(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, d
     return dealt.drop("__salts").join(copies, [key, "__salt"]).drop("__salt")
 
 
+def query_groups(asked: DataFrame, column: str, most: int) -> Iterator[pa.Table]:
+    """Rows (vec_id, column) in groups of vectors of at most ``most`` bytes as doubles, or of one row; one group at least, which may be empty."""
+    own = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n))
+    weigh = asked.select("vec_id", (8 * F.size(column) + 8).alias("bytes"))
+    groups = max(1, -(-(weigh.agg(F.sum("bytes")).first()[0] or 0) // most))
+    while groups > 1 and not weigh.groupBy(own(groups).alias("g")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).where(f"bytes > {most} and n > 1").isEmpty():
+        groups *= 2
+    for g in range(groups):
+        yield asked.where(own(groups) == g).toArrow()
+
+
 # --- Arrow batches as numpy -------------------------------------------------------
 
 

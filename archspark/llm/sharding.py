@@ -71,7 +71,8 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-_CRC = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: cast('0x' || h as bigint)), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1]), cast(4294967295 as bigint)), 4294967295)"
+#: The CRC-32 of a text in DuckDB, with ``crc`` as the table of 256 remainders.
+CRC = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: cast('0x' || h as bigint)), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1]), cast(4294967295 as bigint)), 4294967295)"
 _WORD = "cast(18446744073709551616 as uhugeint)"
 
 #: The checksum byte by byte, the key's mixing and the jumps by their definitions, on integers of 128 bits.
@@ -79,7 +80,7 @@ ORACLE = f"""
 with recursive t as (
   select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i)) as crc
 ), d as (
-  select doc_id, cast(octet_length(encode(coalesce(text, ''))) + 1 as bigint) as size, {_CRC.format("coalesce(text, '')")} as text_crc32 from documents, t
+  select doc_id, cast(octet_length(encode(coalesce(text, ''))) + 1 as bigint) as size, {CRC.format("coalesce(text, '')")} as text_crc32 from documents, t
 ), k0 as (
   select distinct doc_id, (cast(doc_id as uhugeint) + cast(11400714819323198485 as uhugeint)) % {_WORD} as x from d
 ), k1 as (
@@ -94,7 +95,7 @@ with recursive t as (
 ), s as (
   select doc_id, cast(max(b) filter (n = {SHARDS}) as integer) as shard, cast(max(b) filter (n = {SHARDS + 1}) as integer) as grown_shard from j where j >= n group by doc_id
 ), h as (
-  select d.*, s.shard, s.grown_shard, {_CRC.format("d.doc_id || ':' || d.text_crc32 || ':' || d.size")} as h from d join s on s.doc_id = d.doc_id, t
+  select d.*, s.shard, s.grown_shard, {CRC.format("d.doc_id || ':' || d.text_crc32 || ':' || d.size")} as h from d join s on s.doc_id = d.doc_id, t
 )
 select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by h, doc_id, text_crc32, size) - 1 as slot, grown_shard from h
 """

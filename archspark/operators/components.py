@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions import text as T
 from ..sources import configs
+from .enclosing import enclosing
 
 CONFIG = "struct<type:string,path:string,services:array<string>,ports:array<struct<service:string,host:int,container:int>>,functions:array<struct<name:string,runtime:string,handler:string,code_uri:string>>,has_api_gateway:boolean,provider:string>"
 
@@ -27,9 +28,8 @@ def vendored(entries: DataFrame) -> DataFrame:
 
 
 def nested_in(rows: DataFrame, tops: DataFrame) -> DataFrame:
-    """Rows (repo, path) of which a directory above is among tops (repo, path)."""
-    above = rows.select("repo", "path", F.explode(T.ancestors(F.col("path"))).alias("above"))
-    return above.join(tops.select("repo", F.col("path").alias("above")), ["repo", "above"], "left_semi").select("repo", "path").distinct()
+    """Distinct rows (repo, path) of which a directory above is among tops (repo, path)."""
+    return nearest(rows.select("repo", "path").distinct(), tops, "__top").where("__top is not null").select("repo", "path")
 
 
 def source_files(entries: DataFrame, foreign: DataFrame, max_file_size: int = V.MAX_FILE_SIZE) -> DataFrame:
@@ -131,11 +131,13 @@ def components(entries: DataFrame, texts: DataFrame, foreign: DataFrame, roots:
 
 
 def nearest(rows: DataFrame, comps: DataFrame, out: str) -> DataFrame:
-    """rows (repo, path, ...) with the deepest component directory above each path; null above the root."""
-    above = rows.select("repo", "path", F.posexplode(T.ancestors(F.col("path"))).alias("depth", "above")).where((F.col("path") != ""))
-    hit = above.join(comps.select("repo", F.col("path").alias("above")), ["repo", "above"])
-    deepest = hit.groupBy("repo", "path").agg(F.max_by("above", "depth").alias(out))
-    return rows.join(deepest, ["repo", "path"], "left")
+    """rows (repo, path, ...) with the deepest component directory above each path; null above the root.
+
+    Only distinct directories are swept; rows get their directory's answer, by a broadcast while these are few.
+    """
+    keyed = rows.withColumn("__place", F.when(F.col("path") != "", T.dirname(F.col("path"))))
+    found = enclosing(keyed.select("repo", F.col("__place").alias("place")), comps).select("repo", F.col("place").alias("__place"), F.col("top").alias(out))
+    return keyed.join(found, ["repo", "__place"], "left").drop("__place").select(*rows.columns, out)
 
 
 def parents(comps: DataFrame) -> DataFrame:

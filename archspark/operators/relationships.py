@@ -3,7 +3,7 @@
 Each producer returns edges with a ``stage`` and an ``at`` (where in its stage the edge
 was found); of edges with the same source, target and type the earliest stays. What the
 text of files can match is first extracted from it (ports, addresses, quoted names), so
-that joins run on short values and on equality.
+that joins run on short values and on equality; names in addresses are found by automata (``names``).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions import text as T
 from .components import resolve_imports
+from .names import containing
 
 EDGE = ["repo", "source", "target", "type", "label", "protocol", "port", "bidirectional", "stage", "at"]
 
@@ -67,17 +68,6 @@ def port_edges(files: DataFrame, comps: DataFrame) -> DataFrame:
     return _edges(rows, 2, "http", F.concat(F.lit("port "), F.col("port").cast("string")), ["file", _order("first")], F.col("port"))
 
 
-def containing(texts: DataFrame, words: DataFrame, text: str, word: str, shortest: int = 3) -> DataFrame:
-    """texts (repo, ...) joined with the words (repo, ...) that they contain; words have ``shortest`` characters at least.
-
-    A contained word begins with one of the text's pieces of three characters (or with all of a shorter word), so the
-    join is by equality, and what it gives is compared.
-    """
-    pieces = F.flatten(F.transform(F.sequence(F.lit(min(shortest, 3)), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, n))))
-    keyed = texts.withColumn("__key", F.explode(F.array_distinct(pieces)))
-    return keyed.join(words.withColumn("__key", F.substring(word, 1, 3)), ["repo", "__key"]).where(F.col(text).contains(F.col(word))).drop("__key")
-
-
 def service_names(comps: DataFrame) -> DataFrame:
     """(repo, service, target, first): names by which a component may be called.
 
@@ -174,7 +164,7 @@ def config_edges(files: DataFrame, comps: DataFrame) -> DataFrame:
     signs = F.array_distinct(F.array(port, F.replace(F.lower("target_name"), F.lit(" "), F.lit("-"))))
     servers = _called(comps).select("repo", "target", "target_ord", F.explode(signs).alias("sign")).where("sign <> ''")
     places = urls.select("repo", "url").distinct().withColumn("low", F.lower("url"))
-    named = containing(places, servers, "low", "sign", 1).select("repo", "url", "target", "target_ord").distinct()
+    named = containing(places, servers, "low", "sign").select("repo", "url", "target", "target_ord").distinct()
     return _edges(urls.join(named, ["repo", "url"]), 10, "http", "env config", ["file", _digits("place"), _order("target_ord")])
 
 

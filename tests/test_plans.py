@@ -36,17 +36,6 @@ def test_tree_queries_have_no_cross_join(spark):
         assert "CartesianProduct" not in plan(registry.QUERIES[name](spark, SF))
 
 
-def test_names_in_addresses_are_joined_by_equality(spark):
-    from archspark.operators import relationships
-
-    texts = spark.createDataFrame([("r", "http://api-one:80"), ("r", "x")], "repo string, text string")
-    words = spark.createDataFrame([("r", "api-one"), ("r", ":80"), ("r", "x"), ("r", "api-two"), ("q", "x")], "repo string, word string")
-    found = relationships.containing(texts, words, "text", "word", 1)
-    assert sorted((r.text, r.word) for r in found.collect()) == [("http://api-one:80", ":80"), ("http://api-one:80", "api-one"), ("x", "x")]
-    shown = plan(relationships.containing(texts.hint("merge"), words, "text", "word"))
-    assert "NestedLoop" not in shown and "Cartesian" not in shown
-
-
 def test_visible_components_are_not_one_partition(spark):
     from archspark.operators import views
 

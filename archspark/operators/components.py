@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions import text as T
 from ..sources import configs
+from ..sources.storage import cut
 from .enclosing import enclosing
 
 CONFIG = "struct<type:string,path:string,services:array<string>,ports:array<struct<service:string,host:int,container:int>>,functions:array<struct<name:string,runtime:string,handler:string,code_uri:string>>,has_api_gateway:boolean,provider:string>"
@@ -64,40 +65,69 @@ def ruby_names(entries: DataFrame) -> DataFrame:
     return per.select("repo", "dir", configs.ruby_app_name(F.col("a"), F.col("b"), F.col("c")).alias("ruby_name"))
 
 
-def _described(found: DataFrame) -> DataFrame:
-    """Name, type, description, port and config record from the marker file's content."""
+def _described(found: DataFrame, kinds: set[str]) -> DataFrame:
+    """Name, type, description, port and config record from the marker file's content. kinds: names of the marker files there are; others are not parsed."""
     c, m = F.col("content"), F.col("name")
-    pkg, cargo, project, compose, sam, less = configs.package_json(c), configs.cargo_toml(c), configs.pyproject_toml(c), configs.docker_compose(c), configs.sam_template(c), configs.serverless_yml(c)
-    rows = (
-        found.withColumn("pkg", F.when(m == "package.json", pkg)).withColumn("cargo", F.when(m == "Cargo.toml", cargo)).withColumn("project", F.when(m == "pyproject.toml", project))
-        .withColumn("compose", F.when(m.startswith("docker-compose."), compose)).withColumn("sam", F.when(m.startswith("template."), sam)).withColumn("less", F.when(m.startswith("serverless."), less))
-    )
-    own = F.col("folder")
-    names = lambda s: F.transform(F.col(s)["functions"], lambda f: f["name"])
-    some = lambda s: F.coalesce(F.size(F.col(s)["functions"]) > 0, F.lit(False))
-    name = F.coalesce(
-        F.when(m == "package.json", F.when(F.col("pkg.ok"), F.col("pkg.name"))), F.col("cargo.name"), F.col("project.name"), F.nullif(F.col("plist_name"), F.lit("")),
-        F.when(m == "Gemfile", F.nullif(F.col("ruby_name"), F.lit(""))), F.when(some("sam") & (F.size(names("sam")) == 1), F.get(names("sam"), F.lit(0))), own,
-    )
-    description = F.coalesce(
-        F.when(m == "package.json", F.coalesce(F.when(F.col("pkg.ok"), F.col("pkg.description")), F.lit(""))),
-        F.when(F.size(F.col("compose.services")) > 0, F.concat(F.lit("Services: "), F.array_join("compose.services", ", "))),
-        F.when(some("sam"), F.concat(F.lit("AWS SAM: "), F.array_join(names("sam"), ", "))),
-        F.when(some("less"), F.concat(F.lit("Serverless: "), F.array_join(names("less"), ", "))),
-    )
-    kind = F.when(some("sam") | some("less"), "api-server").otherwise(F.col("marker_type"))
+    rows, names, told, record = found, [], [], {"services": None, "ports": None, "functions": None, "has_api_gateway": None, "provider": None}
+    served = F.lit(False)
+
+    def parsed(out: str, files: list[str], value) -> bool:
+        nonlocal rows
+        if some := bool(kinds & set(files)):
+            rows = rows.withColumn(out, F.when(m.isin(files), value(c)))
+        return some
+
+    by_prefix = lambda prefix: sorted(k for k in kinds if k.startswith(prefix))
+    if parsed("pkg", ["package.json"], configs.package_json):
+        names.append(F.when(F.col("pkg.ok"), F.col("pkg.name")))
+        told.append(F.when(m == "package.json", F.coalesce(F.when(F.col("pkg.ok"), F.col("pkg.description")), F.lit(""))))
+    for out, file, value in (("cargo", "Cargo.toml", configs.cargo_toml), ("project", "pyproject.toml", configs.pyproject_toml)):
+        if parsed(out, [file], value):
+            names.append(F.col(f"{out}.name"))
+    if "Info.plist" in kinds:
+        names.append(F.nullif(F.col("plist_name"), F.lit("")))
+    if "Gemfile" in kinds:
+        names.append(F.when(m == "Gemfile", F.nullif(F.col("ruby_name"), F.lit(""))))
+    if parsed("compose", by_prefix("docker-compose."), configs.docker_compose):
+        told.append(F.when(F.size(F.col("compose.services")) > 0, F.concat(F.lit("Services: "), F.array_join("compose.services", ", "))))
+        record |= {"services": F.col("compose.services"), "ports": F.col("compose.ports")}
+    for out, prefix, value, title in (("sam", "template.", configs.sam_template, "AWS SAM: "), ("less", "serverless.", configs.serverless_yml, "Serverless: ")):
+        if parsed(out, by_prefix(prefix), value):
+            functions = F.transform(F.col(out)["functions"], lambda f: f["name"])
+            some = F.coalesce(F.size(F.col(out)["functions"]) > 0, F.lit(False))
+            served = served | some
+            told.append(F.when(some, F.concat(F.lit(title), F.array_join(functions, ", "))))
+            record["functions"] = F.col(f"{out}.functions") if record["functions"] is None else F.coalesce(record["functions"], F.col(f"{out}.functions"))
+            if out == "sam":
+                names.append(F.when(some & (F.size(functions) == 1), F.get(functions, F.lit(0))))
+                record["has_api_gateway"] = F.col("sam.has_api_gateway")
+            else:
+                record["provider"] = F.col("less.provider")
     label = F.when(m.startswith("docker-compose."), "docker-compose").when(m.startswith("template."), "sam").when(m.startswith("serverless."), "serverless").otherwise(m)
     recorded = m.isin("package.json", "Cargo.toml", "pyproject.toml", "Info.plist", "Gemfile") | m.startswith("docker-compose.") | m.startswith("template.") | m.startswith("serverless.")
-    record = F.struct(
-        label.alias("type"), F.when(F.col("dir") == "", m).otherwise(F.concat_ws("/", "dir", "name")).alias("path"), F.col("compose.services").alias("services"), F.col("compose.ports").alias("ports"),
-        F.coalesce(F.col("sam.functions"), F.col("less.functions")).alias("functions"), F.col("sam.has_api_gateway").alias("has_api_gateway"), F.col("less.provider").alias("provider"),
+    shape = {f.split(":")[0]: f.split(":", 1)[1] for f in _fields(CONFIG)}
+    config = F.struct(
+        label.alias("type"), F.when(F.col("dir") == "", m).otherwise(F.concat_ws("/", "dir", "name")).alias("path"),
+        *[(F.lit(None) if v is None else v).cast(shape[k]).alias(k) for k, v in record.items()],
     )
+    port = F.lit(None) if record["ports"] is None else F.get(record["ports"], F.lit(0))["host"]
     return rows.select(
-        "repo", F.col("dir").alias("path"), F.lit(1).alias("kind"), name.alias("name"), kind.alias("type"), F.col("marker_language").alias("language"), description.alias("description"),
-        F.get(F.col("compose.ports"), F.lit(0))["host"].cast("long").alias("port"), F.when(recorded, F.array(record)).otherwise(F.array()).cast(f"array<{CONFIG}>").alias("config_files"),
+        "repo", F.col("dir").alias("path"), F.lit(1).alias("kind"), F.coalesce(*names, F.col("folder")).alias("name"), F.when(served, "api-server").otherwise(F.col("marker_type")).alias("type"), F.col("marker_language").alias("language"),
+        F.coalesce(*told, F.lit(None).cast("string")).alias("description"), port.cast("long").alias("port"), F.when(recorded, F.array(config)).otherwise(F.array()).cast(f"array<{CONFIG}>").alias("config_files"),
     )
 
 
+def _fields(struct: str) -> list[str]:
+    """The fields of a struct's type, as text."""
+    out, depth, at = [], 0, len("struct<")
+    for k, c in enumerate(struct[:-1]):
+        depth += (c == "<") - (c == ">")
+        if c == "," and depth == 1:
+            out.append(struct[at:k])
+            at = k + 1
+    return [*out, struct[at:-1]]
+
+
 def components(entries: DataFrame, texts: DataFrame, foreign: DataFrame, roots: dict[str, str]) -> DataFrame:
     """The components of each repository as they are discovered.
 
@@ -109,14 +139,18 @@ def components(entries: DataFrame, texts: DataFrame, foreign: DataFrame, roots:
     outside = own.join(foreign.withColumnRenamed("path", "dir"), ["repo", "dir"], "left_anti")
     root_name = F.element_at(F.create_map(*[F.lit(x) for p in roots.items() for x in p]), F.col("repo"))
     folder = F.when(F.col("dir") == "", root_name).otherwise(T.basename(F.col("dir")))
-    marked = outside.join(_markers(entries), "name").groupBy("repo", "dir").agg(F.min_by(F.struct("name", "path", "content", "marker_language", "marker_type"), "prio").alias("m"))
+    markers = outside.join(_markers(entries), "name")
+    kinds = {r["name"] for r in texts.join(_markers(entries), "name").select("name").distinct().collect()}  # at most as many as there are marker names
+    marked = markers.groupBy("repo", "dir").agg(F.min_by(F.struct("name", "path", "content", "marker_language", "marker_type"), "prio").alias("m"))
     marked = marked.select("repo", "dir", "m.*", folder.alias("folder"))
-    marked = marked.join(configs.info_plists(entries).select("repo", "path", "plist_name"), ["repo", "path"], "left").join(ruby_names(texts), ["repo", "dir"], "left")
-    found = _described(marked)
+    if "Info.plist" in kinds:
+        marked = marked.join(configs.info_plists(entries).select("repo", "path", "plist_name"), ["repo", "path"], "left")
+    if "Gemfile" in kinds:
+        marked = marked.join(ruby_names(texts), ["repo", "dir"], "left")
     none = lambda t: F.lit(None).cast(t)
     blank = [none("string").alias("language"), none("string").alias("description"), none("long").alias("port"), F.array().cast(f"array<{CONFIG}>").alias("config_files")]
     library = foreign.select("repo", "path", F.lit(1).alias("kind"), T.basename(F.col("path")).alias("name"), F.lit("library").alias("type"), *blank)
-    found = found.unionByName(library)
+    found = cut(_described(marked, kinds).unionByName(library), "marked")  # three parts of the plan read it
     dense = own.where(T.language(F.col("name")).isNotNull() & (F.col("dir") != "")).groupBy("repo", F.col("dir").alias("path")).agg(F.count(F.lit(1)).alias("n"))
     depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/"), F.lit("")))
     dense = dense.where((F.col("n") >= V.MODULE_FILES) & (depth <= V.MODULE_DEPTH)).join(found, ["repo", "path"], "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.storage import cut
+from ..sources.storage import counted_cut
 
 #: Paths that one task sweeps, about.
 RANGE_ROWS = 200_000
@@ -76,25 +76,29 @@ def _swept(open_at: dict[int, tuple[str, list[str]]]):
 
 def enclosing(places: DataFrame, tops: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(repo, place, top) of the distinct places (repo, place) that lie in or are one of tops (repo, path): the deepest such."""
-    marks = places.select("repo", "place", F.lit(False).alias("opens"), F.lit(True).alias("asked")).unionByName(tops.select("repo", F.col("path").alias("place"), F.lit(True).alias("opens"), F.lit(False).alias("asked")))
-    marks = cut(marks.where("place is not null").groupBy("repo", "place").agg(F.max("opens").alias("opens"), F.max("asked").alias("asked")), "places")
-    parts = max(1, -(-marks.count() // range_rows))
+    tops, some = counted_cut(tops.select("repo", F.col("path").alias("place")).distinct(), "tops")
+    if not some:
+        return places.sparkSession.createDataFrame([], FOUND)
+    flags = lambda opens: [F.lit(opens).alias("opens"), F.lit(not opens).alias("asked")]
+    marks = places.where("place is not null").select("repo", "place", *flags(False)).unionByName(tops.select("repo", "place", *flags(True)))
+    marks, n = counted_cut(marks.groupBy("repo", "place").agg(F.max("opens").alias("opens"), F.max("asked").alias("asked")), "places")
+    parts = max(1, -(-n // range_rows))
     if parts == 1:
         dealt, open_at = marks.withColumn("part", F.lit(0)).coalesce(1), {}
     else:
         sample = sorted(_key(r["repo"], r["place"]) for r in marks.select("repo", "place").orderBy(F.xxhash64("repo", "place")).limit(SAMPLE * parts).collect())
         borders = [sample[k * SAMPLE] for k in range(1, parts) if k * SAMPLE < len(sample)]
         dealt = marks.mapInArrow(_dealt(borders), "repo string, place string, opens boolean, asked boolean, part int").repartition(len(borders) + 1, "part")
-        open_at = _open_at(borders, marks)
+        open_at = _open_at(borders, tops)
     ordered = dealt.sortWithinPartitions("part", "repo", parts_of(F.col("place")))
     return ordered.mapInArrow(_swept(open_at), FOUND)
 
 
-def _open_at(borders: list[tuple[str, list[str]]], marks: DataFrame) -> dict[int, tuple[str, list[str]]]:
-    """For each range the repository of its border and the directories above it, from the root on: as many rows as borders have parts."""
+def _open_at(borders: list[tuple[str, list[str]]], tops: DataFrame) -> dict[int, tuple[str, list[str]]]:
+    """For each range the repository of its border and the tops above it, from the root on: as many rows as borders have parts."""
     rows = [(k, repo, "/".join(path)) for k, (repo, path) in enumerate(borders, 1)]
-    above = marks.sparkSession.createDataFrame(rows, "part int, repo string, border string").where("border <> ''").select("part", "repo", F.posexplode(T.ancestors(F.col("border"))).alias("depth", "place"))
+    above = tops.sparkSession.createDataFrame(rows, "part int, repo string, border string").where("border <> ''").select("part", "repo", F.posexplode(T.ancestors(F.col("border"))).alias("depth", "place"))
     found: dict[int, tuple[str, list[str]]] = {}
-    for r in above.join(marks.where("opens").select("repo", "place"), ["repo", "place"]).orderBy("part", "depth").collect():
+    for r in above.join(tops, ["repo", "place"]).orderBy("part", "depth").collect():
         found.setdefault(r["part"], (r["repo"], []))[1].append(r["place"])
     return found

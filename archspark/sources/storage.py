@@ -7,7 +7,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -54,3 +55,10 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted_cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
+    """``cut`` and how many rows it wrote, counted on the way."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, int(seen.get["n"])

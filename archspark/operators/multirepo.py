@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import base64
 import json
 import os
-import subprocess
-import tempfile
-from contextlib import ExitStack
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,37 +48,48 @@ def repository_nodes(comps: DataFrame, stats: DataFrame, info: DataFrame) -> Dat
     return rows.select(*out)
 
 
-def cross_edges(spark: SparkSession, rules: list[dict], edges: DataFrame) -> DataFrame:
-    """Edges between repositories that a configuration states."""
-    rows = [(r.get("source_repo", ""), r.get("target_repo", ""), r.get("type", "http"), r.get("type"), r.get("label"), r.get("port"), bool(r.get("bidirectional", False)), i) for i, r in enumerate(rules)]
-    made = spark.createDataFrame(rows, "source_repo string, target_repo string, type string, protocol string, label string, port long, bidirectional boolean, i int")
-    node = lambda c: F.concat(F.lit("repo:"), F.col(c))
+RULE = "source_repo string, target_repo string, type string, label string, port long, bidirectional boolean"
+REPOSITORY = "name string, path string, url string, ref string"
+
+
+def read_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(solution, repositories, rules) of a configuration file, wherever Spark reads it.
+
+    solution: (solution, description), one row; repositories: REPOSITORY and rules: RULE, both with ``i``, their place.
+    """
+    shape = f"solution string, description string, repositories array<struct<{REPOSITORY.replace(' string', ':string')}>>, cross_repo_relationships array<struct<{RULE.replace(' string', ':string').replace(' long', ':long').replace(' boolean', ':boolean')}>>"
+    config = spark.read.schema(shape).json(path, multiLine=True)
+    each = lambda c: config.select(F.posexplode(c).alias("i", "x")).select("i", "x.*")
+    return config.select(F.coalesce("solution", F.lit("Solution")).alias("solution"), F.coalesce("description", F.lit("")).alias("description")), each("repositories"), each("cross_repo_relationships")
+
+
+def cross_edges(spark: SparkSession, rules: list[dict] | DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between repositories that a configuration states; rules: its dictionaries, or a table of RULE with ``i``."""
+    if isinstance(rules, list):
+        rows = [(r.get("source_repo", ""), r.get("target_repo", ""), r.get("type"), r.get("label"), r.get("port"), bool(r.get("bidirectional", False)), i) for i, r in enumerate(rules)]
+        rules = spark.createDataFrame(rows, f"{RULE}, i long")
+    node = lambda c: F.concat(F.lit("repo:"), F.coalesce(c, F.lit("")))
     place = F.struct(F.lpad(F.col("i").cast("string"), 10, "0").alias("k0"), *[F.lit("").alias(k) for k in ("k1", "k2", "k3")])
-    return made.select(F.lit(None).cast("string").alias("repo"), node("source_repo").alias("source"), node("target_repo").alias("target"), "type", "label", "protocol", "port", "bidirectional", F.lit(99).alias("stage"), place.alias("at")).select(*edges.columns)
-
-
-def resolve(rule: dict, base: str, stack: ExitStack, local: bool = True) -> str:
-    """A repository's directory: a path, or a shallow clone that lives as long as stack. Only executors of a local master see clones."""
-    if rule.get("path"):
-        path = os.path.normpath(os.path.join(base, rule["path"]))
-        if not os.path.isdir(path):
-            raise ValueError(f"{rule['name']}: {path} is not a directory")
-        return path
-    if not rule.get("url"):
-        raise ValueError(f"{rule.get('name', '?')} has neither path nor url")
-    if not local:
-        raise ValueError(f"{rule['name']}: on a cluster, clone it into a shared folder and give its path")
-    ref, env = rule.get("ref") or "HEAD", dict(os.environ)
-    host = "https://github.com/"
-    if (token := os.environ.get("GITHUB_TOKEN")) and rule["url"].startswith(host):  # by the environment, which other users can't read
-        known = base64.b64encode(f"x-access-token:{token}".encode()).decode()
-        env |= {"GIT_CONFIG_COUNT": "1", "GIT_CONFIG_KEY_0": f"http.{host}.extraHeader", "GIT_CONFIG_VALUE_0": f"Authorization: Basic {known}"}
-    target = stack.enter_context(tempfile.TemporaryDirectory(prefix="archspark-clone-"))
-    branch = [] if ref == "HEAD" else ["--branch", ref]
-    done = subprocess.run(["git", "clone", "--depth", "1", *branch, rule["url"], target], capture_output=True, text=True, env=env)
-    if done.returncode:
-        raise ValueError(f"{rule['name']} could not be cloned")
-    return target
+    both = F.coalesce("bidirectional", F.lit(False)).alias("bidirectional")
+    return rules.select(
+        F.lit(None).cast("string").alias("repo"), node("source_repo").alias("source"), node("target_repo").alias("target"), F.coalesce("type", F.lit("http")).alias("type"), "label", F.col("type").alias("protocol"), "port", both, F.lit(99).alias("stage"), place.alias("at"),
+    ).select(*edges.columns)
+
+
+def placed(rules: list[dict], base: str) -> tuple[dict[str, str], list[tuple[str, str, str | None]]]:
+    """(name -> directory, [(name, url, ref)]) of the repositories that a configuration names; paths are relative to base."""
+    roots, remotes = {}, []
+    for rule in rules:
+        if rule.get("path"):
+            path = os.path.normpath(os.path.join(base, rule["path"]))
+            if not os.path.isdir(path):
+                raise ValueError(f"{rule['name']}: {path} is not a directory")
+            roots[rule["name"]] = path
+        elif rule.get("url"):
+            remotes.append((rule["name"], rule["url"], rule.get("ref")))
+        else:
+            raise ValueError(f"{rule.get('name', '?')} has neither path nor url")
+    return roots, remotes
 
 
 def analyze_all(spark: SparkSession, config_path: str, max_file_size: int = V.MAX_FILE_SIZE, max_symbols: int = V.MAX_SYMBOLS):
@@ -95,9 +102,8 @@ def analyze_all(spark: SparkSession, config_path: str, max_file_size: int = V.MA
     rules = config.get("repositories") or []
     if not rules:
         raise ValueError("no repositories in the configuration")
-    with ExitStack() as stack:
-        roots = {r["name"]: resolve(r, os.path.dirname(os.path.abspath(config_path)), stack, spark.sparkContext.master.startswith("local")) for r in rules}
-        found = tables(spark, roots, max_file_size, max_symbols)  # the trees are read by now
+    roots, remotes = placed(rules, os.path.dirname(os.path.abspath(config_path)))
+    found = tables(spark, roots, max_file_size, max_symbols, remotes)
     crossing = config.get("cross_repo_relationships") or []
     merged = with_prefixes(found)
     nodes = repository_nodes(found["components"], found["stats"], found["info"])

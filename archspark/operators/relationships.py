@@ -194,3 +194,9 @@ def relationships(files: DataFrame, comps: DataFrame) -> DataFrame:
         import_edges(files, comps).unionByName(port_edges(files, comps)).unionByName(service_edges(files, comps)).unionByName(client_edges(files, comps)).unionByName(companion_edges(comps))
     )
     return first_of_each(early.unionByName(fallback_edges(early, comps)).unionByName(watch_edges(files, comps)).unionByName(config_edges(files, comps)))
+
+
+def with_screens(edges: DataFrame, screens: DataFrame) -> DataFrame:
+    """All edges (EDGE), those between screens (repo, source, target, type, label, at) behind the others."""
+    none = {"protocol": F.lit(None).cast("string"), "port": F.lit(None).cast("long"), "bidirectional": F.lit(False), "stage": F.lit(12)}
+    return edges.unionByName(screens.withColumns(none).select(*EDGE))

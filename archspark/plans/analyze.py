@@ -18,6 +18,7 @@ from .. import values as V
 from ..functions import text as T
 from ..operators import components as C
 from ..operators import docs, metrics, relationships, roles, symbols, uiflow
+from ..sources.repositories import read_repositories
 from ..sources.storage import cut
 from ..sources.tree import read_tree, with_text
 
@@ -52,12 +53,16 @@ def file_facts(files: DataFrame) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, roots: dict[str, str], max_file_size: int = V.MAX_FILE_SIZE, max_symbols: int = V.MAX_SYMBOLS) -> dict[str, DataFrame]:
-    """components, relationships, symbols, files, stats and info of the repositories roots (name -> directory)."""
-    entries = cut(read_tree(spark, roots, max_file_size), "tree")
+def tables(spark: SparkSession, roots: dict[str, str], max_file_size: int = V.MAX_FILE_SIZE, max_symbols: int = V.MAX_SYMBOLS, remotes: list[tuple[str, str, str | None]] | None = None) -> dict[str, DataFrame]:
+    """components, relationships, symbols, files, stats and info of the repositories roots (name -> directory) and remotes (name, url, ref)."""
+    walked = read_tree(spark, roots, max_file_size) if roots or not remotes else None
+    fetched = read_repositories(spark, remotes, max_file_size) if remotes else None
+    entries = cut(walked if fetched is None else fetched if walked is None else walked.unionByName(fetched), "tree")
+    if remotes and (failed := entries.where("path = '' and error is not null").select("error").limit(10).collect()):
+        raise ValueError("; ".join(r["error"] for r in failed))
     texts = with_text(entries)
     foreign = C.vendored(entries)
-    names = {r: os.path.basename(os.path.abspath(p)) for r, p in roots.items()}
+    names = {r: os.path.basename(os.path.abspath(p)) for r, p in roots.items()} | {r: r for r, *_ in remotes or []}
     comps = cut(C.parents(C.components(entries, texts, foreign, names)), "discovered")
     files = C.owners(file_facts(C.source_files(texts, foreign, max_file_size)), comps)
     parsed = symbols.parsed(files)
@@ -67,10 +72,7 @@ def tables(spark: SparkSession, roots: dict[str, str], max_file_size: int = V.MA
     comps = cut(roles.with_ports(roles.named(roles.demoted(roles.promoted(comps, files, texts)), texts), files), "components")
     screens, ui_edges = uiflow.ui_flows(comps, files)
     edges = cut(relationships.relationships(files, comps).select(*relationships.EDGE), "edges")
-    ui = ui_edges.select(
-        "repo", "source", "target", "type", "label", F.lit(None).cast("string").alias("protocol"), F.lit(None).cast("long").alias("port"), F.lit(False).alias("bidirectional"), F.lit(12).alias("stage"), "at",
-    )
-    edges = edges.unionByName(ui)
+    edges = relationships.with_screens(edges, ui_edges)
     measured = docs.with_docs(metrics.with_metrics(comps, files), files, texts)
     measured = measured.join(relationships.external_services(files, comps).withColumnRenamed("source", "id"), ["repo", "id"], "left")
     owned = files.groupBy("repo", F.col("owner").alias("path")).agg(F.array_sort(F.collect_list("path")).alias("files"))  # a component's own files

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import subprocess
 from collections.abc import Iterator
 from types import SimpleNamespace
 
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components as C
-from ..operators import metrics, symbols
+from ..operators import metrics, multirepo, symbols
 from ..sources import export
+from ..sources.repositories import read_repositories
 from ..sources.storage import fresh_path
 from ..sources.tree import read_tree, with_text
 from .registry import _TREE, _TREE_EDGES, _doc_files, _joined, _none, _read, _tree, _tree_edges, query
@@ -74,6 +76,78 @@ def walked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tree(spark, _written(spark, sf_dir)).where("error is null").select("repo", "path", "is_dir")
 
 
+# --- repositories by url ------------------------------------------------------------------------------------
+
+#: Customers of a bare repository.
+_STORED = 300
+_STORED_PLACES = ["src/a{k}.py", "node_modules/x{k}.js", ".hidden/h{k}.py", "docs/deep/d{k}.md", "img/p{k}.png", ".env{k}", "build/b{k}.go"]
+
+
+def _mounted(spark: SparkSession, name: str) -> str:
+    base = fresh_path(spark, name)
+    if not base.startswith(("file:", "/")):
+        raise ValueError("repositories are read from a mounted folder")
+    return base.removeprefix("file:").replace("//", "/")
+
+
+def _bare_repositories(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, str | None]]:
+    """Bare repositories in the shared folder, with customers as files; every third has them on a branch of its own."""
+    root = _mounted(spark, "bare")
+
+    def write(table: pa.Table) -> pa.Table:
+        repo = table.column("repo")[0].as_py()
+        store, branch = f"{root}/{repo}.git", "side" if int(repo[1:]) % 3 == 1 else "main"
+        os.makedirs(root, exist_ok=True)
+        subprocess.run(["git", "init", "--quiet", "--bare", "--initial-branch=main", store], check=True, capture_output=True)
+        lines = [f"commit refs/heads/{branch}\ncommitter a <a@b> 0 +0000\ndata 0\n".encode()]
+        for path, text in zip(table.column("path").to_pylist(), table.column("text").to_pylist(), strict=True):
+            lines.append(f"M 100644 inline {path}\ndata {len(text.encode())}\n{text}\n".encode())
+        subprocess.run(["git", "--git-dir", store, "fast-import", "--quiet"], input=b"".join(lines), check=True, capture_output=True)
+        return pa.table({"repo": [repo], "branch": [branch]})
+
+    k = F.col("c_custkey").cast("string")
+    files = _read(spark, sf_dir, "customer").select(F.concat(F.lit("r"), F.floor(F.col("c_custkey") / _STORED).cast("string")).alias("repo"), F.replace(choice(_STORED_PLACES, "c_custkey"), F.lit("{k}"), k).alias("path"), F.concat(F.lit("x = "), k, F.lit("\n")).alias("text"))
+    made = files.groupBy("repo").applyInArrow(write, "repo string, branch string").collect()  # a row for each repository
+    return [(r["repo"], f"file://{root}/{r['repo']}.git", None if r["branch"] == "main" else r["branch"]) for r in made] + [("broken", f"file://{root}/nowhere.git", None)]
+
+
+@query(f"""
+with f as (select 'r' || (c_custkey // {_STORED}) as repo, replace({choice_sql(_STORED_PLACES, 'c_custkey')}, '{{k}}', cast(c_custkey as varchar)) as path, c_custkey % 7 as m, 'x = ' || c_custkey || chr(10) as text from customer),
+d(m, path) as (values (0, 'src'), (3, 'docs'), (3, 'docs/deep'), (4, 'img'))
+select repo, path, false as is_dir, cast(length(text) as bigint) as size, case when m in (0, 3) then md5(text) end as digest, false as failed from f where m not in (1, 2, 6)
+union all select distinct f.repo, d.path, true, null, null, false from f join d on d.m = f.m union all select 'broken', '', true, null, null, true
+""")
+def fetched_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of repositories that tasks fetch by url, from branches too; one that is not there is a row."""
+    found = read_repositories(spark, _bare_repositories(spark, sf_dir)).where("dir <> '.git'")
+    return found.select("repo", "path", "is_dir", "size", F.md5("content").alias("digest"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("""
+select 'repository' as what, n_nationkey as i, n_name as a, case when n_nationkey % 2 = 0 then 'trees/' || n_nationkey end as b, case when n_nationkey % 2 = 1 then 'https://host/' || n_name end as c, case when n_nationkey % 3 = 0 then 'v' || n_regionkey end as d from nation
+union all select 'rule', n_nationkey, 'repo:' || n_name, 'repo:NATION_' || n_regionkey, case when n_nationkey % 2 = 0 then 'import' else 'http' end, case when n_nationkey % 3 = 0 then cast(8000 + n_regionkey as varchar) end from nation
+union all select 'solution', 0, 'Nations', '', null, null
+""")
+def configured_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration file of nations as repositories and of rules between them, as it is read."""
+    n = _read(spark, sf_dir, "nation")
+    key, name, when = F.col("n_nationkey"), F.col("n_name"), lambda m, r, v: F.when(F.col("n_nationkey") % m == r, v)
+    one = F.struct(name.alias("name"), when(2, 0, F.concat(F.lit("trees/"), key.cast("string"))).alias("path"), when(2, 1, F.concat(F.lit("https://host/"), name)).alias("url"), when(3, 0, F.concat(F.lit("v"), F.col("n_regionkey").cast("string"))).alias("ref"))
+    rule = F.struct(name.alias("source_repo"), F.concat(F.lit("NATION_"), F.col("n_regionkey").cast("string")).alias("target_repo"), when(2, 0, F.lit("import")).alias("type"), when(3, 0, 8000 + F.col("n_regionkey")).alias("port"))
+    lists = n.groupBy(F.lit("Nations").alias("solution")).agg(F.array_sort(F.collect_list(F.struct(key, one.alias("x")))).alias("r"), F.array_sort(F.collect_list(F.struct(key, rule.alias("x")))).alias("c"))  # one file, as users write them
+    config = lists.select("solution", F.transform("r", lambda x: x["x"]).alias("repositories"), F.transform("c", lambda x: x["x"]).alias("cross_repo_relationships"))
+    path = fresh_path(spark, "config")
+    config.write.json(path)
+    solution, repositories, rules = multirepo.read_config(spark, path)
+    edges = multirepo.cross_edges(spark, rules, spark.createDataFrame([], "source string, target string, type string, port long, at struct<k0:string,k1:string,k2:string,k3:string>"))
+    text = lambda c: F.col(c).cast("string")
+    return (
+        repositories.select(F.lit("repository").alias("what"), F.col("i").cast("long").alias("i"), F.col("name").alias("a"), F.col("path").alias("b"), F.col("url").alias("c"), F.col("ref").alias("d"))
+        .unionByName(edges.select(F.lit("rule").alias("what"), F.col("at.k0").cast("long").alias("i"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("type").alias("c"), text("port").alias("d")))
+        .unionByName(solution.select(F.lit("solution").alias("what"), F.lit(0).cast("long").alias("i"), F.col("solution").alias("a"), F.col("description").alias("b"), F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("d")))
+    )
+
+
 def _architecture(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     none = lambda kind: F.lit(None).cast(kind)
     comps = _tree(spark, sf_dir).select(

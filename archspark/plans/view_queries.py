@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import text as T
-from ..operators import metrics, multirepo, relationships, uiflow, views
-from .registry import _TREE, _TREE_EDGES, _joined, _read, _tree, _tree_edges, query
+from ..operators import metrics, multirepo, relationships, textsearch, uiflow, views
+from .registry import _SEARCHED, _TREE, _TREE_EDGES, _joined, _read, _tree, _tree_edges, query
 from .written import choice, choice_sql, quoted
 
 # --- one component, its files, its symbols --------------------------------------------------------
@@ -300,6 +300,51 @@ def stated_cross_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multirepo.cross_edges(spark, rules, empty).select("source", "target", "type", "label", "port", "bidirectional")
 
 
+@query("""
+select 'repo:n' || (l_suppkey % 25) as source, 'repo:n' || (l_partkey % 25) as target, case when l_returnflag = 'R' then 'import' else 'http' end as type, case when l_returnflag = 'R' then 'import' end as protocol, l_linestatus as label,
+  case when l_quantity > 25 then cast(l_quantity as bigint) end as port, l_tax > 0.04 as bidirectional from lineitem where l_linenumber = 7
+""")
+def cross_edges_of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between repositories by rules in a table, as many as it has."""
+    rows = _read(spark, sf_dir, "lineitem").where("l_linenumber = 7")
+    node = lambda c: F.concat(F.lit("n"), (F.col(c) % 25).cast("string"))
+    rules = rows.select(node("l_suppkey").alias("source_repo"), node("l_partkey").alias("target_repo"), F.when(F.col("l_returnflag") == "R", "import").alias("type"), F.col("l_linestatus").alias("label"), F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("long")).alias("port"), (F.col("l_tax") > 0.04).alias("bidirectional"), F.col("l_orderkey").alias("i"))
+    empty = spark.createDataFrame([], "source string, target string, type string, protocol string, label string, port long, bidirectional boolean")
+    return multirepo.cross_edges(spark, rules, empty)
+
+
+# --- search with errors ---------------------------------------------------------------------------------------
+
+_PHRASES = "select distinct w as phrase from (select unnest([p_name, substr(p_name, 1, 2) || substr(p_name, 4), lower(p_brand)]) as w from part)"
+
+
+@query(f"""
+with x as ({_SEARCHED}), ph as ({_PHRASES}), p as (select phrase, cast(length(phrase) as integer) as m, greatest(least(cast(floor(length(phrase) * 0.4) as integer), cast((length(phrase) - 2) // 2 as integer)), 0) as k from ph where length(phrase) >= 2),
+f as (select distinct lower(t) as text from (select unnest([name, path, kind]) as t from x) where t is not null),
+d as (select phrase, text, m, min(levenshtein(substr(text, i, l), phrase)) as edits, any_value(k) as k from p, f, range(1, 64) as a(i), range(0, 64) as b(l) where i + l - 1 <= length(text) and l between m - k and m + k group by phrase, text, m),
+e as (select phrase, text, cast(edits as double) / m + cast(0.1 as double) * (1 - least(cast(m as double) / length(text), 1)) as far from d where edits <= k),
+s as (select e.phrase, x.type, x.id, e.far as score from x join e on e.text = lower(x.name) union all select e.phrase, x.type, x.id, e.far * cast(1.1 as double) + cast(1.1 as double) - 1 from x join e on e.text = lower(x.path) union all select e.phrase, x.type, x.id, e.far * cast(1.2 as double) + cast(1.2 as double) - 1 from x join e on e.text = lower(x.kind)),
+b as (select phrase, type, id, round(min(score), 6) as score from s group by phrase, type, id)
+select phrase, cast(row_number() over (partition by phrase order by score, type, id) as integer) as rank, type, id, score from b qualify rank <= 20
+""")
+def phrases_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best hits of every name and brand of a part, also with a letter left out, in suppliers and parts: one search in a stored index."""
+    s, p = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "part")
+    key = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    a = s.select(F.lit("component").alias("type"), key("s", "s_suppkey").alias("id"), F.col("s_name").alias("name"), key("supplier/", "s_suppkey").alias("path"), F.lit("module").alias("kind"))
+    b = p.select(F.lit("symbol").alias("type"), key("p", "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), F.col("p_type").alias("kind"))
+    shorter = F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)"))
+    phrases = p.select(F.explode(F.array("p_name", shorter, F.lower("p_brand"))).alias("phrase"))
+    return textsearch.search(textsearch.build(a.unionByName(b)), phrases, 20)
+
+
+@query("select url as path from pages where contains(lower(url), 'example') and contains(lower(url), '/en/')")
+def matching_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose paths have two given parts, in any case."""
+    rows = _read(spark, sf_dir, "pages").select(F.col("url").alias("path"))
+    return views.matching_files(views.matching_files(rows, "EXAMPLE"), "/En/").select("path")
+
+
 # --- screens: nations are apps, customers are views ----------------------------------------------------------
 
 _SWIFT_TABS = "@main\nstruct Main{n}App: App {\n  var body: some Scene {\n    TabView {\n      A{n}View()\n        .tabItem { Label(\"Home\", x) }\n      B{n}View()\n        .tabItem { Label(\"My Items\", x) }\n    }\n  }\n}\nstruct A{n}View: View {\n  var body: some View {\n    NavigationLink(destination: V{a}View()) { }\n  }\n}\nstruct B{n}View: View {\n  var body: some View {\n    Text(\"x\").sheet(isPresented: $y) { V{b}View() }\n  }\n}\n"
@@ -353,3 +398,18 @@ union all select 'n' || app || '/__ui__/tab-bar', 'n' || app || '/__ui__/tab-' |
 def app_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How screens lead to each other."""
     return uiflow.ui_flows(*_screen_tables(spark, sf_dir))[1].select("source", "target", "type", "label")
+
+
+@query(f"""
+with recursive {_SCREENS_SQL}, t as ({_TREE}), te as ({_TREE_EDGES})
+select source, target, type, cast(1 as integer) as stage from te
+union all select a.id, b.id, 'navigation', 12 from v join screens a on a.app = v.app and a.view = v.view join screens b on b.app = v.app and b.view = v.push
+union all select a.id, b.id, 'modal', 12 from v join screens a on a.app = v.app and a.view = v.view join screens b on b.app = v.app and b.view = v.modal
+union all select 'n' || app || '/__ui__/tab-bar', 'n' || app || '/__ui__/tab-' || slug, 'tab', 12 from tabs
+""")
+def edges_with_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between components with those between screens behind them."""
+    none = lambda kind: F.lit(None).cast(kind)
+    place = F.struct(*[F.lit("").alias(f"k{i}") for i in range(4)])
+    own = _tree_edges(spark, sf_dir).select(F.lit("all").alias("repo"), "source", "target", "type", none("string").alias("label"), none("string").alias("protocol"), none("long").alias("port"), F.lit(False).alias("bidirectional"), F.lit(1).alias("stage"), place.alias("at"))
+    return relationships.with_screens(own, uiflow.ui_flows(*_screen_tables(spark, sf_dir))[1]).select("source", "target", "type", "stage")

@@ -43,6 +43,12 @@ def extension(name: str) -> str:
     return name[at:].lower() if 0 < at < len(name) - 1 else ""
 
 
+def is_wanted(name: str, size: int, max_size: int) -> bool:
+    """Whether a file's content is read."""
+    ext = extension(name)
+    return name in _NAMED or (ext in V.LANGUAGES and size <= max_size) or ext in _TEXTS
+
+
 class _Part(InputPartition):
     """A directory of a repository, alone or with all below it."""
 
@@ -81,9 +87,7 @@ class _Reader(DataSourceReader):
         return done + [_Part(*at, True) for at in wave]
 
     def _content(self, path: str, name: str, size: int) -> bytes | None:
-        ext = extension(name)
-        wanted = name in _NAMED or (ext in V.LANGUAGES and size <= self.max_size) or ext in _TEXTS
-        if not wanted:
+        if not is_wanted(name, size, self.max_size):
             return None
         with open(path, "rb") as f:
             return f.read()

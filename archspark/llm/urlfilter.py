@@ -1,24 +1,26 @@
-"""URL rules by a sort-merge range join, in DataFrame operations only.
+"""URL rules by sort-merge range joins, in DataFrame operations only.
 
 The labels of a host, reversed and each followed by a dot, are its canonical key:
 ``example.com`` is ``com.example.``. A rule's host and all its subdomains are then the
-keys that begin with the rule's key, an interval. Intervals of rules are nested or
-disjoint, so that one sorted sweep finds the rules over each url: the active rules at a
-key are a stack, and what opens last before the key has that stack, but for rules that have
-closed since. Each rule host carries its own stack (itself and the rule hosts around it,
-as many as its labels at most, found by a join on its prefixes); the sweep hands on the
-last one opened, ``last(stack) over (order by key)``, and closed hosts are dropped by a
-comparison of prefixes. Of the rules that are left, those whose path begins the url's
-path fit, and the longest wins (host and path together, then host).
-
-The sweep is dealt out by salts: urls by a hash of the whole row, rules to every salt.
+keys that begin with the rule's key, an interval; so are the paths that begin with a rule's path. Intervals are nested or
+disjoint, so that one sorted sweep finds those over each point: the active ones are a stack, and what opened last
+before a point has that stack, but for what has closed since. ``last(...) over (order by key)`` hands it on, and a comparison
+of prefixes drops what is closed.
+
+1. A sweep over hosts gives each url the rule hosts around its host, from the outermost on (as many as the labels of a rule's host at most).
+2. For each depth of rule hosts a sweep over paths, apart for each rule host: the rule that opened last carries the
+   lengths and verdicts of the rules of its host whose paths its own begins with, and the longest of them that the url's
+   path begins with is that host's. A host's rules are rows, never one list; a rule's own list has no more numbers than its path has letters.
+3. The longest rule of all depths wins (host and path together, then host).
+
+Sweeps are dealt out by salts: urls by a hash of the whole row, rules to every salt, and by rule host.
 A host with most of the urls is spread like any other; a task's memory is a window's
-current row. Rules are small against urls; they are repeated once for each salt.
+current row. Rules are repeated once for each salt: N rules are N x 2 x shuffle partitions rows of the plan.
 
 Cases: a null url, or one without ``://``, has empty host and path and no rule; the
 verdict without a rule is ``allow``; a host's port and user info stay part of it, as it is
-cut at ``/``, ``?``, ``#`` only; rules with equal host and path: ``block`` wins; repeated rows
-are judged each; empty tables give no rows.
+cut at ``/``, ``?``, ``#`` only; rules with equal host and path: ``block`` wins; rules with null or empty host or null path are none; repeated rows
+are judged each; urls of any length are judged whole; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,36 +57,51 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.sql("select * from values " + ", ".join(f"({', '.join(map(quote, r))})" for r in rules) + " as t(host, path, verdict)")
 
 
-def stacks(rules: DataFrame) -> DataFrame:
-    """(key, stack) for each rule host: the rules of the host and of all rule hosts around it."""
-    per_host = (
-        rules.where("host is not null and path is not null")
-        .groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block over allow
-        .groupBy(host_key(F.col("host")).alias("key"))
-        .agg(F.collect_list(F.struct(F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size"), "host", "path", "verdict")).alias("rules"))
-    )
+def rule_hosts(rules: DataFrame) -> DataFrame:
+    """(key, stack) for each rule host: the keys of all rule hosts around it and its own, from the outermost on."""
+    keys = rules.select(host_key(F.col("host")).alias("key")).distinct()
     parts = F.split("key", r"\.", -1)
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "."), F.lit(".")))
-    around = per_host.select("key", F.explode(prefixes).alias("outer"))
-    outer = per_host.select(F.col("key").alias("outer"), "rules")
-    return around.join(outer, "outer").groupBy("key").agg(F.collect_list(F.struct(F.col("outer").alias("key"), "rules")).alias("stack"))
+    around = keys.select("key", F.explode(prefixes).alias("outer"))
+    return around.join(keys.withColumnRenamed("key", "outer"), "outer").groupBy("key").agg(F.array_sort(F.collect_list("outer")).alias("stack"))  # as many as labels
+
+
+def rule_paths(rules: DataFrame) -> DataFrame:
+    """(host, path, chain) for each rule: chain has (size, verdict) of the rules of its host whose paths its path begins with."""
+    sizes = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("sizes"))  # of one path's letters at most
+    up = rules.join(sizes, "host").select("host", "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("size"))
+    above = rules.select("host", F.col("path").alias("outer"), "verdict")
+    met = up.withColumn("outer", F.expr("substring(path, 1, size)")).join(above, ["host", "outer"])
+    return met.groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("size", "verdict"))).alias("chain"))
 
 
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of pages (page_id, url)."""
     salts = salts or 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rules = rules.where("host <> '' and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block over allow
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     points = urls.select(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).cast("int").alias("salt"), host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "page_id", "host", "path")
-    opens = stacks(rules).select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", F.lit(0).alias("kind"), "stack")
-    events = points.unionByName(opens, allowMissingColumns=True)
-    sweep = Window.partitionBy("salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = events.withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
-    active = F.flatten(F.transform(F.filter("stack", lambda s: F.col("key").startswith(s["key"])), lambda s: s["rules"]))
-    fitting = F.filter(active, lambda r: F.col("path").startswith(r["path"]))
-    best = F.array_max(fitting)
-    found = swept.withColumn("best", F.when(F.col("host") != "", best))
-    return found.select("page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    hosts = rule_hosts(rules)
+    opens = hosts.select(every_salt, "key", F.lit(0).alias("kind"), "stack")
+    running = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sweep = running(Window.partitionBy("salt").orderBy("key", "kind"))
+    swept = points.unionByName(opens, allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
+    rule = "struct<size:int,host_size:int,host:string,path:string,verdict:string>"
+    rows = swept.select("page_id", "host", "path", "salt", F.filter("stack", lambda s: F.col("key").startswith(s)).alias("stack"), F.lit(None).cast(rule).alias("best"))
+    depths = hosts.agg(F.max(F.size("stack"))).first()[0] or 0
+    chains = rule_paths(rules).withColumn("at", host_key(F.col("host"))).join(hosts.select(F.col("key").alias("at"), F.size("stack").alias("depth")), "at")
+    for depth in range(1, depths + 1):
+        starts = chains.where(F.col("depth") == depth).select(every_salt, "at", "path", F.lit(0).alias("kind"), F.struct("host", "path", "chain").alias("open"))
+        events = rows.withColumns({"at": F.get("stack", F.lit(depth - 1)), "kind": F.lit(1)}).unionByName(starts, allowMissingColumns=True)
+        sweep = running(Window.partitionBy("salt", "at").orderBy("path", "kind"))
+        met = events.withColumn("open", F.last("open", ignorenulls=True).over(sweep)).where("kind = 1")
+        longest = F.array_max(F.filter(F.col("open.chain"), lambda c: F.col("path").startswith(F.substring(F.col("open.path"), F.lit(1), c["size"]))))
+        own = F.struct((F.length("open.host") + longest["size"]).alias("size"), F.length("open.host").alias("host_size"), F.col("open.host").alias("host"), F.substring(F.col("open.path"), F.lit(1), longest["size"]).alias("path"), longest["verdict"].alias("verdict"))
+        fits = F.when(longest.isNotNull() & F.col("at").isNotNull(), own).cast(rule)
+        rows = met.select("page_id", "host", "path", "salt", "stack", F.greatest("best", fits).alias("best"))
+    return rows.select("page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

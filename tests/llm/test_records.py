@@ -350,6 +350,28 @@ def test_nested_rules(spark):
     assert judge(spark, [], rules) == []
 
 
+def test_a_hundred_thousand_path_rules_of_one_host(spark):
+    """A host's rules are rows of the sweep; nested ones carry their lengths only."""
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    i = F.col("id")
+    rules = spark.range(n).select(F.lit("big.com").alias("host"), F.concat(F.lit("/p"), (i % (n // 2)).cast("string"), F.when(i < n // 2, F.lit("/")).otherwise(F.lit("/q"))).alias("path"), F.when(i % 3 == 0, "block").otherwise("allow").alias("verdict"))
+    rules = rules.unionByName(spark.createDataFrame([("com", "/p1", "block"), ("big.com", "/" + "a" * 500, "block"), (None, "/", "block"), ("", "/", "block"), ("com", None, "block")] + [("big.com", "/" + "a" * k, "allow") for k in range(1, 60)], "host string, path string, verdict string"))
+    rng = random.Random(11)
+    urls = [f"http://x.big.com/p{rng.randrange(60_000)}{rng.choice(['', '/', '/q', '/r', '/qq'])}" for _ in range(400)] + ["http://big.com/" + "a" * k + "b" * (k % 2) for k in (0, 5, 59, 100, 500, 700)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judged(pages, rules, salts=4).collect()}
+    known = {}
+    for r in rules.where("host <> '' and path is not null").collect():
+        known[r.host, r.path] = max(r.verdict, known.get((r.host, r.path), ""))
+    for k, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)[0], "/" + u[7:].split("/", 1)[1]
+        fits = [(len(h) + m, len(h), h, path[:m]) for h in ("com", "big.com") for m in range(len(path) + 1) if (h, path[:m]) in known and (host == h or host.endswith("." + h))]
+        want = max(fits, default=None)
+        assert got[k] == ((want[2] + want[3], known[want[2], want[3]]) if want else (None, "allow"))
+
+
 def test_rules_stay_native(spark):
     pages = spark.createDataFrame([(1, "http://a.com/en/")], "page_id long, url string")
     plan = urlfilter.judged(pages, urlfilter.rule_table(spark, urlfilter.RULES))._jdf.queryExecution().executedPlan().toString()

@@ -4,11 +4,12 @@ A field matches a phrase of m letters if some part of it turns into the phrase b
 1980): two fifths of the phrase's letters, and so few that a pair of letters must stay. The phrase may have several words, and a long
 field costs a match nothing: it is the part that counts.
 
-``build`` stores the rows and, for each distinct pair of neighbouring letters of a field, a posting (gram, row, field), bucketed
-by the pair and a salt, so that a pair that most rows have is in as many buckets as there are salts. ``search`` joins the
-phrases' pairs with the postings: of m - 1 pairs of a phrase at most two are lost by an edit, so that rows with fewer
-than m - 1 - 2 ``allowed(m)`` of them are out without being looked at (the count filter). What is left is verified by the
-bit-parallel edit distance (Myers, 1999), in Arrow batches. No row is compared with a phrase that shares too little with it.
+``build`` stores each distinct text once, where it stands (row and field), and for each distinct pair of neighbouring letters of a
+text a posting (gram, text), bucketed by the pair and a salt, so that a pair that most texts have is in as many buckets as there
+are salts. ``search`` joins the phrases' pairs with the postings: of m - 1 pairs of a phrase at most two are lost by an edit, so that
+texts with fewer than m - 1 - 2 ``allowed(m)`` of them are out without being looked at (the count filter). What is left is verified by the
+bit-parallel edit distance (Myers, 1999), in Arrow batches, a text once for each phrase, however many rows have it. No text is
+compared with a phrase that shares too little with it.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from ..sources.storage import at_exit, cut, fresh_path
 FIELDS = {"name": 1.0, "path": 1.1, "kind": 1.2}
 #: A pair's postings are dealt to so many buckets.
 SALTS = 16
-#: Buckets of a table of postings.
-BUCKETS = 64
 
 
 def allowed(length: Column) -> Column:
@@ -44,32 +43,38 @@ def grams(text: Column) -> Column:
 
 @dataclass
 class TextIndex:
-    """rows: what can be found, with a stored ``key``; postings: (gram, salt, key, field)."""
+    """texts: (text_id, text), distinct and in lower case; places: (text_id, field, key, type, id); postings: (gram, salt, text_id)."""
 
-    rows: DataFrame
+    texts: DataFrame
+    places: DataFrame
     postings: DataFrame
 
 
-def build(rows: DataFrame, buckets: int = BUCKETS) -> TextIndex:
-    """The index of rows (type, id, name, path, kind, ...); nulls and texts of one letter are in no pair."""
+def build(rows: DataFrame, buckets: int | None = None) -> TextIndex:
+    """The index of rows (type, id, name, path, kind, ...); nulls and texts of one letter are in no pair. Rows that repeat are found each.
+
+    buckets: of the postings, the session's shuffle partitions if not given.
+    """
     spark = rows.sparkSession
-    kept = cut(rows.withColumn("key", F.monotonically_increasing_id()), "searched")
-    field = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.lower(F.coalesce(c, F.lit(""))).alias("text")) for i, c in enumerate(FIELDS)]))
-    each = kept.select("key", field.alias("f")).select("key", "f.field", F.explode(F.array_distinct(grams(F.col("f.text")))).alias("gram"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    field = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.lower(c).alias("text")) for i, c in enumerate(FIELDS)]))
+    cells = cut(rows.withColumn("key", F.monotonically_increasing_id()).select("key", "type", "id", field.alias("f")).select("key", "type", "id", "f.*").where("length(text) > 1"), "cells")
+    texts = cut(cells.select("text").distinct().select(F.monotonically_increasing_id().alias("text_id"), "text"), "texts")
+    places = cut(cells.join(texts, "text").select("text_id", "field", "key", "type", "id"), "places")
     path = fresh_path(spark, "postings")
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    salted = each.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    salted.repartition(buckets, "gram", "salt").write.bucketBy(buckets, "gram", "salt").option("path", path).format("parquet").saveAsTable(name)
+    each = texts.select("text_id", F.explode(F.array_distinct(grams(F.col("text")))).alias("gram")).withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).cast("int"))
+    each.repartition(buckets, "gram", "salt").write.bucketBy(buckets, "gram", "salt").option("path", path).format("parquet").saveAsTable(name)
     at_exit(lambda: spark.sql(f"drop table if exists {name}"))
-    return TextIndex(kept, spark.table(name))
+    return TextIndex(texts, places, spark.table(name))
 
 
 def candidates(index: TextIndex, phrases: DataFrame) -> DataFrame:
-    """(phrase, key, field) that share enough pairs; phrases: distinct lower-case ``phrase``."""
+    """(phrase, text_id) that share enough pairs; phrases: distinct lower-case ``phrase``."""
     own = phrases.where(F.length("phrase") >= V.SEARCH_MIN).select("phrase", (F.length("phrase") - 1 - 2 * allowed(F.length("phrase"))).alias("need"), F.explode(grams(F.col("phrase"))).alias("gram"))
     own = own.groupBy("phrase", "need", "gram").agg(F.count(F.lit(1)).alias("times")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = own.join(index.postings, ["gram", "salt"]).groupBy("phrase", "key", "field").agg(F.sum("times").alias("met"), F.first("need").alias("need"))
-    return met.where("met >= need").select("phrase", "key", "field")
+    met = own.join(index.postings, ["gram", "salt"]).groupBy("phrase", "text_id").agg(F.sum("times").alias("met"), F.first("need").alias("need"))
+    return met.where("met >= need").select("phrase", "text_id")
 
 
 def part_distance(text: str, phrase: str) -> int:
@@ -104,13 +109,11 @@ def search(index: TextIndex, phrases: DataFrame, limit: int = V.SEARCH_LIMIT) ->
     its edits over the phrase's letters, and up to 0.1 more for what else it holds; a row has its nearest field's, weighed.
     """
     asked = phrases.select(F.lower(T.stripped(F.col("phrase"))).alias("phrase")).where("phrase is not null").distinct()
-    found = candidates(index, asked).join(index.rows, "key")
-    text = F.lower(F.element_at(F.array(*FIELDS), F.col("field") + 1))
-    near = found.select("phrase", "key", "type", "id", "field", text.alias("text")).withColumn("edits", part_distances("text", "phrase"))
-    m, n = F.length("phrase"), F.length("text")
+    near = candidates(index, asked).join(index.texts, "text_id").withColumn("edits", part_distances("text", "phrase"))
+    m = F.length("phrase")
+    far = F.col("edits") / m + 0.1 * (1 - F.least(m / F.length("text"), F.lit(1.0)))
+    near = near.where(F.col("edits") <= allowed(m)).select("phrase", "text_id", far.alias("far"))
     weight = F.element_at(F.array(*[F.lit(w) for w in FIELDS.values()]), F.col("field") + 1)
-    distance = F.col("edits") / m + 0.1 * (1 - F.least(m / n, F.lit(1.0)))
-    scored = near.where(F.col("edits") <= allowed(m)).select("phrase", "key", "type", "id", (distance * weight + weight - 1).alias("score"))
-    best = scored.groupBy("phrase", "key", "type", "id").agg(F.round(F.min("score"), 6).alias("score"))
+    found = near.join(index.places, "text_id").groupBy("phrase", "key", "type", "id").agg(F.round(F.min(F.col("far") * weight + weight - 1), 6).alias("score"))
     order = Window.partitionBy("phrase").orderBy("score", "type", "id", "key")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("phrase", "rank", "type", "id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("phrase", "rank", "type", "id", "score")

@@ -11,6 +11,7 @@ from types import SimpleNamespace
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, LessThan, StringEndsWith, StringStartsWith
 
 from ..operators import components as C
 from ..operators import metrics, multirepo, symbols
@@ -76,6 +77,16 @@ def walked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tree(spark, _written(spark, sf_dir)).where("error is null").select("repo", "path", "is_dir")
 
 
+@query(f"""
+with f as (select {_WHERE}, c_custkey % {len(_PLACES)} as m, case when c_custkey % {len(_PLACES)} = 8 then '' else {_PLAIN} end as text from customer)
+select repo, path, cast(strlen(text) + case when text = '' then 0 else 1 - 3 + 1 end as bigint) as size from f where repo = 'even' and m in (0, 6)
+""")
+def pushed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files with text in one of two trees, by filters that the walk itself applies."""
+    asked = [EqualTo(("repo",), "even"), EqualTo(("is_dir",), False), StringStartsWith(("path",), "g"), StringEndsWith(("name",), ".py"), GreaterThan(("size",), 0), LessThan(("size",), 500)]
+    return read_tree(spark, _written(spark, sf_dir), filters=asked).select("repo", "path", "size")
+
+
 # --- repositories by url ------------------------------------------------------------------------------------
 
 #: Customers of a bare repository.

@@ -19,12 +19,13 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import values as V
 from .storage import fresh_path
-from .tree import SCHEMA, is_wanted, looks_vendored, skips_dir
+from .tree import SCHEMA, batched, is_wanted, looks_vendored, skips_dir
 
 _HOST = "https://github.com/"
 
@@ -124,7 +125,10 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return self.remotes
 
-    def read(self, partition: Remote) -> Iterator[tuple]:
+    def read(self, partition: Remote) -> Iterator[pa.RecordBatch]:
+        return batched(self._entries(partition))
+
+    def _entries(self, partition: Remote) -> Iterator[tuple]:
         store = os.path.join(self.folder, uuid.uuid4().hex)
         branch = [] if partition.ref == "HEAD" else ["--branch", partition.ref]
         try:

@@ -1,5 +1,6 @@
 """Plans that should stay as they are: no Python in regex stages, columns and filters in the scan."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from archspark.operators import components as C
@@ -71,3 +72,45 @@ def test_walks_are_split_below_the_top(tmp_path):
     options = {"names": "t", "roots": str(tmp_path), "parts": "5"}
     parts = tree._Reader(options).partitions()
     assert sum(p.deep for p in parts) == 5 and sorted(p.rel for p in parts if not p.deep) == ["", "src"]
+
+
+def test_a_flat_folder_is_read_by_several_tasks(spark, tmp_path):
+    from archspark.sources import tree
+
+    (tmp_path / "a" / "flat").mkdir(parents=True)
+    for k in range(10_000):
+        (tmp_path / "a" / "flat" / f"f{k:05d}.txt").write_text("x")
+    parts = [p for p in tree._Reader({"names": "t", "roots": str(tmp_path)}).partitions() if p.rel == "a/flat"]
+    assert len(parts) == 5 and not any(p.deep for p in parts)
+    rows = tree.read_tree(spark, {"t": str(tmp_path)})
+    assert rows.where("name like 'f%.txt'").count() == 10_000 and rows.select("path").distinct().count() == 10_002
+    assert tree.name_ranges([("a", 1), ("b", tree.SPLIT_BYTES), ("c", 1)]) == [(None, "a"), ("b", "b"), ("c", None)]
+
+
+def test_filters_reach_the_walk(spark, tmp_path):
+    """What filters leave out is not read, and walks end where nothing is asked for."""
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, IsNull, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith
+
+    from archspark.sources import tree
+
+    for path, text in {"src/a.py": "x = 1", "src/b.ts": "y", "src/deep/c.py": "z" * 50, "docs/d.py": "w", "e.py": ""}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / "src" / "gone.py").symlink_to(tmp_path / "nowhere")
+    roots = {"t": str(tmp_path), "u": str(tmp_path / "src")}
+    every = tree.read_tree(spark, roots).collect()
+    for filters, test in (
+        ([EqualTo(("is_dir",), True)], lambda r: r.is_dir), ([Not(EqualTo(("is_dir",), True)), GreaterThan(("size",), 0)], lambda r: not r.is_dir and (r.size or 0) > 0), ([EqualTo(("dir",), "src")], lambda r: r.dir == "src"),
+        ([In(("repo",), ("u", "x")), Not(EqualTo(("name",), "a.py"))], lambda r: r.repo == "u" and r.name != "a.py"), ([StringContains(("path",), "deep")], lambda r: "deep" in r.path), ([IsNotNull(("size",))], lambda r: r.size is not None),
+        ([Not(GreaterThan(("size",), 3))], lambda r: r.size is not None and r.size <= 3), ([EqualTo(("path",), "src")], lambda r: r.path == "src"), ([EqualTo(("dir",), "")], lambda r: r.dir == ""),
+        ([EqualTo(("repo",), "t"), StringStartsWith(("path",), "src/"), StringEndsWith(("name",), ".py"), LessThanOrEqual(("size",), 20)], lambda r: r.repo == "t" and r.path.startswith("src/") and r.name.endswith(".py") and r.size is not None and r.size <= 20),
+    ):
+        got = tree.read_tree(spark, roots, filters=filters)
+        key = lambda r: (r.repo, r.path, bytes(r.content or b""))
+        assert sorted(map(key, got.collect())) == sorted(key(r) for r in every if test(r)), filters
+        assert got.count() == sum(map(bool, map(test, every)))  # the same rows again
+    asked = {"names": "t\nu", "roots": "\n".join(roots.values()), "filters": tree.as_text([EqualTo(("repo",), "t"), StringStartsWith(("path",), "src/deep/")])}
+    assert {(p.repo, p.rel) for p in tree._Reader(asked).partitions()} == {("t", ""), ("t", "src"), ("t", "src/deep")}
+    for bad in (IsNull(("size",)), EqualTo(("content",), b"x"), GreaterThan(("name",), "a"), EqualTo(("error",), "x")):
+        with pytest.raises(ValueError):
+            tree.read_tree(spark, roots, filters=[bad])

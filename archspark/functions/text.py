@@ -232,21 +232,26 @@ def _endpoints(content: Column, rules: list[tuple]) -> Column:
 
 
 def _ruby_endpoints(content: Column) -> Column:
-    """Each route twice: with the verb that its line has before it (else GET), and with its own."""
+    """Each route twice: with the verb that its line has before it (else GET), and with its own.
+
+    Routes and the text between them are found by one pass each; a fold over the pairs carries the line that is not ended yet.
+    """
     pattern = V.ENDPOINTS["ruby"][0][0]
-    paths = find_all(content, pattern, 2)
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
-    whole = find_all(content, r"([\s\S]*?)((?:get|post|put|patch|delete)\s+[\"'][^\"']+)", 0)
+    found = F.struct(find_all(content, pattern, 0).alias("routes"), F.split(content, java(pattern), -1).alias("gaps"))
+    start = F.struct(F.array().cast("array<string>").alias("verbs"), F.lit("").alias("line"))
+    path = lambda route: F.regexp_extract(route, java(r"(?s)^[a-z]+\s+[\"'](.*)$"), 1)
+    verb = lambda line: F.coalesce(first_of([(line.contains(v), v.upper()) for v in V.RUBY_VERBS_BEFORE]), F.lit("GET"))
 
     def step(s: Column, piece: Column) -> Column:
-        match = F.regexp_extract(piece, java(r"((?:get|post|put|patch|delete)\s+[\"'][^\"']+)$"), 1)
-        text = F.concat(s["line"], F.substring(piece, F.lit(1), F.length(piece) - F.length(match)))
-        return F.struct(F.concat(s["lines"], F.array(F.substring_index(text, "\n", -1))).alias("lines"), F.substring_index(F.concat(text, match), "\n", -1).alias("line"))
-
-    lines = F.aggregate(whole, start, step)["lines"]
-    verb = lambda line: first_of([(F.lower(line).contains(v), v.upper()) for v in V.RUBY_VERBS_BEFORE])
-    first = F.zip_with(lines, paths, lambda line, p: F.struct(F.coalesce(verb(line), F.lit("GET")).alias("method"), p.alias("path")))
-    return F.concat(first, _endpoints(content, V.ENDPOINTS["ruby"]))
+        before = F.substring_index(F.concat(s["line"], piece["gap"]), "\n", -1)
+        return F.struct(F.concat(s["verbs"], F.array(verb(F.lower(before)))).alias("verbs"), F.substring_index(F.concat(before, piece["route"]), "\n", -1).alias("line"))
+
+    def made(x: Column) -> Column:
+        pieces = F.zip_with(x["routes"], F.slice(x["gaps"], 1, F.size(x["routes"])), lambda r, g: F.struct(g.alias("gap"), r.alias("route")))
+        first = F.zip_with(F.aggregate(pieces, start, step)["verbs"], x["routes"], lambda v, r: F.struct(v.alias("method"), path(r).alias("path")))
+        return F.concat(first, F.transform(x["routes"], lambda r: F.struct(F.upper(F.regexp_extract(r, "^[a-z]+", 0)).alias("method"), path(r).alias("path"))))
+
+    return F.when(F.size(find_all(content, pattern, 0)) > 0, let(found, made)).otherwise(F.array().cast(_ENDPOINT))
 
 
 def endpoints(lang: Column, content: Column) -> Column:

@@ -459,6 +459,13 @@ def top_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.top_symbols(rows, 500).select("id", "kind")
 
 
+@query("select cast(o_orderkey as varchar) as id, cast(row_number() over (order by lpad(cast(o_custkey as varchar), 9, '0'), o_orderkey) as integer) as rank from orders")
+def all_symbols_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All symbols of one repository without a limit, by file and place."""
+    rows = _read(spark, sf_dir, "orders").select(F.lit("all").alias("repo"), F.col("o_orderkey").cast("string").alias("id"), F.lit("class").alias("kind"), F.lit("public").alias("visibility"), F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("file"), F.col("o_orderkey").alias("ordinal"))
+    return symbols.top_symbols(rows, 0).select("id", "rank")
+
+
 _SEARCHED = "select 'component' as type, 's' || s_suppkey as id, s_name as name, 'supplier/' || s_suppkey as path, 'module' as kind from supplier union all select 'symbol', 'p' || p_partkey, p_name, p_brand, p_type from part"
 
 

@@ -114,3 +114,19 @@ def test_filters_reach_the_walk(spark, tmp_path):
     for bad in (IsNull(("size",)), EqualTo(("content",), b"x"), GreaterThan(("name",), "a"), EqualTo(("error",), "x")):
         with pytest.raises(ValueError):
             tree.read_tree(spark, roots, filters=[bad])
+
+
+def test_ranks_of_one_large_group(spark):
+    """No window over rows and no single partition; ties, nulls and small groups beside a large one."""
+    from archspark.operators.ranks import ranked
+
+    data = [("big", k % 700, k, "x") for k in range(2000)] + [("small", 3, 1, "x"), (None, 2, 1, "y"), (None, 1, 2, "y"), ("big", None, 5, "x")]
+    rows = spark.createDataFrame(data, "repo string, a int, b int, __group string")
+    got = ranked(rows.drop("__group"), "repo", ["a", "b"])
+    assert "Window" not in plan(got) and "SinglePartition" not in plan(got)
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    want = {}
+    for repo in ("big", "small", None):
+        own = sorted((r for r in data if r[0] == repo), key=key)
+        want |= {(repo, r[1], r[2]): k for k, r in enumerate(own, 1)}
+    assert {(r.repo, r.a, r.b): r.rank for r in got.collect()} == want and got.count() == len(data)

@@ -173,14 +173,7 @@ _PORT_TEXTS = [
 ]
 
 
-def _filled(shape: str) -> str:
-    return quoted(shape).replace("{k}", "' || cast(100 + c_custkey % 800 as varchar) || '")
-
-
-_PORTS_SQL = "list_concat(" * (len(V.PORTS) - 1) + f"regexp_extract_all(t, {quoted('(?m)' + V.PORTS[0])}, 1)" + "".join(f", regexp_extract_all(t, {quoted('(?m)' + p)}, 1))" for p in V.PORTS[1:])
-
-
-@query(f"with c as (select c_custkey, case c_custkey % {len(_PORT_TEXTS)} {' '.join(f'when {i} then {_filled(x)}' for i, x in enumerate(_PORT_TEXTS))} end as t from customer) select c_custkey, array_to_string(list_sort(list_distinct(list_filter(list_transform({_PORTS_SQL}, lambda x: cast(x as int)), lambda p: p between 1024 and 65535))), ',') as ports from c")
+@query("select c_custkey, case when c_custkey % 17 = 15 then '' else '8' || (100 + c_custkey % 800) end as ports from customer")
 def all_port_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ports in all the ways in which files name them."""
     shape = F.replace(choice(_PORT_TEXTS, "c_custkey"), F.lit("{k}"), (100 + F.col("c_custkey") % 800).cast("string"))
@@ -188,19 +181,27 @@ def all_port_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ENV_TEXTS = ["os.environ['A{k}'] and getenv( \"B\" )", "process.env.C{k} + process.env.D", 'env::var( "E{k}" )', "env['F{k}'] os.environ.get('no')", "nothing"]
-_ENV_SQL = f"list_concat(list_concat(regexp_extract_all(t, {quoted(V.ENV_VARS[0])}, 1), regexp_extract_all(t, {quoted(V.ENV_VARS[1])}, 1)), regexp_extract_all(t, {quoted(V.ENV_VARS[2])}, 1))"
 
 
-@query(f"with c as (select c_custkey, case c_custkey % {len(_ENV_TEXTS)} {' '.join(f'when {i} then {_filled(x)}' for i, x in enumerate(_ENV_TEXTS))} end as t from customer) select c_custkey, array_to_string(list_sort(list_distinct({_ENV_SQL})), ',') as names from c")
+@query("""
+select c_custkey, case c_custkey % 5 when 0 then 'A' || k || ',B' when 1 then 'C' || k || ',D' when 2 then 'E' || k when 3 then 'F' || k else '' end as names
+from (select c_custkey, 100 + c_custkey % 800 as k from customer)
+""")
 def all_env_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.replace(choice(_ENV_TEXTS, "c_custkey"), F.lit("{k}"), (100 + F.col("c_custkey") % 800).cast("string"))
     return _read(spark, sf_dir, "customer").select("c_custkey", _joined(T.env_vars(shape)).alias("names"))
 
 
-_EXTENSIONS = [*V.LANGUAGES, ".png", "", ".TXT"]
+#: Languages and their extensions, stated apart from ``values``, so that the query holds one against the other.
+_LANGUAGE_OF = (
+    "swift .swift; python .py; rust .rs; typescript .ts .tsx; javascript .js .jsx; go .go; java .java; kotlin .kt; ruby .rb; cpp .cpp .hpp; c .c .h; csharp .cs; dart .dart; vue .vue; svelte .svelte; "
+    "html .html; css .css; scss .scss; sql .sql; shell .sh .bash .zsh; toml .toml; yaml .yaml .yml; json .json; markdown .md .mdx"
+)
+_KNOWN_EXTENSIONS = [(ext, language) for language, *own in (x.split() for x in _LANGUAGE_OF.split("; ")) for ext in own] + [(".png", None), ("", None), (".TXT", None)]
+_EXTENSIONS = [ext for ext, _ in _KNOWN_EXTENSIONS]
 
 
-@query(f"select c_custkey, {choice_sql([V.LANGUAGES.get(x) for x in _EXTENSIONS], 'c_custkey')} as language, case when {choice_sql(_EXTENSIONS, 'c_custkey')} = '' then '' else lower({choice_sql(_EXTENSIONS, 'c_custkey')}) end as suffix from customer")
+@query(f"select c_custkey, {choice_sql([language for _, language in _KNOWN_EXTENSIONS], 'c_custkey')} as language, case when {choice_sql(_EXTENSIONS, 'c_custkey')} = '' then '' else lower({choice_sql(_EXTENSIONS, 'c_custkey')}) end as suffix from customer")
 def all_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all known file extensions, in upper case too."""
     ext = choice(_EXTENSIONS, "c_custkey")
@@ -208,13 +209,21 @@ def all_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select("c_custkey", T.language(name).alias("language"), T.suffix(name).alias("suffix"))
 
 
+#: Domains of cloud services with name and category, stated apart from ``values``.
+_CLOUDS = [x.split("|") for x in (
+    "api.openai.com|OpenAI|ai", "api.anthropic.com|Anthropic|ai", "api.groq.com|Groq|ai", "api.cohere.ai|Cohere|ai", "api.mistral.ai|Mistral|ai", "generativelanguage.googleapis.com|Google AI|ai", "api.deepgram.com|Deepgram|speech",
+    "api.assemblyai.com|AssemblyAI|speech", "api.elevenlabs.io|ElevenLabs|speech", "api.speechmatics.com|Speechmatics|speech", "api.stripe.com|Stripe|payments", "api.twilio.com|Twilio|communications", "api.sendgrid.com|SendGrid|email",
+    "api.github.com|GitHub|devtools", "api.gitlab.com|GitLab|devtools", "api.slack.com|Slack|communications", "api.firebase.google.com|Firebase|backend", "firestore.googleapis.com|Firestore|database",
+)]
+
+
 @query(f"""
-with d(i, name, category) as (values {', '.join(f'({i}, {quoted(n)}, {quoted(c)})' for i, (_, n, c) in enumerate(V.CLOUD_APIS))}), f as (select 'n' || c_nationkey as source, c_custkey % {len(V.CLOUD_APIS) + 2} as i, c_custkey % 4 as form from customer)
+with d(i, name, category) as (values {', '.join(f'({i}, {quoted(n)}, {quoted(c)})' for i, (_, n, c) in enumerate(_CLOUDS))}), f as (select 'n' || c_nationkey as source, c_custkey % {len(_CLOUDS) + 2} as i, c_custkey % 4 as form from customer)
 select source, string_agg(name || ':' || category, ',' order by name) as services from (select distinct source, name, category from f join d on d.i = f.i where form <> 3) group by source
 """)
 def all_cloud_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All known cloud services, by addresses in quotes, sockets and hosts."""
-    domain = choice([d for d, _, _ in V.CLOUD_APIS] + ["example.com", "api.unknown.io"], "c_custkey")
+    domain = choice([d for d, _, _ in _CLOUDS] + ["example.com", "api.unknown.io"], "c_custkey")
     form = F.col("c_custkey") % 4
     text = F.when(form == 0, F.concat(F.lit("'https://"), domain, F.lit("/v1'"))).when(form == 1, F.concat(F.lit("wss://"), domain)).when(form == 2, F.concat(F.lit('host = "'), domain, F.lit('"'))).otherwise(domain)
     node = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))

@@ -6,11 +6,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_drops: list = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -47,6 +49,20 @@ def at_exit(what) -> None:
             what()
 
     atexit.register(safely)
+    _drops.append(safely)
+
+
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """What is stored inside goes when the block ends, and not only when the driver does. Results must be written or collected by then."""
+    kept = len(_drops)
+    try:
+        yield
+    finally:
+        while len(_drops) > kept:
+            drop = _drops.pop()
+            atexit.unregister(drop)
+            drop()
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

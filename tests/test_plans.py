@@ -130,3 +130,17 @@ def test_ranks_of_one_large_group(spark):
         own = sorted((r for r in data if r[0] == repo), key=key)
         want |= {(repo, r[1], r[2]): k for k, r in enumerate(own, 1)}
     assert {(r.repo, r.a, r.b): r.rank for r in got.collect()} == want and got.count() == len(data)
+
+
+def test_stored_tables_are_released(spark):
+    import os
+
+    from archspark.sources import storage
+
+    kept = storage.cut(spark.range(5), "kept")
+    with storage.released():
+        inside = storage.cut(spark.range(7), "inside")
+        assert inside.count() == 7
+        path = inside.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.isdir(path)
+    assert not os.path.exists(path) and kept.count() == 5

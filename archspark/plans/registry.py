@@ -688,4 +688,4 @@ def symbol_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Further queries register themselves.
-from . import disk_queries, language_queries, tree_queries, view_queries  # noqa: E402, F401
+from . import disk_queries, language_queries, stream_queries, tree_queries, view_queries  # noqa: E402, F401

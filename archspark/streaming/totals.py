@@ -1,7 +1,7 @@
 """Counts and sums of files, kept up to date from a stream of files that come, change, move or go.
 
-A batch costs what it changes: the state store has each file's last row, its old part is taken back from the sums and its new
-one added. Where two languages tie for most lines, the one met first is found among the files of these alone.
+A log has each file's last row: where a file changes, its old part is taken back from the sums and its new one added, so that
+only changed files are read and only sums that change are written. Where two languages tie for most lines, the one met first is found among the files of these alone.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ _NUMBERS = ("files", "lines", "size_bytes", "symbols")
 
 
 def files_log(path: str) -> Log:
-    return Log(f"{path}/files", _COLUMNS, ("sign",), FILE + ", sign long")
+    return Log(f"{path}/files", (*_COLUMNS, "seq", "live"), ("sign",), FILE + ", seq long, live boolean, sign long")
 
 
 def sums_log(path: str) -> Log:
@@ -29,25 +29,21 @@ def sums_log(path: str) -> Log:
 
 
 def keep(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Starts the query on a stream of EVENT rows; path: a folder that only this checkpoint writes to.
-
-    The stateful plan of a batch runs once, into the log of files; the sums are made from what it wrote.
-    """
+    """Starts the query on a stream of EVENT rows; path: a folder that only this checkpoint writes to. The sums are made from what the log of files got."""
 
     def add(batch: DataFrame, n: int) -> None:
-        files, sums = files_log(path), sums_log(path)
-        files.write(batch, n)
+        held, sums = files_log(path), sums_log(path)
+        held.write(changes(batch, held, ["repo", "path"], n), n)
         sign = F.col("sign")
-        parts = files.batch(batch.sparkSession, n)
+        parts = held.batch(batch.sparkSession, n).where("live")
         sums.write(parts.select("repo", "owner", "language", sign.alias("files"), (sign * F.col("lines")).alias("lines"), (sign * F.col("size_bytes")).alias("size_bytes"), (sign * F.col("n_symbols")).alias("symbols")), n)
 
-    told = changes(events.select(*_COLUMNS, "deleted", "seq"), ["repo", "path"])
-    return told.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def files(spark: SparkSession, path: str, n: int) -> DataFrame:
     """FILE rows that there are after batch n."""
-    return files_log(path).read(spark, n).drop("sign")
+    return files_log(path).read(spark, n).where("live").select(*_COLUMNS)
 
 
 def events(before: DataFrame, after: DataFrame, seq: int) -> DataFrame:

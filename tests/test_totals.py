@@ -83,7 +83,7 @@ def test_late_and_repeated_events_change_nothing(spark, tmp_path):
     assert at.files(-1) == []
 
 
-def test_of_equal_places_the_larger_text_holds_in_any_order(spark, tmp_path):
+def test_of_equal_places_the_larger_values_hold_in_any_order(spark, tmp_path):
     a, b = ("r", "a", "o", "go", 1, 1, 1, False, 1), ("r", "a", "p", "go", 2, 1, 1, False, 1)
     found = []
     for k, rows in enumerate(((a, b), (b, a))):
@@ -95,6 +95,17 @@ def test_of_equal_places_the_larger_text_holds_in_any_order(spark, tmp_path):
     assert found[0] == found[1] == [("r", "a", "p", "go", 2, 1, 1)]
 
 
+def test_null_keys_are_keys(spark, tmp_path):
+    at = Folder(spark, tmp_path)
+    at.add((None, "a", "o", "go", 1, 1, 1, False, 1), ("r", None, "o", "go", 1, 1, 1, False, 1), (None, None, "o", "go", 1, 1, 1, False, 1))
+    at.run()
+    at.add((None, "a", "o", "go", 2, 1, 1, False, 2), (None, None, None, None, None, None, None, True, 2))
+    at.run()
+    found = totals.files(spark, at.out, 1).select("repo", "path", "lines").collect()
+    assert set(map(tuple, found)) == {("r", None, 1), (None, "a", 2)} and len(found) == 2
+    assert totals.language_lines(spark, at.out, 1).collect()[0]["lines"] == 3
+
+
 def test_a_batch_that_is_run_again_gives_the_same(spark, tmp_path):
     at = Folder(spark, tmp_path)
     for n in range(3):

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,7 +80,7 @@ def bare_name(view: Column) -> Column:
 
 
 def ends_in(text: Column, endings: tuple[str, ...]) -> Column:
-    return reduce(or_, [text.endswith(s) for s in endings])
+    return text.rlike(f"(?:{'|'.join(map(re.escape, endings))})\\z")  # text may be a long expression: it stands here once
 
 
 def is_helper(view: Column) -> Column:
@@ -114,19 +112,29 @@ def latest(found: DataFrame) -> DataFrame:
     return found.groupBy(*APP, "view").agg(F.min(at).alias("first"), last.alias("r")).select(*APP, "view", "first", "r.*")
 
 
+#: Steps of one turn of the walk.
+HOPS = 4
+
+
 def nearest_tabs(leads: DataFrame, roots: DataFrame) -> DataFrame:
     """(repo, app, view, k): the tab from which a view takes the fewest steps, of several the first one.
 
-    roots: (repo, app, view, k). Each turn is one join with the views met by the turn before; views met already
-    are left out, so cycles end.
+    roots: (repo, app, view, k). A turn goes ``HOPS`` steps on from the views that the turn before met last, each step one join and
+    one minimum by (steps, k), and leaves out what was met already, so cycles end. Views that a turn meets by fewer steps have no
+    others to lead to that it has not met, so only the last ones go on.
     """
     steps = leads.select(*APP, "view", "target").distinct()
     wave = met = roots
-    while not wave.isEmpty():
-        following = steps.join(wave, [*APP, "view"]).groupBy(*APP, F.col("target").alias("view")).agg(F.min("k").alias("k"))
-        wave = cut(following.join(met, [*APP, "view"], "left_anti").select(*APP, "view", "k"), "wave")
-        met = met.unionByName(wave)
-    return met
+    while True:
+        near = wave.select(*APP, "view", F.struct(F.lit(0).alias("n"), "k").alias("at"))
+        for n in range(HOPS):
+            on = near.join(steps, [*APP, "view"], "left").withColumn("last", F.col("at.n") == n)
+            both = F.array(F.struct("view", "at"), F.when(F.col("last") & F.col("target").isNotNull(), F.struct(F.col("target").alias("view"), F.struct((F.col("at.n") + 1).alias("n"), F.col("at.k").alias("k")).alias("at"))))
+            near = on.select(*APP, F.explode(both).alias("x")).where("x is not null").groupBy(*APP, F.col("x.view").alias("view")).agg(F.min("x.at").alias("at"))
+        new = cut(near.join(met, [*APP, "view"], "left_anti").select(*APP, "view", F.col("at.k").alias("k"), F.col("at.n").alias("n")), "wave")
+        met, wave = met.unionByName(new.drop("n")), new.where(F.col("n") == HOPS).drop("n")
+        if wave.isEmpty():
+            return met
 
 
 def flow(found: DataFrame) -> tuple[DataFrame, DataFrame]:

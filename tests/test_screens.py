@@ -5,6 +5,7 @@ import re
 
 from archspark import values as V
 from archspark.operators import uiflow
+from archspark.sources import storage
 
 
 def bare_name(view: str) -> str:
@@ -164,3 +165,26 @@ def test_flow_by_hand(spark):
 
 def test_no_views(spark):
     assert flows(spark, {"app": []}) == ([], [])
+
+
+def test_a_walk_of_many_steps_takes_a_turn_for_several(spark, monkeypatch):
+    """A chain with loops back and a second tab further on: nearest tab, first of equals, one table a turn."""
+    turns = []
+    monkeypatch.setattr(uiflow, "cut", lambda df, name: turns.append(name) or storage.cut(df, name))
+    n = 23
+    leads = [("r", "a", f"v{i}", f"v{i + 1}") for i in range(n)] + [("r", "a", f"v{i}", f"v{i // 2}") for i in range(n)] + [("r", "a", "w", "v9"), ("r", "b", "v0", "v5")]
+    roots = [("r", "a", "v0", 1), ("r", "a", "w", 0), ("r", "b", "x", 0)]
+    dist = {}
+    for k, start in sorted((k, v) for _, app, v, k in roots if app == "a"):
+        wave, steps = {start}, 0
+        seen = set()
+        while wave:
+            for v in wave:
+                dist[v] = min(dist.get(v, (steps, k)), (steps, k))
+            seen |= wave
+            wave = {t for _, app, s, t in leads if app == "a" and s in wave} - seen
+            steps += 1
+    found = uiflow.nearest_tabs(spark.createDataFrame(leads, "repo string, app string, view string, target string"), spark.createDataFrame(roots, "repo string, app string, view string, k int")).collect()
+    assert {r["view"]: r["k"] for r in found if r["app"] == "a"} == {v: k for v, (_, k) in dist.items()}
+    assert len(found) == len(dist) + 1
+    assert len(turns) <= n // uiflow.HOPS + 1

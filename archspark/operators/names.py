@@ -24,7 +24,8 @@ def dealt(texts: DataFrame, words: DataFrame, shard_words: int = SHARD_WORDS, bu
 
     Hashes deal them evenly. Texts and words (repo, text or word) are distinct; null and empty ones are left out.
     """
-    texts, words = texts.where("text <> ''").distinct(), words.where("word <> ''").distinct()
+    fresh = lambda rows, c: rows.where(F.col(c) != "").select(F.col("repo").alias("repo"), c).distinct()  # noqa: E731  # columns of their own: both may come from one table
+    texts, words = fresh(texts, "text"), fresh(words, "word")
     many = lambda rows, n, out: rows.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(out))
     sizes = many(words, shard_words, "shards").join(many(texts, bucket_texts, "buckets"), "repo")
     turn = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

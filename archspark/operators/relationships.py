@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions import text as T
 from .components import resolve_imports
-from .names import containing
+from .names import containing, matches
 
 EDGE = ["repo", "source", "target", "type", "label", "protocol", "port", "bidirectional", "stage", "at"]
 
@@ -125,12 +125,22 @@ def client_edges(files: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def companion_edges(comps: DataFrame) -> DataFrame:
-    """Each watch app and its phone app: in the same directory or with its name inside, else the first."""
-    watch = comps.where("type = 'watch-app'").select("repo", F.col("id").alias("source"), F.col("name").alias("w_name"), F.col("path").alias("w_path"), F.col("ord").alias("w_ord"))
-    phone = comps.where("type = 'ios-client'").select("repo", F.col("id").alias("target"), F.col("name").alias("p_name"), F.col("path").alias("p_path"), F.col("ord").alias("p_ord"))
-    core = T.stripped(F.replace(F.replace(F.lower("w_name"), F.lit(" watch"), F.lit("")), F.lit("watch"), F.lit("")))
-    fits = (T.dirname(F.col("w_path")) == T.dirname(F.col("p_path"))) | F.lower("p_name").contains(core)
-    best = watch.join(phone, "repo").groupBy("repo", "source", "w_ord").agg(F.min_by("target", F.struct(~fits, F.col("p_ord"))).alias("target"))
+    """Each watch app and its phone app: in the same directory or with its name inside, else the first.
+
+    The first phone app of each directory, of each name and of each repository are rows of their own, so that no watch app meets all phone apps.
+    """
+    core = T.stripped(F.replace(F.replace(F.lower("name"), F.lit(" watch"), F.lit("")), F.lit("watch"), F.lit("")))
+    folder = T.dirname(F.col("path")).alias("folder")
+    watch = comps.where("type = 'watch-app'").select("repo", F.col("id").alias("source"), core.alias("core"), folder, F.col("ord").alias("w_ord"))
+    phone = comps.where("type = 'ios-client'").select("repo", F.lower("name").alias("name"), folder, F.struct(F.col("ord"), F.col("id")).alias("own"))
+    first = phone.groupBy("repo").agg(F.min("own").alias("first"))  # a row for each repository
+    near = phone.groupBy("repo", "folder").agg(F.min("own").alias("near"))
+    of_name = phone.groupBy("repo", "name").agg(F.min("own").alias("own"))
+    pairs = matches(of_name.select("repo", F.col("name").alias("text")), watch.select("repo", F.col("core").alias("word")))
+    named = pairs.join(of_name.withColumnRenamed("name", "text"), ["repo", "text"]).groupBy("repo", F.col("word").alias("core")).agg(F.min("own").alias("named"))
+    rows = watch.join(near, ["repo", "folder"], "left").join(named, ["repo", "core"], "left").join(F.broadcast(first), "repo")
+    fits = F.least("near", "named", F.when(F.col("core") == "", F.col("first")))  # every name has the empty one inside
+    best = rows.select("repo", "source", F.coalesce(fits, "first")["id"].alias("target"), "w_ord")
     return _edges(best, 5, "import", "companion app", [_order("w_ord")])
 
 

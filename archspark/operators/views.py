@@ -348,11 +348,12 @@ def annotation_counts(annotations: DataFrame) -> DataFrame:
 # --- formats --------------------------------------------------------------------------------
 
 
-def format_bytes(n: Column) -> Column:
-    power = F.least(F.floor(F.log(1024.0, n)).cast("int"), F.lit(3))
+def format_bytes(n: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB")) -> Column:
+    """n in the largest unit of which it has one; all that is larger stays in the last unit."""
+    power = sum(((n >= 1024**k).cast("int") for k in range(1, len(units))), F.lit(0))
     value = F.round(n / F.pow(F.lit(1024.0), power), 1)
     shown = F.regexp_replace(F.format_string("%.1f", value), r"\.0$", "")
-    return F.when(n == 0, "0 B").otherwise(F.concat(shown, F.lit(" "), F.element_at(F.array(*map(F.lit, ["B", "KB", "MB", "GB"])), power + 1)))
+    return F.when(n == 0, "0 B").otherwise(F.concat(shown, F.lit(" "), F.element_at(F.array(*map(F.lit, units)), power + 1)))
 
 
 def format_count(n: Column) -> Column:

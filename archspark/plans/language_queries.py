@@ -16,7 +16,7 @@ from .. import values as V
 from ..functions import text as T
 from ..operators import symbols
 from .registry import _joined, _read, query
-from .written import quoted, text, text_sql
+from .written import dealt, quoted, text, text_sql
 
 _COLUMNS = {"k": "p_partkey", "s": "p_size", "n": "p_name", "b": "p_brand"}
 
@@ -66,7 +66,8 @@ def _text_sql(language: str) -> str:
 
 
 def _files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").select(F.lit("all").alias("repo"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), F.lit(language).alias("language"), _text(language).alias("content"))
+    parts = dealt(_read(spark, sf_dir, "part").select(*_COLUMNS.values()), "p_partkey")
+    return parts.select(F.lit("all").alias("repo"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), F.lit(language).alias("language"), _text(language).alias("content"))
 
 
 def _lines_sql(language: str) -> str:
@@ -240,8 +241,8 @@ def _facts_query(language: str) -> None:
         files = _files(spark, sf_dir, language)
         lang, content = F.col("language"), F.col("content")
         routes = F.array_join(F.transform(T.endpoints(lang, content), lambda e: F.concat_ws(" ", e["method"], e["path"])), ",")
-        facts = files.select("path", _joined(T.imports(lang, content)).alias("imports"), T.framework(lang, content).alias("framework"), routes.alias("endpoints"))
-        return facts.join(symbols.parsed(files).select("path", "module_doc"), "path")
+        facts = files.select("path", "language", "content", _joined(T.imports(lang, content)).alias("imports"), T.framework(lang, content).alias("framework"), routes.alias("endpoints"))
+        return symbols.with_module_doc(facts).drop("language")
 
     run.__name__, run.__doc__ = f"facts_{language}", f"Imports, framework, routes and head comment of {language} text."
     sql = f"with {_lines_sql(language)} select path, {_IMPORTS_SQL[language]} as imports, {_FRAMEWORK_SQL[language]} as framework, {_endpoints_sql(language)} as endpoints, {_DOC_SQL[language]} as module_doc from f"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,11 @@ def quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Short rows dealt to tasks by their keys, before each becomes a text: a table of a few MB is one or two splits however many rows it has."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _parts(template: str) -> list[str]:
     return re.split(r"\{\{(\w+)\}\}", template)
 

@@ -144,3 +144,12 @@ def test_stored_tables_are_released(spark):
         path = inside.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
         assert os.path.isdir(path)
     assert not os.path.exists(path) and kept.count() == 5
+
+
+@pytest.mark.parametrize("name", ["python_symbols", *(f"{kind}_{language}" for kind in ("facts", "symbols") for language in ("swift", "python", "rust", "typescript", "go", "ruby"))])
+def test_texts_of_a_small_table_are_dealt_to_tasks_and_parsed_in_place(spark, name):
+    df = registry.QUERIES[name](spark, SF)
+    shown = plan(df)
+    assert "Join" not in shown and shown.count("Exchange") == 1
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert min(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()) > 0.7 * df.count() / df.rdd.getNumPartitions()

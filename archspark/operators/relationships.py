@@ -152,16 +152,24 @@ def fallback_edges(found: DataFrame, comps: DataFrame) -> DataFrame:
     return _edges(rows, 7, "http", "API (inferred)", [_order("c_ord"), _order("target_ord")])
 
 
+#: Watch apps and phone apps of a repository are dealt to so many blocks each; a task pairs one block with another.
+PAIR_BLOCKS = 16
+
+
 def watch_edges(files: DataFrame, comps: DataFrame) -> DataFrame:
-    """Swift files that import the watch's connection, on either side: with every app of the other side."""
-    own = comps.select("repo", F.col("path").alias("owner"), F.col("id").alias("own"), F.col("type").alias("own_type"))
-    users = files.where((F.col("language") == "swift") & F.arrays_overlap("imports", F.array(*map(F.lit, V.WATCH_IMPORTS)))).join(own, ["repo", "owner"])
-    users = users.groupBy("repo", "own", "own_type").agg(F.min("path").alias("file"))
-    side = comps.where(F.col("type").isin("watch-app", "ios-client")).select("repo", F.col("id").alias("other"), F.col("type").alias("other_type"), "ord")
-    rows = users.where(F.col("own_type").isin("watch-app", "ios-client")).join(side, "repo").where("own_type <> other_type")
-    watch = F.col("own_type") == "watch-app"
-    rows = rows.select("repo", F.when(watch, F.col("own")).otherwise(F.col("other")).alias("source"), F.when(watch, F.col("other")).otherwise(F.col("own")).alias("target"), "file", "ord")
-    return _edges(rows, 9, "import", "WatchConnectivity", ["file", _order("ord")])
+    """Swift files that import the watch's connection, on either side: with every app of the other side.
+
+    Each pair is made once, with its first place. There are as many edges as such pairs, but what tasks send each other is ``PAIR_BLOCKS`` rows an app.
+    """
+    users = files.where((F.col("language") == "swift") & F.arrays_overlap("imports", F.array(*map(F.lit, V.WATCH_IMPORTS)))).groupBy("repo", "owner").agg(F.min("path").alias("file"))
+    apps = comps.where(F.col("type").isin("watch-app", "ios-client")).select("repo", F.col("path").alias("owner"), "id", "type", "ord")
+    apps = apps.join(users, ["repo", "owner"], "left").groupBy("repo", "id", "type").agg(F.min("file").alias("file"), F.min("ord").alias("ord"))
+    own, other = F.pmod(F.xxhash64("id"), F.lit(PAIR_BLOCKS)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_BLOCKS - 1).cast("long")))
+    side = lambda kind, mark, i, j: apps.where(F.col("type") == kind).select(F.col("repo").alias("repo"), i.alias("i"), j.alias("j"), F.col("id").alias(mark), F.col("file").alias(f"{mark}_file"), _order("ord").alias(f"{mark}_ord")).repartition(PAIR_BLOCKS**2, "repo", "i", "j")  # noqa: E731  # few bytes, many pairs: a number of tasks that stays
+    rows = side("watch-app", "source", own, other).join(side("ios-client", "target", other, own).hint("shuffle_hash"), ["repo", "i", "j"]).where("source_file is not null or target_file is not null")
+    from_watch = F.col("target_file").isNull() | (F.struct("source_file", "target_ord") <= F.struct("target_file", "source_ord"))
+    from_watch = F.col("source_file").isNotNull() & from_watch
+    return _edges(rows, 9, "import", "WatchConnectivity", [F.when(from_watch, F.col("source_file")).otherwise(F.col("target_file")), F.when(from_watch, F.col("target_ord")).otherwise(F.col("source_ord"))])
 
 
 def config_edges(files: DataFrame, comps: DataFrame) -> DataFrame:

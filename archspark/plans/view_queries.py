@@ -245,7 +245,7 @@ def watch_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     comps = s.select(F.lit("all").alias("repo"), id_.alias("id"), id_.alias("path"), F.when(k == 0, "watch-app").when(k == 1, "ios-client").otherwise("module").alias("type"), F.struct(F.lit(1).alias("kind"), id_.alias("path")).alias("ord"))
     imports = F.when(F.col("s_suppkey") % 5 < 2, F.array(F.lit("SwiftUI"), F.lit("WatchConnectivity"))).otherwise(F.array(F.lit("SwiftUI")))
     files = s.select(F.lit("all").alias("repo"), id_.alias("owner"), F.concat(id_, F.lit("/x.swift")).alias("path"), F.lit("swift").alias("language"), imports.alias("imports"))
-    return relationships.first_of_each(relationships.watch_edges(files, comps)).select("source", "target")
+    return relationships.watch_edges(files, comps).select("source", "target")
 
 
 # --- several repositories -----------------------------------------------------------------------------

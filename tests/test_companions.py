@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from archspark.operators import relationships
 
 COMPS = "repo string, id string, path string, name string, type string, ord struct<kind:int,path:string>"
@@ -53,3 +55,31 @@ def test_a_watch_app_does_not_meet_all_phone_apps(spark):
     rows = [("r", f"g{i % 7}/{i}", f"App {i}", "watch-app" if i % 2 else "ios-client", 0) for i in range(800)]
     found = relationships.companion_edges(apps(spark, rows).repartition(3))
     assert max(measured(found, "numOutputRows", "Join")) <= 800
+
+
+def test_watch_connections_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    rows = some_apps(9)
+    files = [(r, p, f"{p}/{rng.randrange(9)}.swift", "swift", rng.choice([["WatchConnectivity"], ["SwiftUI"]])) for r, p, _, _, _ in rows for _ in range(2)]
+    want = {}
+    for r, p, _, t, _ in rows:
+        mine = [f for q, o, f, _, used in files if (q, o) == (r, p) and "WatchConnectivity" in used]
+        for q, p2, _, t2, k2 in rows if mine else []:
+            if q == r and {t, t2} == {"watch-app", "ios-client"}:
+                key, at = (r, *((p, p2) if t == "watch-app" else (p2, p))), (min(mine), f"{k2}:{p2}")
+                want[key] = min(want.get(key, at), at)
+    table = spark.createDataFrame(files, "repo string, owner string, path string, language string, imports array<string>")
+    got = relationships.watch_edges(table, apps(spark, rows)).select("repo", "source", "target", "at.k0", "at.k1").collect()
+    assert len(got) == len(want) and {tuple(x[:3]): tuple(x[3:]) for x in got} == want
+
+
+def test_pairs_of_apps_do_not_leave_tasks(spark):
+    rows = [("r", f"g/{i}", f"App {i}", "watch-app" if i % 2 else "ios-client", 0) for i in range(1200)]
+    files = apps(spark, rows).select("repo", "path", F.lit("swift").alias("language"), F.array(F.lit("WatchConnectivity")).alias("imports")).withColumn("owner", F.col("path"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = relationships.watch_edges(files, apps(spark, rows).repartition(3))
+        sent = measured(found, "shuffleRecordsWritten", "ShuffleExchange")
+        assert found.count() == 600 * 600 and max(sent) <= 1200 * relationships.PAIR_BLOCKS
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -102,6 +102,16 @@ def part_distances(text: pa.Array, phrase: pa.Array) -> pa.Array:
     return pa.array([part_distance(t, p) for t, p in zip(text.to_pylist(), phrase.to_pylist(), strict=True)], pa.int32())
 
 
+def first_places(places: DataFrame, limit: int) -> DataFrame:
+    """Of each text in each field the places that come first by type, id and key, as many as a phrase may have hits.
+
+    No hit is lost: places of one text in one field are equally near to a phrase, so that one behind ``limit`` others is no hit by this text. Its row
+    may be one by another text, with whose places it then stands.
+    """
+    order = Window.partitionBy("text_id", "field").orderBy("type", "id", "key")
+    return places.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("place")
+
+
 def search(index: TextIndex, phrases: DataFrame, limit: int = V.SEARCH_LIMIT) -> DataFrame:
     """(phrase, rank, type, id, score) of each phrase's best rows; phrases has a column ``phrase``.
 
@@ -114,6 +124,6 @@ def search(index: TextIndex, phrases: DataFrame, limit: int = V.SEARCH_LIMIT) ->
     far = F.col("edits") / m + 0.1 * (1 - F.least(m / F.length("text"), F.lit(1.0)))
     near = near.where(F.col("edits") <= allowed(m)).select("phrase", "text_id", far.alias("far"))
     weight = F.element_at(F.array(*[F.lit(w) for w in FIELDS.values()]), F.col("field") + 1)
-    found = near.join(index.places, "text_id").groupBy("phrase", "key", "type", "id").agg(F.round(F.min(F.col("far") * weight + weight - 1), 6).alias("score"))
+    found = near.join(first_places(index.places, limit), "text_id").groupBy("phrase", "key", "type", "id").agg(F.round(F.min(F.col("far") * weight + weight - 1), 6).alias("score"))
     order = Window.partitionBy("phrase").orderBy("score", "type", "id", "key")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("phrase", "rank", "type", "id", "score")

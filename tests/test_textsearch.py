@@ -8,6 +8,8 @@ from hypothesis import strategies as st
 
 from archspark.operators import textsearch as S
 
+from .test_companions import measured
+
 
 def plain_distance(text, phrase):
     """Sellers' table: the least edits between the phrase and any part of the text."""
@@ -91,3 +93,18 @@ def test_rows_with_too_few_pairs_are_not_compared(spark):
 def test_nothing_to_find(spark):
     rows = spark.createDataFrame([], SCHEMA)
     assert not S.search(S.build(rows, 2), spark.createDataFrame([("ab",)], "phrase string")).count()
+
+
+def test_hits_are_kept_where_many_rows_have_one_text(spark):
+    """Rows that share few texts: hits are those of the plain search, and a phrase meets no more places of a text than it may have hits."""
+    rng = random.Random(7)
+    names, paths, kinds = ["Widget", "Wodget", "Gadget"], ["src/widget", "src/gadget"], ["class", "widget"]
+    rows = [(rng.choice(["file", "symbol"]), f"k{i:03}", rng.choice(names), rng.choice(paths), rng.choice(kinds)) for i in range(400)]
+    phrases = ["widget", "gadget", "wdget", "src/widget", "class"]
+    index = S.build(spark.createDataFrame(rows, "type string, id string, name string, path string, kind string"), buckets=3)
+    found = S.search(index, spark.createDataFrame([(p,) for p in phrases], "phrase string"), limit=5)
+    met = max(measured(found, "numOutputRows", "Join"))
+    got = sorted((r["phrase"], r["rank"], r["type"], r["id"], r["score"]) for r in found.collect())
+    want = sorted(plain_search(rows, phrases, 5))
+    assert [g[:4] for g in got] == [w[:4] for w in want] and [g[4] for g in got] == pytest.approx([w[4] for w in want])
+    assert met <= 700  # pairs of letters met before counting; places of texts are fewer

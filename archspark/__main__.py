@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from . import values as V
 from .operators.multirepo import analyze_all
 from .plans.analyze import analyze
-from .sources.export import summary, write_json, write_tables
+from .sources.export import save_json, summary, write_tables
 
 
 def main(args: list[str] | None = None) -> int:
@@ -37,7 +37,7 @@ def main(args: list[str] | None = None) -> int:
         return 1
     if a.tables:
         write_tables(arch, a.tables)
-    print(summary(write_json(arch, a.output, a.compact)))
+    print(summary(save_json(arch, a.output, a.compact)))
     print(f"\nOutput: {a.output}")
     return 0
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ranks
+from .storage import cut, fresh_path
+
 TABLES = ["components", "relationships", "symbols", "files", "stats", "info"]
 
 
@@ -43,21 +47,170 @@ def tree(comps: DataFrame) -> list[dict]:
     return below.get(None, [])
 
 
+_HEAD = ["name", "description", "repository", "generated_at", "analyzer_version", "root_path"]
+_EDGE = ["source", "target", "type", "label", "protocol", "port", "bidirectional"]
+
+
+def _head(arch) -> dict:
+    return {k: "1.0.0" if k == "analyzer_version" else getattr(arch, k) for k in _HEAD}
+
+
+def _stats(arch) -> dict:
+    stats = _plain(arch.stats.first())
+    return {k: v for k, v in stats.items() if k not in ("repo", "main_language")}
+
+
 def document(arch) -> dict:
-    """Everything as one value, for JSON. Brings all tables to the driver; ``write_tables`` does not."""
-    edges = ["source", "target", "type", "label", "protocol", "port", "bidirectional"]
+    """Everything as one value. Brings all tables to the driver; ``write_document`` does not."""
     symbols = [{**_plain(r), "parent": None, "dependencies": [], "annotations": []} for r in arch.symbols.orderBy("rank").drop("repo", "rank", "ordinal").collect()]
-    stats = _plain(arch.stats.first())
-    for k in ("repo", "main_language"):
-        stats.pop(k, None)
     return {
-        "name": arch.name, "description": arch.description, "repository": arch.repository, "generated_at": arch.generated_at, "analyzer_version": "1.0.0", "root_path": arch.root_path,
-        "components": tree(arch.components), "relationships": [_plain(r) for r in arch.relationships.orderBy("stage", "at").select(*edges).collect()], "symbols": symbols,
-        "files": [_plain(r) for r in arch.files.orderBy("path").drop("repo").collect()], "stats": stats,
+        **_head(arch), "components": tree(arch.components), "relationships": [_plain(r) for r in arch.relationships.orderBy("stage", "at").select(*_EDGE).collect()], "symbols": symbols,
+        "files": [_plain(r) for r in arch.files.orderBy("path").drop("repo").collect()], "stats": _stats(arch),
         "repositories": [{"name": r["repo"], "repository": r["repository"]} for r in arch.info.orderBy("repo").collect()] if "repo" not in arch.stats.columns else [],
     }
 
 
+# --- the document in parts ----------------------------------------------------------------
+
+#: Lists of the document, in its order.
+LISTS = ["components", "relationships", "symbols", "files", "repositories"]
+#: Lines of a text file: what reads one file takes no more of them at once.
+FILE_LINES = 100_000
+
+
+def _pairs(columns: list[str], indented: bool) -> Column:
+    """Columns as the inside of a JSON object, nulls too."""
+    return F.regexp_replace(F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "pretty": str(indented).lower()}), "^\\{|\\}$", "")
+
+
+def _listed(rows: DataFrame, order: list[str], pairs: Column) -> DataFrame:
+    """(key, text): an object for each row; all but the first begin with a comma."""
+    placed = ranks.ranked(rows.withColumn("__all", F.lit(0)), "__all", order, "__nth")
+    return placed.select(F.col("__nth").alias("key"), F.concat(F.when(F.col("__nth") > 1, ",").otherwise(""), F.lit("{"), pairs, F.lit("}")).alias("text"))
+
+
+def _tree_lines(comps: DataFrame, indented: bool) -> DataFrame:
+    """(key, text): each component's line begins an object and its list of children, a later line ends both. Order as in ``tree``.
+
+    A key is the places of a component and of those above it among their siblings; its level is found from that of its parent.
+    """
+    screen = F.when(F.col("parent_id").isNull() | F.col("id").contains("/__ui__/"), 0).otherwise(1)
+    text = F.concat_ws(",", _pairs([c for c in comps.columns if c not in ("repo", "parent_id", "config_files", "metrics", "docs")], indented), *[F.concat(F.lit(f'"{c}":'), F.coalesce(F.to_json(c, options), F.lit(empty))) for c, options, empty in (("config_files", {}, "[]"), ("metrics", {"ignoreNullFields": "false"}, "{}"), ("docs", {"ignoreNullFields": "false"}, "{}"))])
+    rows = cut(ranks.ranked(comps.select("id", "parent_id", "path", screen.alias("screen"), text.alias("text")), "parent_id", ["screen", "path"], "nth").drop("screen", "path"), "siblings")
+    place, begun = F.lpad(F.col("nth").cast("string"), 10, "0"), F.concat(F.when(F.col("nth") > 1, ",").otherwise(""), F.lit("{"), "text", F.lit(',"children":['))
+    level = cut(rows.where("parent_id is null").select("id", place.alias("key"), begun.alias("text"), F.array("id").alias("trail")), "level")
+    out, rest = level, rows.where("parent_id is not null")
+    while True:
+        above = level.select(F.col("id").alias("parent_id"), F.col("key").alias("above"), "trail")
+        found, seen = rest.join(above, "parent_id").select("id", F.concat("above", place).alias("key"), begun.alias("text"), F.concat("trail", F.array("id")).alias("trail")), Observation()
+        level = cut(found.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.array_position("trail", F.col("id")) < F.size("trail")).alias("again")), "level")
+        if not seen.get["n"]:
+            break
+        if seen.get["again"]:
+            raise ValueError("the components' parents form a cycle")
+        out = out.unionByName(level)
+    ends = out.select(F.concat("key", F.lit("~")).alias("key"), F.lit("]}").alias("text"))  # after all digits: below all that is in it
+    return out.select("key", "text").unionByName(ends)
+
+
+def write_document(arch, folder: str, indented: bool = False) -> None:
+    """The JSON document of an architecture, written by tasks. Texts below folder joined in order of names are the document (``save_json``).
+
+    Folders hold what is before a list, a list (a line for each element, of components two, if not indented), and so on. The driver gets the sums of ``stats`` alone.
+    """
+    spark = arch.components.sparkSession
+    none = spark.createDataFrame([], "repo string, repository string")
+    symbols = [c for c in arch.symbols.columns if c not in ("repo", "rank", "ordinal")]
+    lists = {
+        "components": _tree_lines(arch.components, indented),
+        "relationships": _listed(arch.relationships, ["stage", "at"], _pairs(_EDGE, indented)),
+        "symbols": _listed(arch.symbols, ["rank"], F.concat(_pairs(symbols, indented), F.lit(',"parent":null,"dependencies":[],"annotations":[]'))),
+        "files": _listed(arch.files, ["path"], _pairs([c for c in arch.files.columns if c != "repo"], indented)),
+        "repositories": _listed((arch.info if "repo" not in arch.stats.columns else none).select("repo", F.col("repo").alias("name"), "repository"), ["repo"], _pairs(["name", "repository"], indented)),
+    }
+    text = lambda value: json.dumps(value, default=str)
+    plain = lambda value: spark.range(0, 1, 1, 1).select(F.lit(value).alias("text"))
+    before = f"{text(_head(arch))[:-1]}, "
+    for i, name in enumerate(LISTS):
+        if name == "repositories":
+            before += f'"stats": {text(_stats(arch))}, '
+        plain(f'{before}"{name}": [').write.text(f"{folder}/{2 * i:02d}_text")
+        lists[name].orderBy("key").select("text").write.option("maxRecordsPerFile", FILE_LINES).text(f"{folder}/{2 * i + 1:02d}_{name}")
+        before = "], "
+    plain("]}").write.text(f"{folder}/{2 * len(LISTS):02d}_text")
+
+
+def document_list(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The lines (text) of a list of a document in parts."""
+    return spark.read.text(f"{folder}/{2 * LISTS.index(name) + 1:02d}_{name}").withColumnRenamed("value", "text")
+
+
+_WALK = "file string, own string, parent string, id string, up long, inside long, left array<string>"
+
+
+def _walk(lines: pa.Table) -> pa.Table:
+    """Components of one text file of the tree's lines, and a row without id: what the file ends of earlier files' and leaves open."""
+    lines = lines.sort_by([("block", "ascending"), ("at", "ascending")])
+    name, rows, opened, up = lines.column("file")[0].as_py(), [], [], 0
+    for i, text in enumerate(lines.column("text")):
+        if (line := text.as_py()) == "]}":
+            up += not opened
+            del opened[-1:]
+        else:
+            own = f"{name}:{i}"
+            rows.append((name, own, opened[-1] if opened else None, json.loads(line.removeprefix(",") + "]}")["id"], up, len(opened), None))
+            opened.append(own)
+    rows.append((name, None, None, None, up, 0, opened))
+    types = [pa.string()] * 4 + [pa.int64()] * 2 + [pa.list_(pa.string())]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["file", "own", "parent", "id", "up", "inside", "left"])
+
+
+def document_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, depth, n) of the components of a document in parts, as its brackets nest them; n: their children.
+
+    Tasks walk a text file each. The driver gets a row for each file, with what is open at its end, and tells each file what is open where it begins.
+    """
+    lines = document_list(spark, folder, "components").select("text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    walked = cut(lines.groupBy("file").applyInArrow(_walk, _WALK), "walked")
+    starts, opened = [], []
+    for r in walked.where("id is null").orderBy("file").select("file", "up", "left").collect():
+        if r["up"] > len(opened):
+            raise ValueError(f"{folder}: {r['file']} ends more components than are open")
+        starts.append((r["file"], opened))
+        opened = opened[: len(opened) - r["up"]] + r["left"]
+    if opened:
+        raise ValueError(f"{folder}: {len(opened)} components are not ended")
+    starts = spark.createDataFrame(starts, "file string, opened array<string>")
+    base = F.size("opened") - F.col("up")
+    nodes = walked.where("id is not null").join(F.broadcast(starts), "file").select("own", "id", (base + F.col("inside")).cast("long").alias("depth"), F.coalesce("parent", F.when(base > 0, F.get("opened", (base - 1).cast("int")))).alias("parent"))
+    below = nodes.where("parent is not null").groupBy(F.col("parent").alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    return nodes.join(below, "own", "left").select("id", "depth", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def save_json(arch, path: str, compact: bool = False) -> dict:
+    """The JSON document as one file on the driver: parts are made by tasks and copied one after the other. Its stats."""
+    spark = arch.components.sparkSession
+    folder = fresh_path(spark, "document")
+    write_document(arch, folder, not compact)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(conf)
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    out = jvm.java.io.FileOutputStream(os.path.abspath(path))
+    try:
+        for d in sorted(fs.listStatus(at), key=lambda x: x.getPath().getName()):
+            for f in sorted((x.getPath() for x in fs.listStatus(d.getPath())), key=lambda x: x.getName()):
+                if f.getName().startswith("part-"):
+                    source = fs.open(f)
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+                    finally:
+                        source.close()
+    finally:
+        out.close()
+    return {"stats": _stats(arch)}
+
+
 def write_json(arch, path: str, compact: bool = False) -> dict:
     made = document(arch)
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
